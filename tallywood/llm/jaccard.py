@@ -44,6 +44,7 @@ MAX_LISTED = 1 << 17
 LISTED_IN_PIECE = 3
 PAIR_SHARE = 64
 PAIRS_OF = 16
+BROADCAST_NODES = 500_000
 _U = np.uint64
 
 
@@ -176,14 +177,15 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int,
     hubs b that it is compared with.
     """
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = nodes.join(reps.select("node", "doc_id"), "node")
+    wanted = settle(nodes.join(reps.select("node", "doc_id"), "node"))
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted.hint("shuffle_hash")
 
     def make(batches):
         for batch in batches:
             sets = [x for _, x in shingle_sets(batch.column("text"), k)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "n", "tokens"])
 
-    texts = docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), "doc_id").select("node", "text")
+    texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
     sets = settle(texts.mapInArrow(make, "node long, n long, tokens binary").dropDuplicates(["node"]))
 
     def check(batches):
@@ -211,10 +213,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     reps = base.where(F.col("node").isNotNull()).withColumn("place", F.row_number().over(first)).where("place = 1").drop("place")
     reps = settle(reps)
     postings = reps.select("node", "n", "rare", F.explode(F.arrays_zip(F.col("keys").alias("key"), F.col("places").alias("at"))).alias("post")).select("post.key", "node", "n", "post.at", F.shiftleft("rare", 40).bitwiseOR(F.col("node").bitwiseAND((1 << 40) - 1)).alias("order"))
-    lists = settle(postings.groupBy("key").agg(F.min_by("node", "order").alias("hub"), F.min_by("n", "order").alias("n_b"), F.min_by("at", "order").alias("at_b"), F.count("*").alias("held")).where("held > 1").drop("held"))
-    held = postings.join(lists, "key")
+    shared = postings.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key")
+    held = settle(postings.join(shared, "key"))
+    lists = held.groupBy("key").agg(F.min_by("node", "order").alias("hub"), F.min_by("n", "order").alias("n_b"), F.min_by("at", "order").alias("at_b"))
     room = _room(num, den)
-    with_hub = settle(held.where("node <> hub").withColumnsRenamed({"node": "a", "n": "n_a", "at": "at_a", "hub": "b"}).where(room).select("a", "b").distinct())
+    with_hub = settle(held.join(lists, "key").where("node <> hub").withColumnsRenamed({"node": "a", "n": "n_a", "at": "at_a", "hub": "b"}).where(room).select("a", "b").distinct())
     links = settle(verify(with_hub, reps, docs, k, num, den))
     labels = components(links)
     # classes that share a list and are not joined up yet
