@@ -15,7 +15,10 @@ A document is its set of distinct word shingles. Documents with equal sets form
   of pairs linear in n; the number follows the size level, and a set is indexed under
   every level that a linked set may have.
 
-Candidates are verified exactly on the whole sets, in two rounds. First every class in a
+Every set also has a bitmap of parities: each of PARITY_BITS bits tells whether an odd
+number of shingles falls on it. Two sets differ in at least as many shingles as their
+bitmaps differ in bits, so most chance candidates are dropped without their texts, and no
+link is. The others are verified exactly on the whole sets, in two rounds. First every class in a
 posting list is compared with the list's hub alone, the class with the fewest rare
 shingles and so the one nearest to the middle of a group of near copies; that joins up
 large groups at a cost linear in their size. Then only classes that share a posting list and
@@ -44,6 +47,7 @@ MAX_LISTED = 1 << 17
 LISTED_IN_PIECE = 3
 PAIR_SHARE = 64
 PAIRS_OF = 16
+PARITY_BITS = 1024
 BROADCAST_NODES = 500_000
 _U = np.uint64
 
@@ -140,7 +144,7 @@ def _pairs(double: np.ndarray, need: int, split: int):
 
 
 def classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, node (hash of the set; null when empty), n, rare, keys and places of every document."""
+    """doc_id, node (hash of the set; null when empty), n, rare, parity, keys and places of every document."""
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(frequent_shingles(docs, k))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -148,7 +152,7 @@ def classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     def run(batches):
         listed, rank, cut = shared.value
         for batch in batches:
-            node, size, keys, places, rare = [], [], [], [], []
+            node, size, keys, places, rare, parity = [], [], [], [], [], []
             for _, tokens in shingle_sets(batch.column("text"), k):
                 size.append(len(tokens))
                 with np.errstate(over="ignore"):
@@ -157,11 +161,13 @@ def classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 keys.append(own.view(np.int64))
                 places.append(place)
                 rare.append(n_rare)
+                odd = np.bincount((tokens & _U(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+                parity.append(np.packbits(odd.astype(np.uint8)).tobytes())
             offs = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             flat, at = (np.concatenate(x).astype(t) if x else np.zeros(0, t) for x, t in ((keys, np.int64), (places, np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(rare, pa.int64()), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat)), pa.ListArray.from_arrays(pa.array(offs), pa.array(at))], ["doc_id", "node", "n", "rare", "keys", "places"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(rare, pa.int64()), pa.array(parity, pa.binary()), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat)), pa.ListArray.from_arrays(pa.array(offs), pa.array(at))], ["doc_id", "node", "n", "rare", "parity", "keys", "places"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n long, rare long, keys array<bigint>, places array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n long, rare long, parity binary, keys array<bigint>, places array<int>")
 
 
 def _room(num: int, den: int):
@@ -170,12 +176,30 @@ def _room(num: int, den: int):
     return overlap & (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
 
 
+def possible(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose bitmaps allow a link: |A xor B| <= (den - num) / (den + num) * (|A| + |B|) for linked sets."""
+
+    def check(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("parity_a", "parity_b"))
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            keep = pa.array(apart * (den + num) <= (den - num) * total)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
+
+    side = lambda c: reps.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a long, b long")
+
+
 def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets meet the threshold.
 
     The text of each compared node is fetched once, turned into its set, and sent to the
     hubs b that it is compared with.
     """
+    pairs = settle(possible(pairs, reps, num, den))
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = settle(nodes.join(reps.select("node", "doc_id"), "node"))
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted.hint("shuffle_hash")
@@ -228,7 +252,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     two = open_.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("label").alias("label_b"))
     rest = one.join(two, "key").where((F.col("label_a") < F.col("label_b")) & room).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     rest = settle(rest.join(with_hub, ["a", "b"], "left_anti"))
-    if rest.limit(1).count():
+    if not rest.isEmpty():
         links = links.unionByName(settle(verify(rest, reps, docs, k, num, den)))
         labels = components(links)
     rows = base.select("doc_id", "node", F.col("n").alias("n_shingles")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
