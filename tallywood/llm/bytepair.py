@@ -33,9 +33,9 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-MAX_STATES = 300_000
-MAX_PAIRS = 600_000
-MAX_MATCHES = 300_000
+MAX_STATES = 100_000
+MAX_PAIRS = 300_000
+MAX_MATCHES = 150_000
 LOOKAHEAD = 24
 
 

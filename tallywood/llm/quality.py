@@ -27,10 +27,11 @@ from .textscan import SPACE, pieces, words
 
 WORD_BUCKETS = 1 << 15
 FACTORS = 8
-MAX_LABELLED = 6000
+MAX_LABELLED = 4000
 EPOCHS = 12
 THRESHOLD = 0.3
 STATS = 16
+PIECE = 1 << 18
 _BYTE = np.arange(256)
 _UPPER = (_BYTE >= 65) & (_BYTE <= 90)
 _LOWER = (_BYTE >= 97) & (_BYTE <= 122)
@@ -43,7 +44,7 @@ _MARK = ~(_UPPER | _LOWER | _DIGIT | _HIGH | _STOP | SPACE) & (_BYTE > 31)
 
 def encode(column: pa.Array):
     """Sparse rows of a string column, piece by piece: (row offsets, feature index, value)."""
-    for piece in pieces(column):
+    for piece in pieces(column, PIECE):
         w = words(piece)
         n, data = len(piece), piece.data
         counts = np.diff(w.offs)
@@ -137,6 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", limit: int
     sample = labelled_sample(docs, labels, column, limit).orderBy("doc_id", "label").toArrow()
     data: list[tuple] = []
     for offs, index, value in encode(sample.column("text")):
+        index, value = index.astype(np.int32), value.astype(np.float32)
         data += [(index[a:b], value[a:b]) for a, b in zip(offs[:-1], offs[1:])]
     return Machine().fit(data, np.array(sample.column("label").to_pylist(), np.float64))
 

@@ -47,7 +47,7 @@ class Vocabulary:
     def __init__(self, piece: Piece):
         w = words(piece)
         kinds, first, where = np.unique(w.hashes, return_index=True, return_inverse=True)
-        self.offs, self.where = w.offs, where
+        self.offs, self.where = w.offs, where.astype(np.int32)
         self.bucket = (kinds & _U(WORD_BUCKETS - 1)).astype(np.int64)
         data = LOWER[piece.data].astype(_U)
         starts, ends = w.starts[first], w.ends[first]
@@ -61,7 +61,7 @@ class Vocabulary:
         with np.errstate(over="ignore"):
             three = (wide[at - 1] << _U(16)) | (wide[at] << _U(8)) | wide[at + 1]
             five = (wide[at - 2] << _U(40)) | (three << _U(8)) | wide[at + 2] | _U(1 << 50)
-            grams = (mix(np.stack([three, five], axis=1).ravel()) & _U(CHAR_BUCKETS - 1)).astype(np.int64)
+            grams = (mix(np.stack([three, five], axis=1).ravel()) & _U(CHAR_BUCKETS - 1)).astype(np.int32)
         self.grams = grams
         begin, size = 2 * (np.cumsum(size) - size), 2 * size
         self.begin, self.size = begin, size
@@ -237,7 +237,7 @@ class Network:
     def scores(self, column: pa.Array) -> np.ndarray:
         """Score of each text: its most toxic window's; the prior without words."""
         out = []
-        for piece in pieces(column):
+        for piece in pieces(column, 1 << 20):
             best = np.full(len(piece), -np.inf, np.float32)
             if self.trained:
                 v = Vocabulary(stripped(piece))
