@@ -131,18 +131,15 @@ def dedup_lines(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CH
     names = docs.columns
     gone = dropped_places(docs, edits, min_chars)
     rows = docs.join(gone.hint("shuffle_hash"), "doc_id", "left")
-    every = lines_of(F.col("text"))
-    # a line stays at its first place in the text unless its hash is to be dropped; short lines always stay
-    long_ = lambda x: F.length(x) >= min_chars
-    clean = rows.withColumn("lines__", every).withColumn("hashes__", F.transform("lines__", lambda x: F.when(long_(x), F.xxhash64(x))))
-    repeated = F.size(F.filter("hashes__", lambda x: x.isNotNull())) != F.size(F.array_distinct(F.filter("hashes__", lambda x: x.isNotNull())))
-    drop = F.coalesce("drop__", F.array().cast("array<bigint>"))
-    # repeats inside a text are rare: look back only in texts that have some
-    keep = F.when(
-        repeated,
-        F.filter("lines__", lambda x, i: F.element_at("hashes__", i + 1).isNull() | ((F.array_position("hashes__", F.element_at("hashes__", i + 1)) == i + 1) & ~F.array_contains(drop, F.element_at("hashes__", i + 1)))),
-    ).otherwise(F.filter("lines__", lambda x, i: F.element_at("hashes__", i + 1).isNull() | ~F.array_contains(drop, F.element_at("hashes__", i + 1))))
-    keep = F.when((F.size(drop) == 0) & ~repeated, F.col("lines__")).otherwise(keep)
-    out = clean.withColumn("kept__", keep).withColumns({"text": F.array_join("kept__", "\n"), "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size("lines__")), "n_dropped": F.when(F.col("text").isNull(), 0).otherwise(F.size("lines__") - F.size("kept__"))})
+    every, drop = lines_of(F.col("text")), F.coalesce("drop__", F.array().cast("array<bigint>"))
+    mark = lambda x: F.when(F.length(x) >= min_chars, F.xxhash64(x))
+    marks = F.filter(F.transform(every, mark), lambda h: h.isNotNull())
+    repeated = F.size(F.array_distinct(marks)) != F.size(marks)
+    # each line carries its own hash, and short lines their place, so that nothing is looked up by line
+    entries = F.transform(every, lambda x, i: F.struct(x.alias("line"), mark(x).alias("mark"), F.when(mark(x).isNull(), i).alias("place")))
+    once = F.when(repeated, F.array_distinct(entries)).otherwise(entries)
+    kept = F.transform(F.filter(once, lambda e: e["mark"].isNull() | ~F.array_contains(drop, e["mark"])), lambda e: e["line"])
+    clean = rows.withColumns({"lines__": F.size(every), "kept__": F.when((F.size(drop) == 0) & ~repeated, every).otherwise(kept)})
+    out = clean.withColumns({"text": F.array_join("kept__", "\n"), "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.col("lines__")), "n_dropped": F.when(F.col("text").isNull(), 0).otherwise(F.col("lines__") - F.size("kept__"))})
     out = out.select(*names, "n_lines", "n_dropped")
     return out.where("n_dropped = 0 or length(text) > 0") if drop_empty else out
