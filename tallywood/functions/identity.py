@@ -7,12 +7,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words that are no part of a name.
 TITLES = ("mr", "mrs", "ms", "dr", "prof", "jr", "sr")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold(name: pd.Series) -> pd.Series:
     """Letters without accents (compatibility decomposition); null stays null."""
     return name.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
