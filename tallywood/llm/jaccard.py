@@ -15,10 +15,12 @@ A document is its set of distinct word shingles. Documents with equal sets form
   of pairs linear in n; the number follows the size level, and a set is indexed under
   every level that a linked set may have.
 
-Every set also has a bitmap of parities: each of PARITY_BITS bits tells whether an odd
-number of shingles falls on it. Two sets differ in at least as many shingles as their
-bitmaps differ in bits, so most chance candidates are dropped without their texts, and no
-link is. The others are verified exactly on the whole sets, in two rounds. First every class in a
+Every set also has a bitmap of parities: each bit tells whether an odd number of shingles
+falls on it. It has PARITY_BITS bits, or the power of two from the set's size on where
+that is more; a longer one is folded to the length of a shorter one. Two sets differ in
+at least as many shingles as their bitmaps differ in bits, so most chance candidates are
+dropped without their texts, and no link is. Two words of it go along with the postings of
+the second round. The others are verified exactly on the whole sets, in two rounds. First every class in a
 posting list is compared with the list's hub alone, the class with the fewest rare
 shingles and so the one nearest to the middle of a group of near copies; that joins up
 large groups at a cost linear in their size. Then only classes that share a posting list and
@@ -143,8 +145,31 @@ def _pairs(double: np.ndarray, need: int, split: int):
             yield mix(mix(v[i] + _U(split)) * _U(3) + v[j]), j - 1 if split == 1 else np.zeros(len(j), np.int64)
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """The set's bitmap as 64-bit words: bit i of 2**m tells whether an odd number of shingles is i modulo 2**m."""
+    bits = max(PARITY_BITS, 1 << max(0, len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(_U)
+
+
+def fold(bitmap: np.ndarray, size: int) -> np.ndarray:
+    """The bitmap of the same set with ``size`` words."""
+    return np.bitwise_xor.reduce(bitmap.reshape(-1, size), axis=0)
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """The least number of shingles in which the sets of two bitmaps differ."""
+    size = min(len(x), len(y)) // 8
+    return int(np.bitwise_count(fold(np.frombuffer(x, _U), size) ^ fold(np.frombuffer(y, _U), size)).sum())
+
+
+def set_hash(tokens: np.ndarray) -> int | None:
+    with np.errstate(over="ignore"):
+        return int(mix(np.sum(mix(tokens + _U(len(tokens))), dtype=_U)[None]).view(np.int64)[0]) if len(tokens) else None
+
+
 def classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, node (hash of the set; null when empty), n, rare, parity, keys and places of every document."""
+    """doc_id, node (hash of the set; null when empty), n, rare, parity, its two-word form, keys and places of every document."""
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(frequent_shingles(docs, k))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -152,22 +177,23 @@ def classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     def run(batches):
         listed, rank, cut = shared.value
         for batch in batches:
-            node, size, keys, places, rare, parity = [], [], [], [], [], []
+            node, size, keys, places, rare, parity, brief = [], [], [], [], [], [], []
             for _, tokens in shingle_sets(batch.column("text"), k):
                 size.append(len(tokens))
-                with np.errstate(over="ignore"):
-                    node.append(int(mix(np.sum(mix(tokens + _U(len(tokens))), dtype=_U)[None]).view(np.int64)[0]) if len(tokens) else None)
+                node.append(set_hash(tokens))
                 own, place, n_rare = signatures(tokens, listed, rank, cut, num, den) if len(tokens) else (tokens, np.zeros(0, np.int64), 0)
                 keys.append(own.view(np.int64))
                 places.append(place)
                 rare.append(n_rare)
-                odd = np.bincount((tokens & _U(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
-                parity.append(np.packbits(odd.astype(np.uint8)).tobytes())
+                bitmap = parities(tokens)
+                parity.append(bitmap.tobytes())
+                brief.append(fold(bitmap, 2).view(np.int64))
+            short = np.array(brief, np.int64).reshape(-1, 2)
             offs = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             flat, at = (np.concatenate(x).astype(t) if x else np.zeros(0, t) for x, t in ((keys, np.int64), (places, np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(rare, pa.int64()), pa.array(parity, pa.binary()), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat)), pa.ListArray.from_arrays(pa.array(offs), pa.array(at))], ["doc_id", "node", "n", "rare", "parity", "keys", "places"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(rare, pa.int64()), pa.array(parity, pa.binary()), pa.array(short[:, 0]), pa.array(short[:, 1]), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat)), pa.ListArray.from_arrays(pa.array(offs), pa.array(at))], ["doc_id", "node", "n", "rare", "parity", "even", "odd", "keys", "places"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n long, rare long, parity binary, keys array<bigint>, places array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n long, rare long, parity binary, even long, odd long, keys array<bigint>, places array<int>")
 
 
 def _room(num: int, den: int):
@@ -183,10 +209,9 @@ def possible(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("parity_a", "parity_b"))
-            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            least = np.array([apart(x, y) for x, y in zip(batch.column("parity_a").to_pylist(), batch.column("parity_b").to_pylist())], np.int64)
             total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-            keep = pa.array(apart * (den + num) <= (den - num) * total)
+            keep = pa.array(least * (den + num) <= (den - num) * total)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
     side = lambda c: reps.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}"))
@@ -207,7 +232,8 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int,
     def make(batches):
         for batch in batches:
             sets = [x for _, x in shingle_sets(batch.column("text"), k)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "n", "tokens"])
+            own = pa.array([set_hash(x) == node for x, node in zip(sets, batch.column("node").to_pylist())], pa.bool_())  # a repeated id may bring another text
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "n", "tokens"]).filter(own)
 
     texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
     sets = settle(texts.mapInArrow(make, "node long, n long, tokens binary").dropDuplicates(["node"]))
@@ -236,21 +262,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     first = Window.partitionBy("node").orderBy("doc_id")
     reps = base.where(F.col("node").isNotNull()).withColumn("place", F.row_number().over(first)).where("place = 1").drop("place")
     reps = settle(reps)
-    postings = reps.select("node", "n", "rare", F.explode(F.arrays_zip(F.col("keys").alias("key"), F.col("places").alias("at"))).alias("post")).select("post.key", "node", "n", "post.at", F.shiftleft("rare", 40).bitwiseOR(F.col("node").bitwiseAND((1 << 40) - 1)).alias("order"))
+    postings = reps.select("node", "n", "rare", F.explode(F.arrays_zip(F.col("keys").alias("key"), F.col("places").alias("at"))).alias("post")).select("post.key", "node", "n", "rare", "post.at")
     shared = postings.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key")
     held = settle(postings.join(shared, "key"))
-    lists = held.groupBy("key").agg(F.min_by("node", "order").alias("hub"), F.min_by("n", "order").alias("n_b"), F.min_by("at", "order").alias("at_b"))
+    order = F.shiftleft("rare", 40).bitwiseOR(F.col("node").bitwiseAND((1 << 40) - 1))
+    lists = held.groupBy("key").agg(*(F.min_by(x, order).alias(y) for x, y in (("node", "hub"), ("n", "n_b"), ("at", "at_b"))))
     room = _room(num, den)
     with_hub = settle(held.join(lists, "key").where("node <> hub").withColumnsRenamed({"node": "a", "n": "n_a", "at": "at_a", "hub": "b"}).where(room).select("a", "b").distinct())
     links = settle(verify(with_hub, reps, docs, k, num, den))
     labels = components(links)
     # classes that share a list and are not joined up yet
-    marked = settle(held.join(labels, "node", "left").select("key", "node", "n", "at", F.coalesce("label", "node").alias("label")))
+    marked = settle(held.join(labels, "node", "left").join(reps.select("node", "even", "odd"), "node").select("key", "node", "n", "at", "even", "odd", F.coalesce("label", "node").alias("label")))
     mixed = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     open_ = marked.join(mixed, "key")
-    one = open_.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("label").alias("label_a"))
-    two = open_.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("label").alias("label_b"))
-    rest = one.join(two, "key").where((F.col("label_a") < F.col("label_b")) & room).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    side = lambda c: open_.select("key", F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "at", "label", "even", "odd")))
+    differ = sum(F.bit_count(F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b"))) for x in ("even", "odd"))
+    close = differ * (den + num) <= (den - num) * (F.col("n_a") + F.col("n_b"))
+    rest = side("a").join(side("b"), "key").where((F.col("label_a") < F.col("label_b")) & room & close).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     rest = settle(rest.join(with_hub, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         links = links.unionByName(settle(verify(rest, reps, docs, k, num, den)))

@@ -189,3 +189,15 @@ def test_classifiers_on_awkward_rows(spark, awkward, score):
 @pytest.mark.parametrize("run", [lambda d: jaccard.near_duplicates(d), lambda d: linededup.dedup_lines(d), lambda d: classlm.score_texts(d), lambda d: langid.identify(d), lambda d: media.text_media(d)])
 def test_empty_tables(spark, run):
     assert run(frame(spark, ["a"]).limit(0)).count() == 0
+
+
+def test_jaccard_bitmaps_never_tell_more_than_the_difference():
+    rng = np.random.default_rng(5)
+    pool = rng.integers(1, 1 << 62, 9000).astype(np.uint64)
+    for n, m in ((1, 0), (3, 2), (1025, 900), (5000, 700), (8000, 8000), (1024, 4097)):
+        a, b = (np.unique(rng.choice(pool, x)) for x in (n, m))
+        x, y = jaccard.parities(a), jaccard.parities(b)
+        true = len(np.setxor1d(a, b))
+        assert jaccard.apart(x.tobytes(), y.tobytes()) <= true
+        assert int(np.bitwise_count(jaccard.fold(x, 2) ^ jaccard.fold(y, 2)).sum()) <= true
+        assert jaccard.apart(x.tobytes(), x.tobytes()) == 0
