@@ -190,6 +190,7 @@ class Network:
         self.trained = True
         rng = np.random.default_rng(seed)
         docs = _training_rows(column)
+        assert len(docs) == len(labels), "one row for each label"
         self._warm(docs, labels)
         m = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
         v = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
@@ -264,8 +265,10 @@ class _Row:
         self.index = vocabulary.where[at] if len(vocabulary.where) else at
 
 
-def _training_rows(column: pa.Array) -> list[_Row]:
-    return [_Row(Vocabulary(stripped(p))) for p in pieces(column, 1)]
+def _training_rows(column: pa.Array | pa.ChunkedArray) -> list[_Row]:
+    """One row for each text, empty ones too: pieces() may join an empty text with its neighbour, so texts go in alone."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return [_Row(Vocabulary(stripped(p))) for i in range(len(column)) for p in pieces(column.slice(i, 1))]
 
 
 class _Joined:

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("tallywood.llm")
@@ -201,3 +202,21 @@ def test_jaccard_bitmaps_never_tell_more_than_the_difference():
         assert jaccard.apart(x.tobytes(), y.tobytes()) <= true
         assert int(np.bitwise_count(jaccard.fold(x, 2) ^ jaccard.fold(y, 2)).sum()) <= true
         assert jaccard.apart(x.tobytes(), x.tobytes()) == 0
+
+
+def test_toxicity_keeps_labels_with_their_texts():
+    rng = random.Random(8)
+    good, bad = vocabulary(rng, 40), ["".join(rng.choice("klmnopqrst") for _ in range(6)) for _ in range(10)]
+    texts, marks = [], []
+    for i in range(120):
+        toxic = rng.random() < 0.5
+        texts.append(" ".join([*(rng.choice(good) for _ in range(20)), *([rng.choice(bad)] * 2 if toxic else [])]))
+        marks.append(float(toxic))
+        if i % 5 == 0:
+            texts += [None, "", "", "x"]
+            marks += [0.0] * 4
+    column = pa.array(texts, pa.string())
+    assert [len(r.size) for r in toxicity._training_rows(column)] == [int(bool(t)) + (len((t or "").split()) > 32) for t in texts]
+    scores = toxicity.Network().fit(column, np.array(marks)).scores(column)
+    full = np.array([bool(t) and len(t) > 1 for t in texts])
+    assert ((scores >= 0.5) == np.array(marks))[full].mean() > 0.95
