@@ -9,8 +9,8 @@ one passage in a long text counts as much as a short text does. Every overlappin
 of every whole text is scored.
 
 The sample that is learnt from: labelled rows whose crc32 remainder is not 0, kept by a
-hash of the id at a rate that gives about MAX_LABELLED rows. Training takes at most
-TRAIN_WINDOWS windows of a document, spread evenly over it; scoring takes all.
+hash of the id at a rate that gives about MAX_LABELLED rows. Training, as scoring, takes
+all windows of a text: they go forward in batches, and the loss is put on the most toxic.
 
 Defined cases: null and empty texts have no window and get the training rows' share of
 label 1; null labels and ids are not learnt from; with labels of one kind only, every
@@ -35,7 +35,6 @@ EMBED = 12
 WORD_BUCKETS = 1 << 15
 CHAR_BUCKETS = 1 << 16
 MAX_LABELLED = 4000
-TRAIN_WINDOWS = 24
 BATCH_WINDOWS = 4096
 THRESHOLD = 0.5
 _U = np.uint64
@@ -67,15 +66,12 @@ class Vocabulary:
         self.begin, self.size = begin, size
 
 
-def windows(offs: np.ndarray, spread: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first word, words) of every window; with ``spread``, at most so many of a text, evenly spread."""
+def windows(offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, words) of every window."""
     n = np.diff(offs)
     count = np.where(n > 0, np.maximum(1, -(-(n - STRIDE) // STRIDE)), 0)
-    take = np.minimum(count, spread) if spread else count
-    text = np.repeat(np.arange(len(n)), take)
-    k = np.arange(int(take.sum())) - np.repeat(np.cumsum(take) - take, take)
-    if spread:
-        k = k * count[text] // take[text]
+    text = np.repeat(np.arange(len(n)), count)
+    k = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
     begin = offs[:-1][text] + k * STRIDE
     return text, begin, np.minimum(WINDOW, offs[1:][text] - begin)
 
@@ -202,12 +198,13 @@ class Network:
                 if not rows:
                     continue
                 step += 1
-                vocabulary, index, size, owner = _join([docs[r] for r in rows])
+                vocabulary, where, begin, size, owner = _join([docs[r] for r in rows])
                 e = self.embed(vocabulary)
                 xf, xb = self.project(e)
-                logit = self.forward(xf, xb, index, size)
+                parts = [slice(lo, lo + BATCH_WINDOWS) for lo in range(0, len(begin), BATCH_WINDOWS)]
+                logit = np.concatenate([self.forward(xf, xb, _index(where, begin[p]), size[p]) for p in parts])
                 best = np.array([np.flatnonzero(owner == i)[logit[owner == i].argmax()] for i in range(len(rows))])
-                index, size = index[best], size[best]
+                index, size = _index(where, begin[best]), size[best]
                 logit, kept = self.forward(xf, xb, index, size, keep=True)
                 d = ((_sigmoid(np.clip(logit, -30, 30)) - labels[rows]) / len(rows)).astype(np.float32)
                 g, (gf, gb) = self.backward(d, kept, index, len(e))
@@ -256,13 +253,16 @@ class Network:
 
 
 class _Row:
-    __slots__ = ("index", "size", "vocabulary")
+    __slots__ = ("begin", "size", "vocabulary")
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        _, begin, self.size = windows(vocabulary.offs, TRAIN_WINDOWS)
-        at = np.minimum(begin[:, None] + np.arange(WINDOW), max(len(vocabulary.where) - 1, 0))
-        self.index = vocabulary.where[at] if len(vocabulary.where) else at
+        _, self.begin, self.size = windows(vocabulary.offs)
+
+
+def _index(where: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Vocabulary rows of the windows; those behind a window's words are masked."""
+    return where[np.minimum(begin[:, None] + np.arange(WINDOW), len(where) - 1)]
 
 
 def _training_rows(column: pa.Array | pa.ChunkedArray) -> list[_Row]:
@@ -276,15 +276,17 @@ class _Joined:
 
 
 def _join(rows: list[_Row]):
-    """One vocabulary for several rows (their words side by side)."""
+    """One vocabulary for several rows, their words side by side; and (first word, words, row) of every window."""
     v = _Joined()
     v.bucket = np.concatenate([r.vocabulary.bucket for r in rows])
     v.grams = np.concatenate([r.vocabulary.grams for r in rows])
     v.size = np.concatenate([r.vocabulary.size for r in rows])
     v.begin = np.concatenate([[0], np.cumsum(v.size)])[:-1]
     shift = np.cumsum([0, *[len(r.vocabulary.bucket) for r in rows]])[:-1]
-    index = np.concatenate([r.index + s for r, s in zip(rows, shift)])
-    return v, index, np.concatenate([r.size for r in rows]), np.repeat(np.arange(len(rows)), [len(r.size) for r in rows])
+    where = np.concatenate([r.vocabulary.where + s for r, s in zip(rows, shift)])
+    shift = np.cumsum([0, *[len(r.vocabulary.where) for r in rows]])[:-1]
+    begin = np.concatenate([r.begin + s for r, s in zip(rows, shift)])
+    return v, where, begin, np.concatenate([r.size for r in rows]), np.repeat(np.arange(len(rows)), [len(r.size) for r in rows])
 
 
 def _scatter(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:

@@ -220,3 +220,16 @@ def test_toxicity_keeps_labels_with_their_texts():
     scores = toxicity.Network().fit(column, np.array(marks)).scores(column)
     full = np.array([bool(t) and len(t) > 1 for t in texts])
     assert ((scores >= 0.5) == np.array(marks))[full].mean() > 0.95
+
+
+def test_toxicity_trains_on_every_window():
+    texts = ["w " * 16 * 300, "one two", "", "v " * 40]
+    rows = toxicity._training_rows(pa.array(texts))
+    assert [len(r.size) for r in rows] == [299, 1, 0, 2]
+    covered = np.zeros(4800, bool)
+    for a, n in zip(rows[0].begin, rows[0].size):
+        covered[a : a + n] = True
+    assert covered.all()
+    _, where, begin, size, owner = toxicity._join([rows[0], rows[3]])
+    assert begin.tolist()[-2:] == [4800, 4816] and size.tolist()[-2:] == [32, 24] and owner.tolist() == [0] * 299 + [1] * 2
+    assert set(where[:4800].tolist()) != set(where[4800:].tolist())
