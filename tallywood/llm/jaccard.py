@@ -30,7 +30,10 @@ have then been verified. Lists are joined by key, never gathered in a task.
 Defined cases: null text, empty text and text without words have no shingles, a component
 of their own and no links; with fewer words than a shingle the whole sequence is one
 shingle; repeated rows are copies of each other and each gives a row; class and shingle
-identity is by 64-bit hashes of whole shingles and sets.
+identity is by 64-bit hashes of whole shingles and sets. Rows with a null id take part in
+links; a component is named by its least id that isn't null, and only one of null ids alone
+has a null name. Rows that share an id link by their own texts. keep_first keeps a component
+of null ids too, by one row of it, and each row without words and id.
 """
 
 from __future__ import annotations
@@ -169,7 +172,7 @@ def set_hash(tokens: np.ndarray) -> int | None:
 
 
 def classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, node (hash of the set; null when empty), n, rare, parity, its two-word form, keys and places of every document."""
+    """doc_id, mark (hash of the text), node (hash of the set; null when empty), n, rare, parity, its two-word form, keys and places of every document."""
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(frequent_shingles(docs, k))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -191,9 +194,9 @@ def classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             short = np.array(brief, np.int64).reshape(-1, 2)
             offs = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             flat, at = (np.concatenate(x).astype(t) if x else np.zeros(0, t) for x, t in ((keys, np.int64), (places, np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(rare, pa.int64()), pa.array(parity, pa.binary()), pa.array(short[:, 0]), pa.array(short[:, 1]), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat)), pa.ListArray.from_arrays(pa.array(offs), pa.array(at))], ["doc_id", "node", "n", "rare", "parity", "even", "odd", "keys", "places"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(rare, pa.int64()), pa.array(parity, pa.binary()), pa.array(short[:, 0]), pa.array(short[:, 1]), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat)), pa.ListArray.from_arrays(pa.array(offs), pa.array(at))], ["doc_id", "mark", "node", "n", "rare", "parity", "even", "odd", "keys", "places"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n long, rare long, parity binary, even long, odd long, keys array<bigint>, places array<int>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, f"doc_id {kind}, mark long, node long, n long, rare long, parity binary, even long, odd long, keys array<bigint>, places array<int>")
 
 
 def _room(num: int, den: int):
@@ -218,6 +221,11 @@ def possible(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a long, b long")
 
 
+def _same_row():
+    """A row of docs is the one with this id, which may be null, and this hash of its text."""
+    return (F.xxhash64("text") == F.col("mark__")) & F.col("doc_id").eqNullSafe(F.col("id__"))
+
+
 def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets meet the threshold.
 
@@ -226,16 +234,16 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int,
     """
     pairs = settle(possible(pairs, reps, num, den))
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = settle(nodes.join(reps.select("node", "doc_id"), "node"))
+    wanted = settle(nodes.join(reps.select("node", F.col("doc_id").alias("id__"), F.col("mark").alias("mark__")), "node"))
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted.hint("shuffle_hash")
 
     def make(batches):
         for batch in batches:
             sets = [x for _, x in shingle_sets(batch.column("text"), k)]
-            own = pa.array([set_hash(x) == node for x, node in zip(sets, batch.column("node").to_pylist())], pa.bool_())  # a repeated id may bring another text
+            own = pa.array([set_hash(x) == node for x, node in zip(sets, batch.column("node").to_pylist())], pa.bool_())  # equal hashes may bring another text
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "n", "tokens"]).filter(own)
 
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
+    texts = docs.select("doc_id", "text").join(wanted, _same_row()).select("node", "text")
     sets = settle(texts.mapInArrow(make, "node long, n long, tokens binary").dropDuplicates(["node"]))
 
     def check(batches):
@@ -256,10 +264,10 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int,
     return both.select("a", "b", "tokens_a", "tokens_b").mapInArrow(check, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id for every document; linked when den * intersection >= num * union."""
+def linked(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The classes of all rows, one row for each node (least id that isn't null), and labels of the nodes that have links."""
     base = settle(classes(docs, k, num, den))
-    first = Window.partitionBy("node").orderBy("doc_id")
+    first = Window.partitionBy("node").orderBy(F.asc_nulls_last("doc_id"), "mark")
     reps = base.where(F.col("node").isNotNull()).withColumn("place", F.row_number().over(first)).where("place = 1").drop("place")
     reps = settle(reps)
     postings = reps.select("node", "n", "rare", F.explode(F.arrays_zip(F.col("keys").alias("key"), F.col("places").alias("at"))).alias("post")).select("post.key", "node", "n", "rare", "post.at")
@@ -283,14 +291,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     if not rest.isEmpty():
         links = links.unionByName(settle(verify(rest, reps, docs, k, num, den)))
         labels = components(links)
+    return base, reps, labels
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id for every document; linked when den * intersection >= num * union."""
+    base, reps, labels = linked(docs, k, num, den)
     rows = base.select("doc_id", "node", F.col("n").alias("n_shingles")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = reps.select("node", "doc_id").join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("doc_id").alias("least"))
     return rows.join(least, "label", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One document of each component (the smallest id), all columns; repeated ids keep one row."""
-    found = near_duplicates(docs, k, num, den).where("doc_id = component_id").select("doc_id").distinct()
-    alone = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    kept = docs.join(found, "doc_id", "left_semi")
-    return kept.withColumn("place__", F.row_number().over(alone)).where("place__ = 1").drop("place__")
+    """One row of each component (the least id; null ids last), all columns; rows without words all stay."""
+    base, reps, labels = linked(docs, k, num, den)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id__"), F.col("mark").alias("mark__"))
+    chosen = reps.join(labels, "node", "left").groupBy(F.coalesce("label", "node")).agg(F.min(rank).alias("first")).select("first.id__", "first.mark__", F.lit(False).alias("alone__"))
+    wordless = base.where(F.col("node").isNull()).select(F.col("doc_id").alias("id__"), F.col("mark").alias("mark__"), F.lit(True).alias("alone__")).distinct()
+    kept = docs.join(settle(chosen.unionByName(wordless)), _same_row())
+    kept = kept.withColumn("own__", F.when(F.col("alone__"), F.monotonically_increasing_id()))
+    same = Window.partitionBy("id__", "mark__", "own__").orderBy("text")
+    return kept.withColumn("place__", F.row_number().over(same)).where("place__ = 1").select(*docs.columns)

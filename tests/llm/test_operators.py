@@ -233,3 +233,17 @@ def test_toxicity_trains_on_every_window():
     _, where, begin, size, owner = toxicity._join([rows[0], rows[3]])
     assert begin.tolist()[-2:] == [4800, 4816] and size.tolist()[-2:] == [32, 24] and owner.tolist() == [0] * 299 + [1] * 2
     assert set(where[:4800].tolist()) != set(where[4800:].tolist())
+
+
+def test_jaccard_with_null_and_repeated_ids(spark):
+    rng = random.Random(6)
+    words = vocabulary(rng, 400)
+    one, two, three, four = (" ".join(rng.choice(words) for _ in range(80)) for _ in range(4))
+    near = lambda t: t + " end"
+    rows = [(None, one), (4, one), (5, one), (6, near(one)), (None, two), (None, near(two)), (7, three), (7, four), (None, ""), (None, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 7, "x") for i, t in rows], DOCS)
+    got = sorted(((x.doc_id, x.component_id) for x in jaccard.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(None, 4), (4, 4), (5, 4), (6, 4), *[(None, None)] * 4, (7, 7), (7, 7), (8, 8)], key=str)
+    kept = sorted(((x.doc_id, x.text) for x in jaccard.keep_first(docs).collect()), key=str)
+    pair = next(x for x in kept if x[1] in (two, near(two)))
+    assert kept == sorted([(4, one), pair, (7, three), (7, four), (None, ""), (None, None), (8, "")], key=str)
