@@ -27,10 +27,7 @@ def numeric_conflicts(spark, d):
 
 
 def conflict_edges(spark, d):
-    groups = episodes.value_groups(episodes.episodes(episodes.with_rules(s.facts(spark, d), s.rules(spark))))
-    docs = s.facts(spark, d).select("fact_id", "document_id")
-    both = conflicts.cross_members(groups).join(docs.withColumnsRenamed({"fact_id": "left_id", "document_id": "a"}), "left_id").join(docs.withColumnsRenamed({"fact_id": "right_id", "document_id": "b"}), "right_id")
-    return both.where("a <> b").select("left_id", "right_id")
+    return conflicts.cross_members(episodes.episodes(episodes.with_rules(s.facts(spark, d), s.rules(spark)))).select("left_id", "right_id")
 
 
 def status_conflicts(spark, d):

@@ -1,13 +1,14 @@
 """Detectors on hand-built facts, and the registered queries' contract."""
 
-from datetime import date
+import random
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tallywood.functions import text
-from tallywood.operators import changes, conflicts, gaps
+from tallywood.operators import changes, conflicts, episodes, gaps
 from tallywood.sources import ingest
 
 FACT = "subject string, concept string, fact_id long, obs_date date, value double, value_key string, document_id long, confidence double"
@@ -71,3 +72,26 @@ def test_nearest_document(spark):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize(("limit", "share"), [(0.5, None), (None, 0.2), (0.5, 0.01), (None, None)])
+def test_a_long_episode_is_folded_without_gathering_it(spark, limit, share):
+    rng = random.Random(9)
+    rows = [(i, date(2020, 1, 1) + timedelta(days=i // 20), round(rng.choice([rng.uniform(1, 4), 2.0]), 2), rng.choice([1, 2, None])) for i in range(8000)]
+    rules = spark.createDataFrame([("hb", limit, share, 2)], "concept string, abs_limit double, rel_limit double, window_days int")
+    differ = lambda a, b: a != b and ((limit is None and share is None) or (limit is not None and abs(a - b) >= limit) or (share is not None and abs(a - b) / max(abs(a), abs(b)) >= share))
+    groups = []
+    for row in rows:
+        own = next((g for g in groups if not differ(g[0][2], row[2])), None)
+        groups.append([row]) if own is None else own.append(row)
+    want = sorted((a[0][0], b[0][0], len(a), len(b)) for i, a in enumerate(groups) for b in groups[i + 1 :] if len({x[3] for x in a + b}) > 1)
+    found = conflicts.numeric_conflicts(facts(spark, rows), rules)
+    assert sorted((x.left_id, x.right_id, x.n_left, x.n_right) for x in found.collect()) == want
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    short = rows[:150]
+    dated = episodes.episodes(episodes.with_rules(facts(spark, short), rules))
+    number = {r.fact_id: r.group_no for r in episodes.group_members(dated).collect()}
+    doc = {r[0]: r[3] for r in short}
+    edges = {(x.left_id, x.right_id) for x in conflicts.cross_members(dated).collect()}
+    both = lambda a, b: len({doc[i] for i in number if number[i] in (number[a], number[b])}) > 1
+    assert edges == {(a, b) for a in number for b in number if number[a] < number[b] and None not in (doc[a], doc[b]) and doc[a] != doc[b] and both(a, b)}
