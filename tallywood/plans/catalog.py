@@ -153,7 +153,7 @@ def classify_cues(spark, d):
 def date_extract(spark, d):
     docs = s.table(spark, d, "documents")
     stated = F.element_at(F.array(*[F.lit(x) for x in MIXED]), (F.col("doc_id") % len(MIXED) + 1).cast("int"))
-    return docs.select("doc_id", text.parse_date(F.concat(stated, F.lit(" "), F.substring("text", 1, 20))).alias("doc_date"))
+    return docs.select("doc_id", text.parse_date(F.concat(stated, F.lit(" "), F.coalesce("text", F.lit("")))).alias("doc_date"))
 
 
 def measure_extract(spark, d):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tallywood.functions import text
 from tallywood.operators import changes, conflicts, episodes, gaps
+from tallywood.plans import catalog
 from tallywood.sources import ingest
 
 FACT = "subject string, concept string, fact_id long, obs_date date, value double, value_key string, document_id long, confidence double"
@@ -95,3 +96,10 @@ def test_a_long_episode_is_folded_without_gathering_it(spark, limit, share):
     edges = {(x.left_id, x.right_id) for x in conflicts.cross_members(dated).collect()}
     both = lambda a, b: len({doc[i] for i in number if number[i] in (number[a], number[b])}) > 1
     assert edges == {(a, b) for a in number for b in number if number[a] < number[b] and None not in (doc[a], doc[b]) and doc[a] != doc[b] and both(a, b)}
+
+
+def test_date_extract_reads_whole_texts(spark, tmp_path):
+    rows = [(5, "x " * 5000 + "on 2021-02-03 here"), (11, "x " * 30), (17, None), (0, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.doc_id: x.doc_date for x in catalog.date_extract(spark, str(tmp_path)).collect()}
+    assert got == {5: date(2021, 2, 3), 11: None, 17: None, 0: date(2024, 3, 14)}
