@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+HOT_PARTS = 512
+HOT_ROWS = 256
+
+
 def session(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
@@ -19,9 +23,10 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
+    """This application's folder below the one that driver and executors share, spark.checkpoint.dir.
 
-    Only where the setting is absent (tests, one machine) is a folder made and set.
+    Only where the setting is absent on one machine (tests) is a folder made and set; on a
+    cluster its absence is an error, since executors can't see each other's local folders.
     """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -29,10 +34,19 @@ def shared_folder(spark: SparkSession) -> str:
         current = context._jsc.sc().getCheckpointDir()
         folder = current.get() if current.isDefined() else None
     if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(folder)
-    return folder
+    return os.path.join(folder, context.applicationId)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that this application has written between steps. Results that still read them can't be computed any more."""
+    jvm, folder = spark.sparkContext._jvm, shared_folder(spark)
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -43,6 +57,24 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hot_keys(left: DataFrame, key: str) -> DataFrame:
+    """The keys with at least 1 / HOT_PARTS of the rows: at most HOT_PARTS of them."""
+    total = left.count()
+    return settle(left.groupBy(key).agg(F.count("*").alias("held__")).where(F.col("held__") >= max(HOT_ROWS, total / HOT_PARTS)).select(key))
+
+
+def join_spread(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
+    """Left join with a table of distinct keys in which no key's rows have to meet in one task.
+
+    Hot keys number at most HOT_PARTS, so their rows of the right table are broadcast; all other
+    keys are shuffled. left is read several times: give a written table.
+    """
+    found = settle((hot or hot_keys(left, key)).join(right, key))  # at most HOT_PARTS rows
+    near = left.join(F.broadcast(found), key)
+    far = left.join(F.broadcast(found.select(key)), key, "left_anti").join(right, key, "left")
+    return near.unionByName(far)
+
+
 def remainder(modulus: int, column: str = "doc_id"):
     """crc32 of the id as text, modulo ``modulus`` (null for a null id)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

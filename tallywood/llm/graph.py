@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import hot_keys, join_spread, settle
 
 MAX_ROUNDS = 60
 
@@ -15,15 +15,17 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round gives a node the smallest label among its own and its neighbours', then the
     label of that label (pointer jumping), until nothing changes; a chain of n nodes takes
-    about log n rounds. Labels only fall, so a round that is computed again is no matter.
+    about log n rounds. Labels only fall, so a round that is computed again is no matter. The label
+    of a large component is held by many nodes; its next label reaches them by a bounded broadcast.
     """
     both = settle(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")))
+    hubs = hot_keys(both, "b")
     for _ in range(MAX_ROUNDS):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = lower.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        after = settle(lower.join(jump, "label").select("node", "old", F.least("label", "next").alias("label")))
+        near = join_spread(both, labels.withColumnRenamed("node", "b"), "b", hubs).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        lower = settle(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")))
+        jump = lower.select(F.col("node").alias("label"), F.col("label").alias("next")).where("next <> label")
+        after = settle(join_spread(lower, jump, "label").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")))
         changed = after.where("label <> old").limit(1).count()
         labels = after.select("node", "label")
         if not changed:

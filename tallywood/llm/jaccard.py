@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import settle
+from .common import join_spread, settle
 from .graph import components
 from .textscan import mix, pieces, shingle_set, words
 
@@ -297,9 +297,10 @@ def linked(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for every document; linked when den * intersection >= num * union."""
     base, reps, labels = linked(docs, k, num, den)
-    rows = base.select("doc_id", "node", F.col("n").alias("n_shingles")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    own = base.select("doc_id", "node", F.col("n").alias("n_shingles"))
+    rows = settle(join_spread(own, labels, "node").withColumn("label", F.coalesce("label", "node")))
     least = reps.select("node", "doc_id").join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "label", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return join_spread(rows, least, "label").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -6,14 +6,18 @@ verdict of their host: personalised PageRank from trusted hosts gives trust, the
 reversed edges from blocked hosts gives distrust, and a host is blocked when its
 distrust exceeds its trust by more than a margin.
 
-Host edges are the absolute and protocol-relative links of the pages, and an edge from
-each subdomain to its parent and back where both are known hosts. Edges are aggregated
+Host edges are the absolute and protocol-relative links of the pages. Edges are aggregated
 per pair of hosts before anything is shuffled by host, so that one large host costs its
-number of distinct neighbours and not its number of pages.
+number of distinct neighbours and not its number of pages; its verdict reaches its pages by
+a bounded broadcast. With ``family`` an edge between each host and its parent is added, both
+ways, where both are known; it is off unless asked for, since no page links there.
 
 Defined cases: a null url or one without "://" has an empty host and path, fits no rule,
 and is allowed; null html has no links; tied rules of equal length cannot both fit with
-different actions unless the list repeats a rule, and then block wins.
+different actions unless the list repeats a rule, and then block wins. Repeated page_ids
+give a row each; an empty table gives an empty one; without trusted (blocked) hosts all trust
+(distrust) is 0; equal trust and distrust is allowed; urls of any length are read whole; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import join_spread, settle
 
 #: The rules of the contract: action, host, path.
 RULES = (
@@ -34,7 +38,8 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 DAMPING = 0.85
-ROUNDS = 12
+ROUNDS = 100
+RESIDUAL = 1e-4
 MARGIN = 0.0
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -79,21 +84,32 @@ def family_edges(hosts: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("weight", F.lit(1.0))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, hosts: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """host, mass: personalised PageRank from the seeds; what has no out-edge returns to the seeds."""
+def propagate(edges: DataFrame, seeds: DataFrame, hosts: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, residual: float = RESIDUAL) -> DataFrame:
+    """host, mass: personalised PageRank from the seeds, until a round moves less than ``residual``.
+
+    The mass of hosts without out-edges returns to the seeds, so that all masses sum to 1. Each
+    round sends two sums to the driver: what is missing to 1, and how much has moved.
+    """
     total = edges.groupBy("src").agg(F.sum("weight").alias("out"))
-    moves = edges.join(total, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share"))
-    start = settle(hosts.join(seeds.withColumn("seed", F.lit(1.0 / max(1, seeds.count()))), "host", "left").select("host", F.coalesce("seed", F.lit(0.0)).alias("start")))
+    moves = settle(edges.join(total, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")))
+    n = seeds.count()
+    if not n:
+        return hosts.withColumn("mass", F.lit(0.0))
+    start = settle(hosts.join(seeds.withColumn("seed", F.lit(1.0 / n)), "host", "left").select("host", F.coalesce("seed", F.lit(0.0)).alias("start")))
     rank = start.withColumn("mass", F.col("start"))
-    for turn in range(rounds):
+    for _ in range(rounds):
         got = rank.join(moves, rank["host"] == moves["src"]).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("mass") * F.col("share")).alias("got"))
-        rank = start.join(got, "host", "left").select("host", "start", (F.col("start") * (1 - damping) + damping * F.coalesce("got", F.lit(0.0))).alias("mass"))
-        if turn % 3 == 2:
-            rank = settle(rank)
+        after = settle(rank.withColumnRenamed("mass", "old").join(got, "host", "left").withColumn("mass", F.col("start") * (1 - damping) + damping * F.coalesce("got", F.lit(0.0))))
+        missing = F.lit(1.0 - after.agg(F.sum("mass")).first()[0])
+        rank = after.select("host", "start", (F.col("mass") + F.col("start") * missing).alias("mass"), "old")
+        moved = rank.agg(F.sum(F.abs(F.col("mass") - F.col("old")))).first()[0]
+        rank = rank.drop("old")
+        if moved < residual:
+            break
     return rank.select("host", "mass")
 
 
-def judge_hosts(pages: DataFrame, rules=RULES, margin: float = MARGIN) -> DataFrame:
+def judge_hosts(pages: DataFrame, rules=RULES, margin: float = MARGIN, family: bool = False) -> DataFrame:
     """host, trust, distrust, host_verdict for every host of the pages.
 
     Seeds: a host is trusted where rules allow at least as many of its pages as they
@@ -103,7 +119,8 @@ def judge_hosts(pages: DataFrame, rules=RULES, margin: float = MARGIN) -> DataFr
     seen = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     stats = settle(seen.withColumn("action", action).groupBy("host").agg(F.count_if(F.col("action") == "allow").alias("allowed"), F.count_if(F.col("action") == "block").alias("blocked")).where("host <> ''"))
     hosts = stats.select("host")
-    edges = settle(host_edges(pages).unionByName(family_edges(hosts)).groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
+    found = host_edges(pages)
+    edges = settle(found.unionByName(family_edges(hosts)).groupBy("src", "dst").agg(F.sum("weight").alias("weight")) if family else found)
     known = settle(hosts.unionByName(edges.select(F.col("dst").alias("host"))).unionByName(edges.select(F.col("src").alias("host"))).distinct())
     trusted = stats.where("allowed > 0 and allowed >= blocked").select("host")
     blocked = stats.where("blocked > allowed").select("host")
@@ -114,10 +131,10 @@ def judge_hosts(pages: DataFrame, rules=RULES, margin: float = MARGIN) -> DataFr
     return trust.join(distrust, "host").withColumn("host_verdict", verdict)
 
 
-def filter_urls(pages: DataFrame, rules=RULES, margin: float = MARGIN) -> DataFrame:
+def filter_urls(pages: DataFrame, rules=RULES, margin: float = MARGIN, family: bool = False) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for every page."""
-    judged = judge_hosts(pages, rules, margin)
+    judged = settle(judge_hosts(pages, rules, margin, family))
     rule, action = by_rules(F.col("host"), F.col("path"), rules)
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("rule", rule).withColumn("action", action)
-    out = rows.join(judged, "host", "left")
+    out = join_spread(rows, judged, "host")
     return out.select("page_id", "host", "path", "rule", F.coalesce("action", "host_verdict", F.lit("allow")).alias("verdict"), F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
