@@ -1,17 +1,19 @@
 """Quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
 
 A document is a sparse vector: tf weights of its words hashed into WORD_BUCKETS, structure
-statistics of its text and metadata that describe the text (n_chars where given). The
-machine's score is w0 + sum w x + 1/2 sum_f ((sum v_f x)^2 - sum v_f^2 x^2): the
+statistics of its text, and as metadata n_chars where the table has it (null and absent are
+told apart from 0). lang, source, labels and doc_id are no inputs. The machine's score is w0 + sum w x + 1/2 sum_f ((sum v_f x)^2 - sum v_f^2 x^2): the
 sum-of-squares identity makes it linear in the number of entries.
 
 The sample that is learnt from: labelled rows whose crc32 remainder is not 0, kept by a
-hash of the id at a rate that gives about MAX_LABELLED rows; whole texts.
+hash of the id at a rate that gives about MAX_LABELLED rows. Whole texts are encoded by the
+tasks; a row that comes to the driver has at most WORD_BUCKETS + STATS entries, however long its text.
 
 Defined cases: null and empty texts have no words and get the score of their statistics;
 null labels and null ids are not learnt from; repeated labels of a document count as
 often as they are given; without labels of both kinds the score is the share of label 1
-(0.5 with none at all).
+(0.5 with none at all); very long texts count whole; repeated rows get equal scores; an
+empty table gives an empty one; other columns, whatever their names, are passed over.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ FACTORS = 8
 MAX_LABELLED = 4000
 EPOCHS = 12
 THRESHOLD = 0.3
-STATS = 16
+STATS = 18
 PIECE = 1 << 18
 _BYTE = np.arange(256)
 _UPPER = (_BYTE >= 65) & (_BYTE <= 90)
@@ -42,8 +44,8 @@ _STOP = np.isin(_BYTE, [ord(c) for c in ".,;:?'\""])
 _MARK = ~(_UPPER | _LOWER | _DIGIT | _HIGH | _STOP | SPACE) & (_BYTE > 31)
 
 
-def encode(column: pa.Array):
-    """Sparse rows of a string column, piece by piece: (row offsets, feature index, value)."""
+def encode(column: pa.Array, chars: np.ndarray):
+    """Sparse rows of a string column and its n_chars (nan: unknown), piece by piece: (row offsets, feature index, value)."""
     for piece in pieces(column, PIECE):
         w = words(piece)
         n, data = len(piece), piece.data
@@ -65,8 +67,9 @@ def encode(column: pa.Array):
             same = (w.hashes[1:] == w.hashes[:-1]) & (owner[1:] == owner[:-1])
             repeats = np.bincount(owner[1:], weights=same, minlength=n)
         length = np.bincount(owner, weights=w.ends - w.starts, minlength=n)
+        given = chars[piece.lo : piece.hi]
         some, many = np.maximum(size, 1), np.maximum(counts, 1)
-        stats = np.stack([np.ones(n), *(4 * share[[0, 1, 2, 4, 5, 6]] / some), 20 * share[3] / some, np.log1p(size) / 5, np.log1p(counts) / 5, 2 * distinct / many, 4 * repeats / many, length / many / 5, np.log1p(size / (share[3] + 1)) / 3, (counts == 0) * 1.0, np.minimum(counts, 8) / 8])
+        stats = np.stack([np.ones(n), *(4 * share[[0, 1, 2, 4, 5, 6]] / some), 20 * share[3] / some, np.log1p(size) / 5, np.log1p(counts) / 5, 2 * distinct / many, 4 * repeats / many, length / many / 5, np.log1p(size / (share[3] + 1)) / 3, (counts == 0) * 1.0, np.minimum(counts, 8) / 8, np.isnan(given) * 1.0, np.log1p(np.maximum(np.nan_to_num(given), 0)) / 6])
         s_row = np.repeat(np.arange(n), STATS)
         order = np.argsort(np.concatenate([row, s_row]), kind="stable")
         rows = np.concatenate([row, s_row])[order]
@@ -131,16 +134,34 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, limit: int
     marks = labels.select("doc_id", F.col(column).cast("int").alias("label")).where(F.col("label").isNotNull() & (remainder(5) != 0))
     n = marks.count()
     chosen = marks.where(uniform("doc_id", column) < min(1.0, limit / max(1, n)))
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most about limit rows
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _chars(docs)).join(F.broadcast(chosen), "doc_id")  # at most about limit rows
+
+
+def _chars(docs: DataFrame):
+    return (F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")).alias("n_chars__")
+
+
+def _given(batch) -> np.ndarray:
+    return batch.column("n_chars__").to_numpy(zero_copy_only=False).astype(np.float64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", limit: int = MAX_LABELLED) -> Machine:
-    sample = labelled_sample(docs, labels, column, limit).orderBy("doc_id", "label").toArrow()
-    data: list[tuple] = []
-    for offs, index, value in encode(sample.column("text")):
-        index, value = index.astype(np.int32), value.astype(np.float32)
-        data += [(index[a:b], value[a:b]) for a, b in zip(offs[:-1], offs[1:])]
-    return Machine().fit(data, np.array(sample.column("label").to_pylist(), np.float64))
+    def rows(batches):
+        for batch in batches:
+            lo = 0
+            for offs, index, value in encode(batch.column("text"), _given(batch)):
+                part = batch.slice(lo, len(offs) - 1)
+                lo += len(offs) - 1
+                at = pa.array(offs.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.ListArray.from_arrays(at, pa.array(index.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(value.astype(np.float32)))], ["doc_id", "label", "at", "x"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sample = labelled_sample(docs, labels, column, limit).mapInArrow(rows, f"doc_id {kind}, label int, at array<int>, x array<float>").toArrow()
+    at, x = (sample.column(c).combine_chunks() if len(sample) else pa.array([], pa.list_(pa.int32())) for c in ("at", "x"))
+    data = [(np.asarray(a.values), np.asarray(b.values)) for a, b in zip(at, x)]
+    ids, marks = sample.column("doc_id").to_pylist(), sample.column("label").to_pylist()
+    order = sorted(range(len(data)), key=lambda i: (ids[i], marks[i], len(data[i][0]), data[i][0].tobytes(), data[i][1].tobytes()))  # one order in any partitioning
+    return Machine().fit([data[i] for i in order], np.array([marks[i] for i in order], np.float64))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame | None = None, machine: Machine | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -151,17 +172,17 @@ def score_quality(docs: DataFrame, labels: DataFrame | None = None, machine: Mac
 
     def run(batches):
         for batch in batches:
-            for lo, scores in _scores(shared.value, batch.column("text")):
+            for lo, scores in _scores(shared.value, batch.column("text"), _given(batch)):
                 rows = batch.slice(lo, len(scores))
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    rows = docs.select("doc_id", "text", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"))
+    rows = docs.select("doc_id", "text", _chars(docs), F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"))
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
-def _scores(machine: Machine, column: pa.Array):
+def _scores(machine: Machine, column: pa.Array, chars: np.ndarray):
     lo = 0
-    for offs, index, value in encode(column):
+    for offs, index, value in encode(column, chars):
         scores = np.round(machine.score(offs, index, value), 6)
         yield lo, scores
         lo += len(scores)
@@ -169,11 +190,12 @@ def _scores(machine: Machine, column: pa.Array):
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with score >= threshold, all columns. A row is scored in place, so repeated ids are no matter."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    shared, given = docs.sparkSession.sparkContext.broadcast(fit(docs, labels)), "n_chars" in docs.columns
 
     def run(batches):
         for batch in batches:
-            scores = [s for _, s in _scores(shared.value, batch.column("text"))]
+            chars = batch.column("n_chars").cast(pa.float64()).to_numpy(zero_copy_only=False) if given else np.full(batch.num_rows, np.nan)
+            scores = [s for _, s in _scores(shared.value, batch.column("text"), chars)]
             if scores:
                 yield batch.filter(pa.array(np.concatenate(scores) >= threshold))
 
