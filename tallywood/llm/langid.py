@@ -2,19 +2,22 @@
 
 Texts become lower-cased letter sequences in which every run of other characters is one
 boundary mark. For each language, counts of character n-grams up to ORDER give an
-interpolated Kneser-Ney model; all languages' models share sorted arrays of n-gram hashes
-(a row of log probabilities, one column a language, for each n-gram of the highest order
-and for each backed-off context). A text takes the language with the lowest cross-entropy
-per character. Its score is the softmax of the differences, times a temperature fitted
-on training rows; where the entropy of the best model exceeds that of nearly all its
-training rows, the row is marked rejected.
+interpolated Kneser-Ney model; all languages' models share sorted arrays of n-gram hashes,
+each with the list of languages that have it and their probabilities, and the same for
+contexts and backoff weights. Memory follows what was seen, so any number of languages can be
+learnt. A text takes the language with the lowest cross-entropy per character.
+Its score is the softmax of the differences, times a temperature; where the entropy of the
+best model exceeds that of nearly all rows of its language, the row is marked rejected. Both
+are fitted on sampled rows (CALIBRATION of them, by a hash) that are kept out of the counts.
 
 The sample that is learnt from: rows are kept by a hash of their id at a rate that gives
-about PER_LANGUAGE rows a language, whole texts; n-grams are counted in Spark.
+about PER_LANGUAGE rows a language, whole texts; n-grams are counted in Spark, and of the
+calibration rows only entropies come to the driver.
 
 Defined cases: null text or text without letters gives ``und`` with score 0; with no
 training rows every text is ``und``; ties go to the language that sorts first; rows with
-null lang or null id are never learnt from.
+null lang or null id are never learnt from; null, repeated and large ids are carried through; an empty
+table gives an empty one; very long texts count whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,15 +27,17 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, uniform
+from .common import join_spread, remainder, settle, uniform
 from .textscan import mix
 
 ORDER = 4
 PER_LANGUAGE = 2000
-MAX_LANGUAGES = 256
+CALIBRATION = 0.15
+CELLS = 1 << 22
 PIECE_CHARS = 1 << 20
 DISCOUNT = 0.75
 REJECT_AT = 0.999
@@ -78,11 +83,9 @@ def _chunks(texts: list[str]):
 def learnt_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """lang, text of the sample: about per_language rows of each language, by a hash of the id."""
     rows = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(4) != 2))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not sizes:
-        return rows.select("doc_id", "lang", "text").limit(0)
-    rate = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))])
-    return rows.where(uniform("doc_id", "langid") < rate[F.col("lang")]).select("doc_id", "lang", "text")
+    sizes = settle(rows.groupBy("lang").agg(F.count("*").alias("n__")))
+    drawn = rows.withColumn("draw__", uniform("doc_id", "langid"))
+    return join_spread(drawn, sizes, "lang").where(F.col("draw__") < per_language / F.col("n__")).select("doc_id", "lang", "text")
 
 
 def count_grams(sample: DataFrame, order: int = ORDER) -> DataFrame:
@@ -107,77 +110,71 @@ def count_grams(sample: DataFrame, order: int = ORDER) -> DataFrame:
     return sample.select("lang", "text").mapInPandas(run, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+class _Ragged:
+    """Sorted hashes, each with the languages that have it and a value for each of these."""
+
+    def __init__(self, keys: np.ndarray, column: np.ndarray, values: np.ndarray):
+        order = np.lexsort((column, keys))
+        self.column, self.values = column[order].astype(np.int32), values[order]
+        self.keys, first = np.unique(keys[order], return_index=True)
+        self.offs = np.append(first, len(order))
+
+    def fill(self, out: np.ndarray, keys: np.ndarray) -> None:
+        """Put the values of known keys into out (rows: keys, columns: languages)."""
+        if not len(self.keys):
+            return
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        row = np.flatnonzero(self.keys[at] == keys)
+        begin, size = self.offs[at[row]], np.diff(self.offs)[at[row]]
+        entry = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        out[np.repeat(row, size), self.column[entry]] = self.values[entry]
+
+
 class Model:
-    """Sorted hashes of n-grams with one column of log2 probabilities a language, and of contexts with backoff weights."""
+    """Sorted hashes of n-grams with probabilities, and of contexts with backoff weights, by language."""
 
     def __init__(self, counts: pd.DataFrame, order: int = ORDER, discount: float = DISCOUNT):
         self.order = order
         self.langs = sorted(counts["lang"].unique())
-        k = len(self.langs)
         column = counts["lang"].map({x: i for i, x in enumerate(self.langs)}).to_numpy(np.int64)
         grams = np.frombuffer(b"".join(counts["gram"]), np.uint32).reshape(-1, order)
         n = counts["n"].to_numpy(np.float64)
-        self.keys, self.probs, self.contexts, self.weights = [], [], [], []
-        lower = None
         levels = []
         for size in range(order, 0, -1):  # raw counts at the top, numbers of distinct left neighbours below
-            levels.append((size, grams[:, order - size :], column, n))
+            levels.append((size, grams, column, n))
             if size > 1:
-                rest = np.ascontiguousarray(grams[:, order - size + 1 :])
-                pairs = pd.DataFrame({"g": list(map(bytes, rest.view(f"V{4 * (size - 1)}").ravel())), "c": column})
-                found = pairs.groupby(["g", "c"], sort=True).size()
-                column = found.index.get_level_values("c").to_numpy(np.int64)
-                low = np.frombuffer(b"".join(found.index.get_level_values("g")), np.uint32).reshape(-1, size - 1)
-                grams = np.concatenate([np.zeros((len(low), order - size + 1), np.uint32), low], axis=1)
-                n = found.to_numpy(np.float64)
-        alphabet = max(2, len(np.unique(levels[-1][1])))
+                low, kinds = np.unique(np.concatenate([grams[:, 1:], column[:, None].astype(np.uint32)], axis=1), axis=0, return_counts=True)
+                grams, column, n = low[:, :-1], low[:, -1].astype(np.int64), kinds.astype(np.float64)
+        self.alphabet = max(2, len(np.unique(levels[-1][1])))
+        self.grams: list[_Ragged] = []
+        self.contexts: list[_Ragged] = []
         for size, rows, col, count in reversed(levels):
-            gram = _hash_rows(rows)
             context = _hash_rows(rows[:, :-1]) if size > 1 else np.zeros(len(rows), _U)
-            contexts, c_at = np.unique(context, return_inverse=True)
-            total, kinds = np.zeros((len(contexts), k)), np.zeros((len(contexts), k))
-            np.add.at(total, (c_at, col), count)
-            np.add.at(kinds, (c_at, col), 1)
-            weight = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
-            keys, g_at = np.unique(gram, return_inverse=True)
-            own = np.zeros((len(keys), k))
-            np.add.at(own, (g_at, col), np.maximum(count - discount, 0) / np.maximum(total[c_at, col], 1))
-            first = np.zeros(len(keys), np.int64)
-            first[g_at] = np.arange(len(rows))
-            base = np.full((len(keys), k), 1.0 / (alphabet + 1)) if lower is None else lower(rows[first][:, 1:])
-            probs = own + weight[c_at[first]] * base
-            self.keys.append(keys)
-            self.probs.append(probs)
-            self.contexts.append(contexts)
-            self.weights.append(weight)
-            lower = self._lookup(size)
-        self.floor = 1.0 / (alphabet + 1)
-        self.temperature, self.limit = 1.0, np.full(k, np.inf)
-
-    def _lookup(self, size: int):
-        return lambda rows: self.probability(rows, size)
+            pair, first, at = np.unique(np.stack([context, col.astype(_U)], axis=1), axis=0, return_index=True, return_inverse=True)
+            at = at.ravel()
+            total, kinds = np.bincount(at, weights=count), np.bincount(at)
+            weight = discount * kinds / total
+            base = np.full(len(rows), 1.0 / (self.alphabet + 1))
+            if size > 1:
+                step = max(1, CELLS // len(self.langs))
+                for lo in range(0, len(rows), step):
+                    part = slice(lo, lo + step)
+                    base[part] = self.probability(rows[part, 1:], size - 1)[np.arange(len(rows[part])), col[part]]
+            self.grams.append(_Ragged(_hash_rows(rows), col, np.maximum(count - discount, 0) / total[at] + weight[at] * base))
+            self.contexts.append(_Ragged(pair[:, 0], pair[:, 1].astype(np.int64), weight))
+        self.temperature, self.limit = 1.0, np.full(len(self.langs), np.inf)
 
     def probability(self, rows: np.ndarray, size: int) -> np.ndarray:
         """Probabilities, one column a language, of the last character of each row of ``size`` characters."""
         if size == 0:
-            return np.full((len(rows), len(self.langs)), 1.0 / (self.alphabet_size() + 1))
-        keys, gram = self.keys[size - 1], _hash_rows(rows)
-        at = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
-        hit = keys[at] == gram
-        out = np.empty((len(rows), len(self.langs)))
-        out[hit] = self.probs[size - 1][at[hit]]
-        miss = ~hit
-        if miss.any():
-            context = _hash_rows(rows[miss][:, :-1]) if size > 1 else np.zeros(int(miss.sum()), _U)
-            known = self.contexts[size - 1]
-            c_at = np.minimum(np.searchsorted(known, context), len(known) - 1)
-            weight = np.where((known[c_at] == context)[:, None], self.weights[size - 1][c_at], 1.0)
-            out[miss] = weight * self.probability(rows[miss][:, 1:], size - 1)
+            return np.full((len(rows), len(self.langs)), 1.0 / (self.alphabet + 1))
+        out = self.probability(rows[:, 1:], size - 1)
+        weight = np.ones_like(out)
+        self.contexts[size - 1].fill(weight, _hash_rows(rows[:, :-1]) if size > 1 else np.zeros(len(rows), _U))
+        out *= weight
+        self.grams[size - 1].fill(out, _hash_rows(rows))
         return out
 
-    def alphabet_size(self) -> int:
-        return max(2, len(self.keys[0]))
-
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits a character under every language (rows: texts), and the numbers of letters."""
         k, order = len(self.langs), self.order
@@ -202,19 +199,20 @@ class Model:
             first = np.zeros(len(kinds), np.int64)
             first[where[::-1]] = np.arange(len(where))[::-1]
             rows = np.lib.stride_tricks.sliding_window_view(wide, order)[(at - order + 1)[first]]
-            bits = -np.log2(self.probability(rows, order))
             owner = np.repeat(np.arange(len(size)), size)
-            for j in range(k):
-                out[lo:hi, j] = np.bincount(owner, weights=bits[where, j], minlength=len(size)) / np.maximum(size, 1)
+            step = max(1, CELLS // k)
+            sort = np.argsort(where, kind="stable")
+            edge = np.searchsorted(where[sort], np.arange(0, len(rows) + step, step))
+            for at_row, (a, b) in zip(range(0, len(rows), step), zip(edge, edge[1:])):
+                bits = -np.log2(self.probability(rows[at_row : at_row + step], order))
+                part = sort[a:b]
+                for j in range(k):
+                    out[lo:hi, j] += np.bincount(owner[part], weights=bits[where[part] - at_row, j], minlength=len(size)) / np.maximum(size, 1)
             letters[lo:hi] = np.bincount(owner, weights=codes != 0, minlength=len(size))
         return out, letters
 
-    def calibrate(self, texts: list[str], langs: list[str]) -> None:
-        """Temperature by likelihood on given rows; the rejection limit of each language by a quantile of its rows."""
-        h, letters = self.entropies(texts)
-        truth = np.array([self.langs.index(x) if x in self.langs else -1 for x in langs])
-        use = (letters > 0) & (truth >= 0)
-        h, truth = h[use], truth[use]
+    def calibrate(self, h: np.ndarray, truth: np.ndarray) -> None:
+        """Temperature by likelihood on rows that weren't counted (entropies by language, true column); rejection limits by a quantile."""
         if not len(h):
             return
         best = -np.inf
@@ -251,13 +249,27 @@ def _hash_rows(rows: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """A model from the sample; None without training rows."""
-    sample = learnt_rows(docs, per_language)
-    counts = count_grams(sample).orderBy("lang", "gram").toPandas()
+    sample = settle(learnt_rows(docs, per_language))
+    aside = uniform("doc_id", "calibration") < CALIBRATION
+    counts = count_grams(sample.where(~aside)).orderBy("lang", "gram").toPandas()
+    if not len(counts):
+        counts = count_grams(sample).orderBy("lang", "gram").toPandas()  # a handful of rows, all set aside by chance
     if not len(counts):
         return None
     model = Model(counts)
-    rate = sample.where(uniform("doc_id", "calibration") < 0.15).toPandas()
-    model.calibrate(rate["text"].tolist(), rate["lang"].tolist())
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        places = {x: i for i, x in enumerate(shared.value.langs)}
+        for batch in batches:
+            h, letters = shared.value.entropies(batch.column("text").to_pylist())
+            truth = np.array([places.get(x, -1) for x in batch.column("lang").to_pylist()], np.int64)
+            use = (letters > 0) & (truth >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(truth[use]), pa.array(list(h[use]), pa.list_(pa.float64()))], ["truth", "h"])
+
+    found = sample.where(aside).select("lang", "text").mapInArrow(run, "truth long, h array<double>").toPandas()
+    if len(found):
+        model.calibrate(np.stack(found["h"].to_list()), found["truth"].to_numpy(np.int64))
     return model
 
 
@@ -267,16 +279,14 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(frames):
-        for frame in frames:
-            texts = ["" if t is None else t for t in frame["text"]]
+    def run(batches):
+        for batch in batches:
+            texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
             if shared.value is None:
                 out = pd.DataFrame({"lang_pred": ["und"] * len(texts), "score": 0.0, "bits_per_char": 0.0, "rejected": True})
             else:
                 out = shared.value.predict(texts)
-            out.insert(0, "held_out", frame["held_out"].to_numpy())
-            out.insert(0, "doc_id", frame["doc_id"].to_numpy())
-            yield out
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(out["lang_pred"], pa.string()), *[pa.array(out[c]) for c in ("score", "bits_per_char", "rejected")]], ["doc_id", "held_out", "lang_pred", "score", "bits_per_char", "rejected"])
 
     rows = docs.select("doc_id", "text", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"))
-    return rows.mapInPandas(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, bits_per_char double, rejected boolean")
+    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, bits_per_char double, rejected boolean")
