@@ -1,8 +1,9 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 A word enters as its own embedding (hashed) plus the scaled sum of embeddings of its hashed
-character 3- and 5-grams (word edges included), with the strongest single-gram evidence
-from the training rows in one direction. Windows of WINDOW words, each starting half a window after the one
+character 3- and 5-grams (word edges included); of a weight for each gram the word's greatest
+goes into one direction. Word embeddings and gram weights start from the training rows' lift
+and are trained with the rest. Windows of WINDOW words, each starting half a window after the one
 before, go through a gated recurrent unit in both directions; attention pools the states
 of a window into one logit. A document's score is that of its most toxic window, so that
 one passage in a long text counts as much as a short text does. Every overlapping window
@@ -13,8 +14,10 @@ hash of the id at a rate that gives about MAX_LABELLED rows. Training, as scorin
 all windows of a text: they go forward in batches, and the loss is put on the most toxic.
 
 Defined cases: null and empty texts have no window and get the training rows' share of
-label 1; null labels and ids are not learnt from; with labels of one kind only, every
-score is that share.
+label 1; null labels and ids are not learnt from; repeated labels count as often as they are
+given; with labels of one kind only, every score is that share (0.5 without labels); ties
+between windows go to the first; very long texts are scored whole, in batches of windows;
+repeated rows get equal scores; an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -81,7 +84,7 @@ def _sigmoid(x):
 
 
 class Network:
-    NAMES = ("words", "chars", "uf", "ub", "wf", "wb", "bf", "bb", "att", "out", "last")
+    NAMES = ("words", "chars", "uf", "ub", "wf", "wb", "bf", "bb", "att", "out", "last", "evidence")
 
     def __init__(self, seed: int = 11):
         rng = np.random.default_rng(seed)
@@ -105,6 +108,14 @@ class Network:
         out[:, 1] += np.maximum.reduceat(self.evidence[v.grams], v.begin)
         return out
 
+    def _strongest(self, v) -> np.ndarray:
+        """Place of each word's gram of the greatest weight; of ties the first."""
+        weight = self.evidence[v.grams]
+        best = np.repeat(np.maximum.reduceat(weight, v.begin), v.size) == weight
+        at = np.flatnonzero(best)
+        owner = np.repeat(np.arange(len(v.begin)), v.size)[at]
+        return at[np.unique(owner, return_index=True)[1]]
+
     @staticmethod
     def unroll(x, u, mask, keep: bool):
         """Gated recurrent unit over x (steps, windows, 3 hidden); masked steps carry the state on."""
@@ -213,6 +224,7 @@ class Network:
                 g["words"] = _scatter(vocabulary.bucket, de, WORD_BUCKETS)
                 each = np.repeat(de / np.sqrt(vocabulary.size)[:, None], vocabulary.size, axis=0)
                 g["chars"] = _scatter(vocabulary.grams, each, CHAR_BUCKETS)
+                g["evidence"] = np.bincount(vocabulary.grams[self._strongest(vocabulary)], weights=de[:, 1], minlength=CHAR_BUCKETS).astype(np.float32)
                 pace = rate * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
                 for k in self.NAMES:
                     m[k] += 0.1 * (g[k] - m[k])
