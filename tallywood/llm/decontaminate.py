@@ -12,7 +12,10 @@ are sent to the tasks, and all texts are compared with each block in turn.
 
 Defined cases: null or empty texts match nothing; items without words are matched by
 nothing; an item of fewer than MIN_TILE words is one tile, matched as a whole; repeated
-items are compared one by one; repeated document ids give one row each.
+items are compared one by one; repeated document ids give one row each, null ids are carried
+through; an empty benchmark or table gives no rows (keep_clean: keeps all); very long texts
+are compared whole, and in repetitive ones the windows of an item that are marked are passed over once.
+keep_clean keeps all columns, whatever their names; contaminated reads doc_id and text alone.
 """
 
 from __future__ import annotations
@@ -87,18 +90,28 @@ def tile(text: np.ndarray, item: np.ndarray, least: int = MIN_TILE) -> list[tupl
     out, size = [], min(len(item), len(text))
     while size >= least:
         a, b = _free(in_text, size), _free(in_item, size)
-        found = []
+        found = np.zeros(0, np.int64)
         if len(a) and len(b):
             left, right = text_sums.windows(a, size), item_sums.windows(b, size)
             order = np.argsort(right, kind="stable")
             lo, hi = np.searchsorted(right[order], left, "left"), np.searchsorted(right[order], left, "right")
-            for k in np.flatnonzero(hi > lo):
-                found += [(int(a[k]), int(b[order[j]])) for j in range(lo[k], hi[k])]
-        for i, j in found:
-            if not in_text[i : i + size].any() and not in_item[j : j + size].any() and np.array_equal(text[i : i + size], item[j : j + size]):
-                in_text[i : i + size] = True
-                in_item[j : j + size] = True
-                out.append((i, j, size))
+            found = np.flatnonzero(hi > lo)
+        open_from: dict[int, int] = {}  # of equal windows of the item those before this one are marked, and stay so
+        for k in found:
+            i, at, stop = int(a[k]), open_from.get(int(lo[k]), int(lo[k])), int(hi[k])
+            if in_text[i : i + size].any():
+                continue
+            while at < stop and in_item[b[order[at]] : b[order[at]] + size].any():
+                at += 1
+            open_from[int(lo[k])] = at
+            while at < stop:
+                j = int(b[order[at]])
+                if not in_item[j : j + size].any() and np.array_equal(text[i : i + size], item[j : j + size]):
+                    in_text[i : i + size] = True
+                    in_item[j : j + size] = True
+                    out.append((i, j, size))
+                    break
+                at += 1
         size = _next_size(text_sums, item_sums, in_text, in_item, size - 1, least)
     return out
 
@@ -180,7 +193,7 @@ class Benchmark:
 
 
 def blocks(benchmark: DataFrame, least: int = MIN_TILE, size: int = BLOCK_CHARS) -> Iterator[Benchmark]:
-    """The benchmark in blocks of about ``size`` characters; only one block at a time is on the driver."""
+    """The benchmark in blocks of about ``size`` characters. The driver gathers one at a time; what was broadcast lives until the query ends."""
     rows = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // size)
