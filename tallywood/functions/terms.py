@@ -12,17 +12,33 @@ TIERS = {1: "EXACT_CODE", 2: "EXACT_LABEL", 3: "ALIAS", 4: "PREFIX", 5: "FUZZY"}
 SHARE = 0.22
 
 
+def _fuzzy(q: DataFrame, c: DataFrame) -> DataFrame:
+    """query, code, label, name within the allowed distance: one of distance + 1 segments of the query stands in the name, shifted by no more than the distance."""
+    most = F.greatest(F.lit(1), F.floor(F.length("query") * SHARE).cast("int"))
+    rows = q.withColumns({"most": most, "n": F.length("query")})
+    cut = lambda i: F.floor(i * F.col("n") / (F.col("most") + 1)).cast("int")
+    segments = F.transform(F.sequence(F.lit(0), F.col("most")), lambda i: F.struct(cut(i).alias("at"), F.substring(F.col("query"), cut(i) + 1, cut(i + 1) - cut(i)).alias("part")))
+    asked = rows.select("query", "most", F.explode(segments).alias("s")).select("query", "most", "s.at", "s.part").where("part <> ''")
+    places = F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1)))
+    parts = F.flatten(F.transform(places, lambda a: F.transform(places, lambda n: F.struct((a - 1).alias("start"), F.substring(F.col("name"), a, n).alias("part")))))
+    held = c.select("code", "label", "name", F.explode(parts).alias("s")).select("code", "label", "name", "s.start", "s.part").distinct()
+    met = asked.join(held, "part").where((F.abs(F.col("at") - F.col("start")) <= F.col("most")) & (F.levenshtein("query", "name") <= F.col("most")))
+    return met.select("query", "code", "label", "name").distinct()
+
+
 def search(queries: DataFrame, concepts: DataFrame, limit: int = 8) -> DataFrame:
     """The best concepts for each distinct query text.
 
-    queries: query; concepts (a small vocabulary): code, label, aliases. Fuzzy matches need
-    four letters and a distance of at most max(1, 22 % of the length), and need review.
+    queries: query; concepts: code, label, aliases. Every tier is an equi join, so neither side
+    has to be small. Fuzzy matches need four letters and a distance of at most max(1, 22 % of
+    the length), and need review.
     """
     q = queries.select(squeeze(F.col("query")).alias("query")).distinct()
     c = concepts.select("code", "label", squeeze(F.col("label")).alias("name"), F.transform("aliases", squeeze).alias("aliases"))
-    most = F.greatest(F.lit(1), F.floor(F.length("query") * SHARE).cast("int"))
-    apart = F.levenshtein("query", "name")
-    tier = F.when(F.col("query") == F.lower("code"), 1).when(F.col("query") == F.col("name"), 2).when(F.array_contains("aliases", F.col("query")), 3).when(F.col("name").startswith(F.col("query")), 4).when((F.length("query") >= 4) & (apart <= most), 5)
-    met = q.join(F.broadcast(c), tier.isNotNull()).withColumns({"tier": tier, "apart": apart})
+    hit = lambda keys, tier: q.join(c.select("code", "label", "name", keys.alias("query")).where("query <> ''").distinct(), "query").withColumn("tier", F.lit(tier))
+    prefixes = F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1))), lambda n: F.substring(F.col("name"), F.lit(1), n)))
+    exact = hit(F.lower("code"), 1).unionByName(hit(F.col("name"), 2)).unionByName(hit(F.explode("aliases"), 3)).unionByName(hit(prefixes, 4))
+    near = _fuzzy(q.where(F.length("query") >= 4), c).withColumn("tier", F.lit(5))
+    met = exact.unionByName(near).groupBy("query", "code", "label", "name").agg(F.min("tier").alias("tier")).withColumn("apart", F.levenshtein("query", "name"))
     best = Window.partitionBy("query").orderBy("tier", "apart", "code")
     return met.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit).select("query", "code", "label", "tier", "place", (F.col("tier") == 5).alias("review_required"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .episodes import KEY, with_rules
+from .keys import join_on
 
 
 def representatives(facts: DataFrame) -> DataFrame:
@@ -16,17 +17,20 @@ def representatives(facts: DataFrame) -> DataFrame:
 
 
 def unambiguous(facts: DataFrame) -> DataFrame:
-    """Representatives of the dates on which one value alone is stated (the other rule set)."""
-    one = facts.groupBy(*KEY, "obs_date").agg(F.count_distinct("value").alias("kinds")).where("kinds = 1").drop("kinds")
-    return representatives(facts).join(one, [*KEY, "obs_date"], "left_semi")
+    """Representatives of the dates on which one value (with one unit, where given) alone is stated (the other rule set)."""
+    stated = F.struct("value", "unit") if "unit" in facts.columns else F.struct("value")
+    one = facts.where("value is not null").groupBy(*KEY, "obs_date").agg(F.count_distinct(stated).alias("kinds")).where("kinds = 1").drop("kinds")
+    return join_on(representatives(facts), one, [*KEY, "obs_date"], "left_semi")
 
 
-def adjacent_changes(points: DataFrame, rules: DataFrame) -> DataFrame:
-    """Differing values of neighbouring dates further apart than the concept's window."""
+def adjacent_changes(points: DataFrame, rules: DataFrame, same_unit: bool = False) -> DataFrame:
+    """Differing values of neighbouring dates further apart than the concept's window; with same_unit only of equal units."""
     order = Window.partitionBy(*KEY).orderBy("obs_date")
     before = lambda c: F.lag(c).over(order)
-    rows = with_rules(points, rules).select(*KEY, "window_days", before("fact_id").alias("from_id"), F.col("fact_id").alias("to_id"), before("obs_date").alias("from_date"), F.col("obs_date").alias("to_date"), before("value").alias("from_value"), F.col("value").alias("to_value"))
+    rows = with_rules(points, rules).select(*KEY, "window_days", before("fact_id").alias("from_id"), F.col("fact_id").alias("to_id"), before("obs_date").alias("from_date"), F.col("obs_date").alias("to_date"), before("value").alias("from_value"), F.col("value").alias("to_value"), *([before("unit").alias("from_unit"), F.col("unit").alias("to_unit")] if same_unit else []))
     changed = rows.where("from_id is not null and from_value <> to_value and datediff(to_date, from_date) > window_days")
+    if same_unit:
+        changed = changed.where(F.col("from_unit").eqNullSafe(F.col("to_unit")))
     delta = F.round(F.col("to_value") - F.col("from_value"), 6)
     return changed.select(*KEY, "from_id", "to_id", "from_date", "to_date", delta.alias("delta"), F.when(delta > 0, "INCREASED").otherwise("DECREASED").alias("direction"))
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .keys import join_on
+
 
 def nearest_documents(references: DataFrame, documents: DataFrame, reach_days: int = 45) -> DataFrame:
     """Each citation's nearest document of its kind and subject within the reach.
@@ -14,7 +16,7 @@ def nearest_documents(references: DataFrame, documents: DataFrame, reach_days: i
     document_id, doc_date. A missing date counts as distance 0; ties go to the smaller id.
     A citation without a candidate has a null document.
     """
-    met = references.join(documents, ["subject", "kind"]).where(F.col("document_id") != F.col("citing_doc"))
+    met = join_on(references, documents, ["subject", "kind"]).where(~F.col("document_id").eqNullSafe(F.col("citing_doc")))
     far = F.coalesce(F.abs(F.datediff("doc_date", "citing_date")), F.lit(0))
     near = Window.partitionBy("ref_id").orderBy("days_apart", "document_id")
     best = met.withColumn("days_apart", far).where(F.col("days_apart") <= reach_days).withColumn("place", F.row_number().over(near)).where("place = 1")
@@ -23,7 +25,7 @@ def nearest_documents(references: DataFrame, documents: DataFrame, reach_days: i
 
 def unique_matches(references: DataFrame, documents: DataFrame, reach_days: int = 45) -> DataFrame:
     """Resolution by the number of candidates: one, none or several (the other rule set)."""
-    met = references.join(documents, ["subject", "kind"]).where((F.col("document_id") != F.col("citing_doc")) & (F.coalesce(F.abs(F.datediff("doc_date", "citing_date")), F.lit(0)) <= reach_days))
+    met = join_on(references, documents, ["subject", "kind"]).where(~F.col("document_id").eqNullSafe(F.col("citing_doc")) & (F.coalesce(F.abs(F.datediff("doc_date", "citing_date")), F.lit(0)) <= reach_days))
     found = met.groupBy("ref_id").agg(F.count("*").alias("n_candidates"))
     n = F.coalesce("n_candidates", F.lit(0))
     return references.select("ref_id").join(found, "ref_id", "left").select("ref_id", n.alias("n_candidates"), F.when(n == 1, "RESOLVED").when(n == 0, "NOT_PRESENT").otherwise("REVIEW_REQUIRED").alias("resolution"))
@@ -39,7 +41,7 @@ def missing_followups(expected: DataFrame, documents: DataFrame) -> DataFrame:
     expected: event_id, subject, kind, event_date, interval_days; documents: subject, kind,
     doc_date. The horizon is the last document date of all.
     """
-    horizon = documents.agg(F.max("doc_date").alias("horizon")).first()["horizon"]
-    due = expected.withColumn("due_date", F.date_add("event_date", F.col("interval_days"))).where(F.col("due_date") <= F.lit(horizon))
+    horizon = documents.agg(F.max("doc_date")).scalar()
+    due = expected.withColumn("due_date", F.date_add("event_date", F.col("interval_days"))).where(F.col("due_date") <= horizon)
     later = documents.groupBy("subject", "kind").agg(F.max("doc_date").alias("last_date"))
-    return due.join(later, ["subject", "kind"], "left").where("last_date is null or last_date <= event_date").select("event_id", "subject", "due_date", F.lit("MISSING_FOLLOW_UP").alias("gap_type"))
+    return join_on(due, later, ["subject", "kind"], "left").where("last_date is null or last_date <= event_date").select("event_id", "subject", "due_date", F.lit("MISSING_FOLLOW_UP").alias("gap_type"))

@@ -59,10 +59,11 @@ def series_view(spark, d):
 def med_list_antijoin(spark, d):
     e = s.facts(spark, d)
     entries = e.where("concept <> 'view'").select("subject", F.col("fact_id").alias("entry_id"), F.col("concept").alias("item"), F.col("obs_date").alias("record_date"), F.lit("ACTIVE").alias("status"), F.lit(None).cast("date").alias("stop_date"), "document_id")
-    lists = e.where("concept = 'view' and document_id < 20").groupBy("subject", F.col("document_id").alias("list_id")).agg(F.max("obs_date").alias("list_date"))
-    items = e.where("document_id < 20").select("subject", F.col("document_id").alias("list_id"), F.col("concept").alias("item")).distinct()
-    keyed = lambda x: x.withColumn("list_id", F.col("subject") * 1000 + F.col("list_id"))
-    entries = entries.withColumn("document_id", F.col("subject") * 1000 + F.col("document_id"))
+    lists = e.where("concept = 'view'").groupBy("subject", F.col("document_id").alias("list_id")).agg(F.max("obs_date").alias("list_date"))
+    items = e.select("subject", F.col("document_id").alias("list_id"), F.col("concept").alias("item")).distinct()
+    own = F.coalesce("subject", F.lit(0)) * 1000
+    keyed = lambda x: x.withColumn("list_id", own + F.col("list_id"))
+    entries = entries.withColumn("document_id", own + F.col("document_id"))
     return conflicts.list_conflicts(entries, keyed(lists), keyed(items).drop("subject")).select("subject", "list_id", "entry_id", "item")
 
 
@@ -112,13 +113,12 @@ def relationship_edges(spark, d):
 
 
 def graph_edges_valid(spark, d):
-    nodes = s.facts(spark, d).where("document_id % 3 <> 0").select(F.col("fact_id").cast("string").alias("node_id"))
+    nodes = s.facts(spark, d).where("subject is not null").select(F.col("fact_id").cast("string").alias("node_id"))
     return views.valid_edges(_edges(spark, d), nodes)
 
 
 def timeline_days(spark, d):
-    members = materiality_pairs(spark, d).select(F.explode(F.array("left_id", "right_id")).alias("fact_id"))
-    return views.timeline(s.facts(spark, d), members)
+    return views.timeline(s.facts(spark, d), conflicts.material_members(s.facts(spark, d), s.rules(spark)))
 
 
 def case_summary(spark, d):
@@ -201,10 +201,10 @@ QUERIES = {f.__name__: f for f in _ALL}
 _num = lambda x: "NULL" if x is None else f"CAST({x} AS DOUBLE)"
 _RULES = "rules(concept, abs_limit, rel_limit, window_days) AS (VALUES " + ", ".join(f"('{a}', {_num(b)}, {_num(c)}, {w})" for a, b, c, w, _ in s.RULES) + ")"
 _REQ = "req(claim_type, concept, op, threshold, lookback_days) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {_num(t)}, {n})" for a, b, c, t, n in s.REQUIREMENTS) + ")"
-_FACTS = "facts AS (SELECT user_id AS subject, event_type AS concept, event_id AS fact_id, CAST(ts AS DATE) AS obs_date, value, CASE WHEN value >= 50 THEN 'HIGH' WHEN value >= 10 THEN 'MID' ELSE 'LOW' END AS value_key, CAST(json_extract_string(props, '$.k') AS BIGINT) AS document_id, round((event_id % 10) / 10.0, 1) AS confidence FROM events)"
+_FACTS = "facts AS (SELECT CASE WHEN user_id % 50 <> 0 THEN user_id END AS subject, event_type AS concept, event_id AS fact_id, CAST(ts AS DATE) AS obs_date, value, CASE WHEN value >= 50 THEN 'HIGH' WHEN value >= 10 THEN 'MID' ELSE 'LOW' END AS value_key, CAST(json_extract_string(props, '$.k') AS BIGINT) AS document_id, round((event_id % 10) / 10.0, 1) AS confidence FROM events)"
 _EPI = f"{_FACTS}, {_RULES}, lagged AS (SELECT f.*, r.abs_limit, r.rel_limit, CASE WHEN lag(obs_date) OVER w IS NULL OR date_diff('day', lag(obs_date) OVER w, obs_date) > window_days THEN 1 ELSE 0 END AS b FROM facts f JOIN rules r USING (concept) WINDOW w AS (PARTITION BY subject, f.concept ORDER BY obs_date, fact_id)), epi AS (SELECT *, CAST(sum(b) OVER (PARTITION BY subject, concept ORDER BY obs_date, fact_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS episode FROM lagged)"
 _MAT = "(abs(a.value - b.value) > 0 AND CASE WHEN a.abs_limit IS NULL AND a.rel_limit IS NULL THEN true ELSE coalesce(abs(a.value - b.value) >= a.abs_limit, false) OR coalesce(abs(a.value - b.value) / greatest(abs(a.value), abs(b.value), 1e-9) >= a.rel_limit, false) END)"
-_PAIRS = f"pairs AS (SELECT a.subject, a.concept, a.episode, a.fact_id AS left_id, b.fact_id AS right_id, round(b.value - a.value, 6) AS delta FROM epi a JOIN epi b ON a.subject = b.subject AND a.concept = b.concept AND a.episode = b.episode AND a.fact_id < b.fact_id AND a.document_id <> b.document_id WHERE {_MAT})"
+_PAIRS = f"pairs AS (SELECT a.subject, a.concept, a.episode, a.fact_id AS left_id, b.fact_id AS right_id, round(b.value - a.value, 6) AS delta FROM epi a JOIN epi b ON a.subject IS NOT DISTINCT FROM b.subject AND a.concept = b.concept AND a.episode = b.episode AND a.fact_id < b.fact_id AND a.document_id <> b.document_id WHERE {_MAT})"
 _REPS = "reps AS (SELECT * FROM facts QUALIFY row_number() OVER (PARTITION BY subject, concept, obs_date ORDER BY confidence DESC, fact_id DESC) = 1)"
 
 
@@ -213,7 +213,7 @@ def _change(points: str) -> str:
 
 
 _DUPS = "dups AS (SELECT subject, concept, obs_date, fact_id AS other_id, primary_id FROM (SELECT *, min(fact_id) OVER (PARTITION BY subject, concept, obs_date, floor(value)) AS primary_id FROM facts) WHERE fact_id <> primary_id)"
-_CLAIMS = f"{_FACTS}, {_REQ}, claims AS (SELECT fact_id AS claim_id, subject, concept AS claim_type, obs_date AS claim_date FROM facts WHERE concept IN ('signup', 'purchase', 'error')), ev AS (SELECT c.claim_id, c.subject, r.concept, f.fact_id, f.obs_date, CASE WHEN date_diff('day', f.obs_date, c.claim_date) < 0 THEN 'after_claim' WHEN date_diff('day', f.obs_date, c.claim_date) > r.lookback_days THEN 'before_lookback' ELSE 'in_window' END AS place, CASE r.op WHEN 'lt' THEN f.value < r.threshold WHEN 'lte' THEN f.value <= r.threshold WHEN 'gt' THEN f.value > r.threshold ELSE f.value >= r.threshold END AS supports FROM claims c JOIN req r USING (claim_type) JOIN facts f ON f.subject = c.subject AND f.concept = r.concept)"
+_CLAIMS = f"{_FACTS}, {_REQ}, claims AS (SELECT fact_id AS claim_id, subject, concept AS claim_type, obs_date AS claim_date FROM facts WHERE concept IN ('signup', 'purchase', 'error')), ev AS (SELECT c.claim_id, c.subject, r.concept, f.fact_id, f.obs_date, CASE WHEN date_diff('day', f.obs_date, c.claim_date) < 0 THEN 'after_claim' WHEN date_diff('day', f.obs_date, c.claim_date) > r.lookback_days THEN 'before_lookback' ELSE 'in_window' END AS place, CASE r.op WHEN 'lt' THEN f.value < r.threshold WHEN 'lte' THEN f.value <= r.threshold WHEN 'gt' THEN f.value > r.threshold ELSE f.value >= r.threshold END AS supports FROM claims c JOIN req r USING (claim_type) JOIN facts f ON f.subject IS NOT DISTINCT FROM c.subject AND f.concept = r.concept)"
 _STATUS = "status AS (SELECT c.claim_id, c.subject, CASE WHEN c.claim_type NOT IN (SELECT claim_type FROM req) THEN 'NOT_ASSESSED' WHEN coalesce(x.k, 0) > 0 THEN 'CONTRADICTING_LOCATED' WHEN coalesce(x.n, 0) > 0 THEN 'SUPPORTING_LOCATED' ELSE 'NO_LOCATED_EVIDENCE' END AS evidence_status, coalesce(x.n, 0) AS n_support, coalesce(x.k, 0) AS n_contradict FROM claims c LEFT JOIN (SELECT claim_id, count(*) FILTER (supports) AS n, count(*) FILTER (NOT supports) AS k FROM ev WHERE place = 'in_window' GROUP BY claim_id) x USING (claim_id))"
 _OUT = "outside AS (SELECT claim_id, concept, place, count(*) AS n_facts, min(fact_id) AS first_fact FROM ev WHERE place <> 'in_window' GROUP BY ALL)"
 _REFS = "docs AS (SELECT l_orderkey AS subject, CAST(l_linenumber AS BIGINT) AS document_id, CAST(min(l_shipdate) AS DATE) AS doc_date FROM lineitem GROUP BY ALL), met AS (SELECT o_orderkey AS ref_id, document_id, abs(date_diff('day', CAST(o_orderdate AS DATE), doc_date)) AS days_apart FROM orders JOIN docs ON subject = o_orderkey WHERE abs(date_diff('day', CAST(o_orderdate AS DATE), doc_date)) <= 45), near AS (SELECT o.o_orderkey AS ref_id, m.document_id, CAST(m.days_apart AS INTEGER) AS days_apart FROM orders o LEFT JOIN (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY days_apart, document_id) = 1) m ON m.ref_id = o.o_orderkey)"
@@ -221,16 +221,46 @@ _EDGES = f"{_FACTS}, {_RULES}, {_REPS}, {_change('reps')}, {_DUPS}, edges AS (SE
 _CUES = "SELECT doc_id, " + ", ".join(f"({' + '.join(f'CASE WHEN contains(lower(text), {chr(39)}{p}{chr(39)}) THEN 3 ELSE 0 END' for p in ps)}) AS s{i}" for i, ps in enumerate(CUES.values())) + " FROM documents"
 _CONCEPTS = "concepts(code, label, aliases) AS (VALUES " + ", ".join(f"('{a}', '{b}', CAST([{', '.join(repr(x) for x in c)}] AS VARCHAR[]))" for a, b, c in s.CONCEPTS) + ")"
 
+_DIFFER = _MAT.replace("a.value", "h").replace("b.value", "v.value").replace("a.", "v.")
+_FIRST_FIT = f"""
+vals AS (
+  SELECT subject, concept, episode, value, any_value(abs_limit) AS abs_limit, any_value(rel_limit) AS rel_limit, min((obs_date, fact_id)) AS first, max(obs_date) AS last_date, count(*) AS n, list(DISTINCT document_id) AS docs
+  FROM epi GROUP BY subject, concept, episode, value),
+v AS (SELECT *, row_number() OVER (PARTITION BY subject, concept, episode ORDER BY first) AS place FROM vals),
+fold AS (
+  SELECT subject, concept, episode, place, [value] AS heads, 1 AS g FROM v WHERE place = 1
+  UNION ALL
+  SELECT v.subject, v.concept, v.episode, v.place,
+    CASE WHEN list_position(list_transform(f.heads, lambda h: {_DIFFER}), false) IS NULL THEN list_append(f.heads, v.value) ELSE f.heads END,
+    coalesce(list_position(list_transform(f.heads, lambda h: {_DIFFER}), false), len(f.heads) + 1)
+  FROM fold f JOIN v ON v.subject IS NOT DISTINCT FROM f.subject AND v.concept = f.concept AND v.episode = f.episode AND v.place = f.place + 1),
+placed AS (SELECT v.*, f.g FROM v JOIN fold f ON v.subject IS NOT DISTINCT FROM f.subject AND v.concept = f.concept AND v.episode = f.episode AND v.place = f.place),
+groups AS (
+  SELECT subject, concept, episode, g, min(first) AS first, max(last_date) AS last_date, CAST(sum(n) AS INTEGER) AS n, arg_min(value, first) AS head, list_distinct(flatten(list(docs))) AS docs
+  FROM placed GROUP BY subject, concept, episode, g),
+clash AS (
+  SELECT a.subject, a.concept, a.episode, a.g AS ga, b.g AS gb, a.first[2] AS left_id, b.first[2] AS right_id, a.head AS left_value, b.head AS right_value, round(b.head - a.head, 6) AS delta,
+    a.n AS n_left, b.n AS n_right, least(a.first[1], b.first[1]) AS episode_start, greatest(a.last_date, b.last_date) AS episode_end, 'UNRESOLVED' AS status
+  FROM groups a JOIN groups b ON a.subject IS NOT DISTINCT FROM b.subject AND a.concept = b.concept AND a.episode = b.episode AND a.g < b.g
+  WHERE len(list_distinct(list_concat(a.docs, b.docs))) >= 2)"""
+
 ORACLE_SQL = {
+    "numeric_conflicts": f"WITH RECURSIVE {_EPI}, {_FIRST_FIT} SELECT * EXCLUDE (ga, gb) FROM clash",
+    "conflict_edges": f"""WITH RECURSIVE {_EPI}, {_FIRST_FIT},
+member AS (SELECT e.fact_id, e.document_id, p.subject, p.concept, p.episode, p.g FROM epi e JOIN placed p ON e.subject IS NOT DISTINCT FROM p.subject AND e.concept = p.concept AND e.episode = p.episode AND e.value = p.value)
+SELECT l.fact_id AS left_id, r.fact_id AS right_id FROM clash c
+JOIN member l ON l.subject IS NOT DISTINCT FROM c.subject AND l.concept = c.concept AND l.episode = c.episode AND l.g = c.ga
+JOIN member r ON r.subject IS NOT DISTINCT FROM c.subject AND r.concept = c.concept AND r.episode = c.episode AND r.g = c.gb
+WHERE l.document_id <> r.document_id""",
     "episode_clusters": f"WITH {_EPI} SELECT subject, concept, fact_id, obs_date, episode FROM epi",
     "materiality_pairs": f"WITH {_EPI}, {_PAIRS} SELECT * FROM pairs",
-    "status_conflicts": f"WITH {_EPI}, g AS (SELECT subject, concept, episode, value_key, arg_min(fact_id, (obs_date, fact_id)) AS first_id, count(*) AS n, list(DISTINCT document_id) AS docs FROM epi GROUP BY ALL) SELECT a.subject, a.concept, a.episode, a.value_key AS left_key, b.value_key AS right_key, a.first_id AS left_id, b.first_id AS right_id, a.n AS n_left, b.n AS n_right, 'UNRESOLVED' AS status FROM g a JOIN g b ON a.subject = b.subject AND a.concept = b.concept AND a.episode = b.episode AND a.value_key < b.value_key WHERE len(list_distinct(list_concat(a.docs, b.docs))) >= 2",
+    "status_conflicts": f"WITH {_EPI}, g AS (SELECT subject, concept, episode, value_key, arg_min(fact_id, (obs_date, fact_id)) AS first_id, count(*) AS n, list(DISTINCT document_id) AS docs FROM epi GROUP BY ALL) SELECT a.subject, a.concept, a.episode, a.value_key AS left_key, b.value_key AS right_key, a.first_id AS left_id, b.first_id AS right_id, a.n AS n_left, b.n AS n_right, 'UNRESOLVED' AS status FROM g a JOIN g b ON a.subject IS NOT DISTINCT FROM b.subject AND a.concept = b.concept AND a.episode = b.episode AND a.value_key < b.value_key WHERE len(list_distinct(list_concat(a.docs, b.docs))) >= 2",
     "changes_adjacent": f"WITH {_FACTS}, {_RULES}, {_REPS}, {_change('reps')} SELECT * FROM changed",
-    "changes_unambiguous": f"WITH {_FACTS}, {_RULES}, {_REPS}, clear AS (SELECT r.* FROM reps r SEMI JOIN (SELECT subject, concept, obs_date FROM facts GROUP BY ALL HAVING count(DISTINCT value) = 1) USING (subject, concept, obs_date)), {_change('clear')} SELECT * FROM changed",
+    "changes_unambiguous": f"WITH {_FACTS}, {_RULES}, {_REPS}, clear AS (SELECT r.* FROM reps r SEMI JOIN (SELECT subject AS s, concept AS c, obs_date AS o FROM facts GROUP BY ALL HAVING count(DISTINCT value) = 1) x ON r.subject IS NOT DISTINCT FROM x.s AND r.concept = x.c AND r.obs_date = x.o), {_change('clear')} SELECT * FROM changed",
     "duplicates": f"WITH {_FACTS}, {_DUPS} SELECT * FROM dups",
     "series_engine": f"WITH {_FACTS}, {_REPS} SELECT subject, concept, count(*) AS n_points, min(obs_date) AS first_date, max(obs_date) AS last_date, arg_min(value, obs_date) AS first_value, arg_max(value, obs_date) AS last_value, string_agg(CAST(fact_id AS VARCHAR), ',' ORDER BY obs_date) AS points FROM reps GROUP BY ALL HAVING count(*) >= 2",
     "series_view": f"WITH {_FACTS}, g AS (SELECT subject, concept, obs_date, floor(value / 10) AS value, min(fact_id) AS fact_id, list(DISTINCT CAST(document_id AS VARCHAR)) AS d FROM facts GROUP BY ALL) SELECT subject, concept, obs_date, value, fact_id, len(d) AS n_documents, array_to_string(list_sort(d), ',') AS documents FROM g",
-    "med_list_antijoin": f"WITH {_FACTS}, lists AS (SELECT subject, document_id, max(obs_date) AS list_date FROM facts WHERE concept = 'view' AND document_id < 20 GROUP BY ALL) SELECT e.subject, l.subject * 1000 + l.document_id AS list_id, e.fact_id AS entry_id, e.concept AS item FROM facts e JOIN lists l ON l.subject = e.subject AND l.document_id <> e.document_id AND e.obs_date <= l.list_date WHERE e.concept <> 'view' AND NOT EXISTS (SELECT 1 FROM facts x WHERE x.subject = l.subject AND x.document_id = l.document_id AND x.concept = e.concept)",
+    "med_list_antijoin": f"WITH {_FACTS}, lists AS (SELECT subject, document_id, max(obs_date) AS list_date FROM facts WHERE concept = 'view' GROUP BY ALL) SELECT e.subject, coalesce(l.subject, 0) * 1000 + l.document_id AS list_id, e.fact_id AS entry_id, e.concept AS item FROM facts e JOIN lists l ON l.subject IS NOT DISTINCT FROM e.subject AND l.document_id <> e.document_id AND e.obs_date <= l.list_date WHERE e.concept <> 'view' AND NOT EXISTS (SELECT 1 FROM facts x WHERE x.subject IS NOT DISTINCT FROM l.subject AND x.document_id = l.document_id AND x.concept = e.concept)",
     "claim_status": f"WITH {_CLAIMS}, {_STATUS} SELECT * FROM status",
     "claim_out_of_window": f"WITH {_CLAIMS}, {_OUT} SELECT * FROM outside",
     "claim_first_support": f"WITH {_CLAIMS} SELECT claim_id, arg_min(fact_id, (obs_date, fact_id)) AS fact_id FROM ev WHERE place = 'in_window' AND supports GROUP BY claim_id",
@@ -238,9 +268,9 @@ ORACLE_SQL = {
     "reference_nearest": f"WITH {_REFS} SELECT * FROM near",
     "reference_unique_match": f"WITH {_REFS} SELECT o_orderkey AS ref_id, coalesce(n, 0) AS n_candidates, CASE coalesce(n, 0) WHEN 1 THEN 'RESOLVED' WHEN 0 THEN 'NOT_PRESENT' ELSE 'REVIEW_REQUIRED' END AS resolution FROM orders LEFT JOIN (SELECT ref_id, count(*) AS n FROM met GROUP BY 1) ON ref_id = o_orderkey",
     "gap_missing_reference": f"WITH {_REFS} SELECT ref_id, 'MISSING_DOCUMENT' AS gap_type FROM near WHERE document_id IS NULL",
-    "gap_missing_followup": f"WITH {_FACTS} SELECT e.fact_id AS event_id, e.subject, e.obs_date + 7 AS due_date, 'MISSING_FOLLOW_UP' AS gap_type FROM facts e WHERE e.concept = 'signup' AND e.obs_date + 7 <= (SELECT max(obs_date) FROM facts) AND NOT EXISTS (SELECT 1 FROM facts d WHERE d.subject = e.subject AND d.concept = 'purchase' AND d.obs_date > e.obs_date)",
+    "gap_missing_followup": f"WITH {_FACTS} SELECT e.fact_id AS event_id, e.subject, e.obs_date + 7 AS due_date, 'MISSING_FOLLOW_UP' AS gap_type FROM facts e WHERE e.concept = 'signup' AND e.obs_date + 7 <= (SELECT max(obs_date) FROM facts) AND NOT EXISTS (SELECT 1 FROM facts d WHERE d.subject IS NOT DISTINCT FROM e.subject AND d.concept = 'purchase' AND d.obs_date > e.obs_date)",
     "relationship_edges": f"WITH {_EDGES} SELECT * FROM edges",
-    "graph_edges_valid": f"WITH {_EDGES}, nodes AS (SELECT CAST(fact_id AS VARCHAR) AS id FROM facts WHERE document_id % 3 <> 0) SELECT * FROM edges WHERE from_id IN (SELECT id FROM nodes) AND to_id IN (SELECT id FROM nodes)",
+    "graph_edges_valid": f"WITH {_EDGES}, nodes AS (SELECT CAST(fact_id AS VARCHAR) AS id FROM facts WHERE subject IS NOT NULL) SELECT * FROM edges WHERE from_id IN (SELECT id FROM nodes) AND to_id IN (SELECT id FROM nodes)",
     "timeline_days": f"WITH {_EPI}, {_PAIRS}, hit AS (SELECT left_id AS id FROM pairs UNION SELECT right_id FROM pairs) SELECT subject, obs_date, count(*) AS n_entries, count(hit.id) AS n_in_conflict, string_agg(CAST(fact_id AS VARCHAR), ',' ORDER BY fact_id) AS entries FROM facts LEFT JOIN hit ON hit.id = fact_id GROUP BY ALL",
     "case_summary": f"WITH {_FACTS} SELECT count(*) AS n_facts, count(DISTINCT subject) AS n_subjects, count(DISTINCT concept) AS n_concepts, count(DISTINCT document_id) AS n_documents, round(CASE WHEN count(*) = 0 THEN 1.0 ELSE count(document_id) / count(*) END, 6) AS traceability FROM facts",
     "care_team": "SELECT n_name, r_name, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS roles, count(DISTINCT c_custkey) AS n_members FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY ALL",

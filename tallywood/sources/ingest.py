@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..operators.keys import join_on
 
 PAGE_BREAK = "\n\f\n"
 #: Suffixes that can be read, and files that are no documents.
@@ -40,9 +41,9 @@ def raw_text(documents: DataFrame, pages: str = "pages") -> DataFrame:
 
 def content_dedupe(documents: DataFrame, case: str, digest: str, order: str) -> DataFrame:
     """Adds is_duplicate and duplicate_of: the first document of the case with the same content."""
-    same = Window.partitionBy(case, digest)
-    first = F.min(order).over(same)
-    return documents.withColumns({"duplicate_of": F.when(F.col(order) != first, first), "is_duplicate": F.col(order) != first})
+    first = documents.groupBy(case, digest).agg(F.min(order).alias("first__"))
+    rows = join_on(documents, first, [case, digest], "left")
+    return rows.withColumns({"duplicate_of": F.when(F.col(order) != F.col("first__"), F.col("first__")), "is_duplicate": F.col(order) != F.col("first__")}).drop("first__")
 
 
 def pending(manifest: DataFrame, done: DataFrame, key: str = "path") -> DataFrame:
