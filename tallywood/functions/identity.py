@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: Words that are no part of a name.
-TITLES = ("mr", "mrs", "ms", "dr", "prof", "jr", "sr")
+TITLES = ("mr", "mrs", "ms", "miss", "master", "dr", "prof", "sri", "smt", "shri", "baby", "jr", "sr", "ii", "iii", "iv", "md", "mbbs", "do", "phd", "dm", "mch", "frcp", "facs")
 
 
 @F.pandas_udf(StringType())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -11,68 +12,90 @@ from pyspark.sql import functions as F
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 _MONTH = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
 
-#: Unit spellings and how they are written here, with the factor to the base unit of their kind.
-UNITS = {"g/dl": ("g/dL", "mass_per_volume", 10.0), "g/l": ("g/L", "mass_per_volume", 1.0), "mg/dl": ("mg/dL", "mass_per_volume", 0.01), "fl": ("fL", "volume", 1e-15), "ml": ("mL", "volume", 1e-3), "mm": ("mm", "length", 1.0), "cm": ("cm", "length", 10.0), "mg": ("mg", "mass", 1e-3), "g": ("g", "mass", 1.0)}
-
 
 def _month_number(name: Column) -> Column:
-    short = F.substring(F.lower(name), 1, 3)
-    return reduce(lambda rest, k: F.when(short == MONTHS[k], F.lit(f"{k + 1:02d}")).otherwise(rest), range(12), F.lit(None).cast("string"))
+    """Two digits of a month by the first three letters of its name; the name is one of MONTHS' forms."""
+    at = F.call_function("locate", F.substring(F.lower(name), 1, 3), F.lit("".join(MONTHS)))
+    return F.lpad(F.floor((at + 2) / 3).cast("string"), 2, "0")
 
 
-def parse_date(text: Column) -> Column:
-    """The first pattern that gives a real date: d Mon yyyy, Mon d yyyy, yyyy-mm-dd, d/m/yyyy, Mon yyyy."""
+def dated(text: Column) -> Column:
+    """struct<date, precision> by the first form that gives a real date: d Mon yyyy, Mon d, yyyy, yyyy-mm-dd, d/m/yyyy, Mon yyyy (its first day, precision month)."""
     low = F.lower(text)
 
     def made(pattern: str, year: int, month: int, day: int | None, named: bool) -> Column:
         part = lambda k: F.regexp_extract(low, pattern, k)
         m = _month_number(part(month)) if named else F.lpad(part(month), 2, "0")
         d = F.lit("01") if day is None else F.lpad(part(day), 2, "0")
-        iso = F.concat_ws("-", part(year), m, d)
-        return F.when(iso.rlike(r"^\d{4}-\d{2}-\d{2}$"), iso.try_cast("date"))
+        return F.struct(F.concat_ws("-", part(year), m, d).alias("iso"), F.lit("month" if day is None else "day").alias("precision"))
 
-    return F.coalesce(
+    #: The forms, in their order.
+    forms = F.array(
         made(rf"\b(\d{{1,2}})\s+{_MONTH}\.?,?\s+(\d{{4}})\b", 3, 2, 1, True),
         made(rf"\b{_MONTH}\.?\s+(\d{{1,2}}),?\s+(\d{{4}})\b", 3, 1, 2, True),
         made(r"\b(\d{4})-(\d{2})-(\d{2})\b", 1, 2, 3, False),
         made(r"\b(\d{1,2})/(\d{1,2})/(\d{4})\b", 3, 2, 1, False),
         made(rf"\b{_MONTH}\.?\s+(\d{{4}})\b", 2, 1, None, True),
     )
+    read = F.transform(forms, lambda x: F.struct(F.when(x["iso"].rlike(r"^\d{4}-\d{2}-\d{2}$"), x["iso"].try_cast("date")).alias("date"), x["precision"].alias("precision")))
+    return F.get(F.filter(read, lambda x: x["date"].isNotNull()), F.lit(0))
 
 
-def measurements(text: Column) -> Column:
-    """array<struct<value, unit>>: a number with a unit at most two blanks to its right, inside word bounds."""
-    names = "|".join(sorted((u.replace("/", r"\/") for u in UNITS), key=len, reverse=True))
-    found = F.regexp_extract_all(text, F.lit(rf"(?i)(?<![\w./:])(\d+(?:\.\d+)?[ \t]{{0,2}}(?:{names}))(?![\w/])"), F.lit(1))
-    return F.transform(found, lambda x: F.struct(F.regexp_extract(x, r"^(\d+(?:\.\d+)?)", 1).cast("double").alias("value"), canonical_unit(F.regexp_replace(x, r"^[\d.]+[ \t]*", "")).alias("unit")))
+def parse_date(text: Column) -> Column:
+    return dated(text)["date"]
 
 
-def canonical_unit(unit: Column) -> Column:
-    low = F.lower(F.regexp_replace(unit, r"\s+", ""))
-    return reduce(lambda rest, k: F.when(low == k, F.lit(UNITS[k][0])).otherwise(rest), UNITS, unit)
+#: Words that label a document's date.
+DATE_LABELS = ("report date", "reported on", "date of report", "consultation date", "follow-?up date", "list date", "discharge date", "admission date", "compiled", "sample date", "date")
 
 
-def _of_unit(unit: Column, place: int, kind: str) -> Column:
-    return reduce(lambda rest, k: F.when(unit == UNITS[k][0], F.lit(UNITS[k][place])).otherwise(rest), UNITS, F.lit(None).cast(kind))
+def document_date(text: Column) -> Column:
+    """struct<date, precision, labelled>: the first labelled date, but the last one labelled as report or discharge date where there is one; else the first date of the text."""
+    stated = F.regexp_extract_all(text, F.lit(rf"(?i)(?:{'|'.join(DATE_LABELS)})\s*[:\-]\s*[^\n]{{4,40}}"), F.lit(0))
+    ranked = F.transform(stated, lambda x, i: F.struct(F.when(F.lower(x).rlike("discharge date|report date"), -i - 1).otherwise(i).alias("rank"), F.lit(True).alias("labelled"), dated(F.regexp_extract(x, r"[:\-]\s*([^\n]*)$", 1)).alias("d")))
+    best = F.array_min(F.filter(ranked, lambda x: x["d"].isNotNull()))  # the last strong label, else the first of all
+    return F.coalesce(
+        F.transform(F.array(best), lambda b: F.when(b.isNotNull(), F.struct(b["d"]["date"].alias("date"), b["d"]["precision"].alias("precision"), F.lit(True).alias("labelled"))))[0],
+        F.transform(F.array(dated(text)), lambda a: F.struct(a["date"].alias("date"), F.coalesce(a["precision"], F.lit("unknown")).alias("precision"), F.lit(False).alias("labelled")))[0],
+    )
 
 
-def convert(value: Column, unit: Column, target: Column) -> Column:
-    """Value in the target unit; null where the kinds differ or a unit is unknown."""
-    same = _of_unit(unit, 1, "string") == _of_unit(target, 1, "string")
-    return F.when(same, value * _of_unit(unit, 2, "double") / _of_unit(target, 2, "double"))
+def classify(text: Column, cues: dict[str, tuple[str, ...]], other: str = "OTHER", filename: Column | None = None, hints: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """The class with the highest score: 3 for each cue phrase in the text, 2 where the file's name holds a hint of it.
 
+    Ties go to the class named first (those of cues before those of hints alone); no score gives ``other``.
+    """
+    low, hints = F.lower(text), (hints or {}) if filename is not None else {}
+    names = [*cues, *(k for k in hints if k not in cues)]
 
-def classify(text: Column, cues: dict[str, tuple[str, ...]], other: str = "OTHER") -> Column:
-    """The class with the most cue phrases; ties go to the class named first, none gives ``other``."""
-    low = F.lower(text)
-    score = {k: reduce(lambda a, b: a + b, [F.when(low.contains(p), 3).otherwise(0) for p in phrases]) for k, phrases in cues.items()}
-    best = F.greatest(*score.values()) if len(score) > 1 else next(iter(score.values()))
-    return reduce(lambda rest, k: F.when((best > 0) & (score[k] == best), F.lit(k)).otherwise(rest), reversed(list(score)), F.lit(other))
+    def score(k: str) -> Column:
+        parts = [F.when(low.contains(p), 3).otherwise(0) for p in cues.get(k, ())]
+        if hints.get(k):
+            parts.append(F.when(reduce(lambda a, b: a | b, [F.lower(filename).contains(p) for p in hints[k]]), 2).otherwise(0))
+        return F.coalesce(reduce(lambda a, b: a + b, parts, F.lit(0)), F.lit(0))
+
+    scores = {k: score(k) for k in names}
+    best = F.greatest(*scores.values()) if len(scores) > 1 else next(iter(scores.values()))
+    return reduce(lambda rest, k: F.when((best > 0) & (scores[k] == best), F.lit(k)).otherwise(rest), reversed(names), F.lit(other))
 
 
 def mentions(text: Column, term: str) -> Column:
-    """Whole-word containment among lower-case letters and digits."""
-    return F.lower(text).rlike(rf"(?<![a-z0-9]){term}(?![a-z0-9])")
+    """Whole-word containment among lower-case letters and digits; the term is taken literally."""
+    return F.lower(text).rlike(rf"(?<![a-z0-9]){re.escape(term)}(?![a-z0-9])")
+
+
+def mentions_any(text: Column, terms: Column) -> Column:
+    """Is one of the terms (an array column of words) a whole word of the text."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9-]+"), F.lit(0))
+    return F.arrays_overlap(F.array_union(words, F.flatten(F.transform(words, lambda w: F.split(w, "-")))), terms)
+
+
+#: Words that make a statement hypothetical.
+HYPOTHETICAL = r"(?i)(?:\b(?:if|should|unless|to (?:exclude|rule out|assess for)|query|consider|suspected|possible|cannot exclude|r/o|rule out|advise|recommend(?:ed)?|plan(?:ned)?\s+for|awaiting|pending)\b|\?)"
+
+
+def hypothetical(line: Column) -> Column:
+    return line.rlike(HYPOTHETICAL)
 
 
 def negated(text: Column, term: str, words=("no", "not", "without", "denies")) -> Column:

@@ -23,11 +23,11 @@ def unambiguous(facts: DataFrame) -> DataFrame:
     return join_on(representatives(facts), one, [*KEY, "obs_date"], "left_semi")
 
 
-def adjacent_changes(points: DataFrame, rules: DataFrame, same_unit: bool = False) -> DataFrame:
+def adjacent_changes(points: DataFrame, rules: DataFrame, same_unit: bool = False, default_window: int = 2) -> DataFrame:
     """Differing values of neighbouring dates further apart than the concept's window; with same_unit only of equal units."""
     order = Window.partitionBy(*KEY).orderBy("obs_date")
     before = lambda c: F.lag(c).over(order)
-    rows = with_rules(points, rules).select(*KEY, "window_days", before("fact_id").alias("from_id"), F.col("fact_id").alias("to_id"), before("obs_date").alias("from_date"), F.col("obs_date").alias("to_date"), before("value").alias("from_value"), F.col("value").alias("to_value"), *([before("unit").alias("from_unit"), F.col("unit").alias("to_unit")] if same_unit else []))
+    rows = with_rules(points, rules, default_window).select(*KEY, "window_days", before("fact_id").alias("from_id"), F.col("fact_id").alias("to_id"), before("obs_date").alias("from_date"), F.col("obs_date").alias("to_date"), before("value").alias("from_value"), F.col("value").alias("to_value"), *([before("unit").alias("from_unit"), F.col("unit").alias("to_unit")] if same_unit else []))
     changed = rows.where("from_id is not null and from_value <> to_value and datediff(to_date, from_date) > window_days")
     if same_unit:
         changed = changed.where(F.col("from_unit").eqNullSafe(F.col("to_unit")))

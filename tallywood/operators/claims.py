@@ -57,8 +57,12 @@ def claim_status(claims: DataFrame, requirements: DataFrame, facts: DataFrame, q
     qualitative: more evidence rows (claim_id, supports), as from status_evidence.
     """
     rows = claim_evidence(claims, requirements, facts).select("claim_id", "supports")
-    rows = rows if qualitative is None else rows.unionByName(qualitative.select("claim_id", "supports"))
-    found = rows.groupBy("claim_id").agg(F.count_if("supports").alias("n_support"), F.count_if(~F.col("supports")).alias("n_contradict"))
+    return status_of(claims, requirements, rows if qualitative is None else rows.unionByName(qualitative.select("claim_id", "supports")))
+
+
+def status_of(claims: DataFrame, requirements: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Evidence status of every claim from rows (claim_id, supports); a claim without a rule isn't assessed."""
+    found = evidence.groupBy("claim_id").agg(F.count_if("supports").alias("n_support"), F.count_if(~F.col("supports")).alias("n_contradict"))
     known = claims.join(F.broadcast(requirements.select("claim_type").distinct().withColumn("assessed", F.lit(True))), "claim_type", "left").join(found, "claim_id", "left")
     count = lambda c: F.coalesce(c, F.lit(0))
     status = F.when(F.col("assessed").isNull(), "NOT_ASSESSED").when(count("n_contradict") > 0, "CONTRADICTING_LOCATED").when(count("n_support") > 0, "SUPPORTING_LOCATED").otherwise("NO_LOCATED_EVIDENCE")

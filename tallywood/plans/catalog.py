@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import identity, terms, text
-from ..operators import changes, claims, conflicts, episodes, gaps, views
+from ..functions import identity, terms, text, units
+from ..operators import changes, claims, conflicts, episodes, extraction, gaps, views
 from ..sources import ingest
+from . import notes
 from . import standins as s
 
 #: Cue phrases of document classes in the stand-in corpus.
@@ -157,10 +158,10 @@ def date_extract(spark, d):
 
 
 def measure_extract(spark, d):
-    docs = s.table(spark, d, "documents")
     line = F.concat(F.lit("Hb "), (F.col("doc_id") % 17).cast("string"), F.lit(".5 g/dL; size "), F.col("n_chars").cast("string"), F.lit(" mm "), F.col("text"))
-    found = docs.select("doc_id", F.explode(text.measurements(line)).alias("m")).select("doc_id", "m.value", "m.unit")
-    return found.groupBy("doc_id", "unit").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"), F.round(F.sum(text.convert(F.col("value"), F.col("unit"), F.lit("g/L"))), 6).alias("in_g_per_l"))
+    pages = s.table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), line.alias("text"))
+    found = extraction.measurements(extraction.lines(pages)).select(F.col("page_id").alias("doc_id"), "value", F.col("unit_canonical").alias("unit"))
+    return found.groupBy("doc_id", "unit").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"), F.round(F.sum(units.convert(F.col("value"), F.col("unit"), F.lit("g/L"))), 6).alias("in_g_per_l"))
 
 
 def negation_filter(spark, d):
@@ -195,7 +196,7 @@ def bulk_resume(spark, d):
 
 
 _ALL = (episode_clusters, materiality_pairs, numeric_conflicts, conflict_edges, status_conflicts, changes_adjacent, changes_unambiguous, duplicates, series_engine, series_view, med_list_antijoin, claim_status, claim_out_of_window, claim_first_support, gap_unsupported, reference_nearest, reference_unique_match, gap_missing_reference, gap_missing_followup, relationship_edges, graph_edges_valid, timeline_days, case_summary, care_team, display_numbering, content_dedupe, raw_offsets, classify_cues, date_extract, measure_extract, negation_filter, term_search_tiers, identity_link_rules, job_progress, bulk_resume)
-QUERIES = {f.__name__: f for f in _ALL}
+QUERIES = {f.__name__: f for f in _ALL} | notes.QUERIES
 
 # --- SQL -----------------------------------------------------------------------------
 _num = lambda x: "NULL" if x is None else f"CAST({x} AS DOUBLE)"
@@ -286,3 +287,4 @@ WHERE l.document_id <> r.document_id""",
     "job_progress": "WITH l AS (SELECT o_orderpriority AS job_id, CASE WHEN o_orderstatus = 'P' THEN 'PENDING' WHEN o_orderstatus = 'F' THEN 'INGESTED' WHEN o_orderkey % 7 = 0 THEN 'FAILED' ELSE 'DUPLICATE' END AS status FROM orders) SELECT job_id, count(*) AS total, count(*) FILTER (status = 'PENDING') AS pending, count(*) FILTER (status = 'INGESTED') AS ingested, count(*) FILTER (status = 'DUPLICATE') AS duplicate, count(*) FILTER (status = 'FAILED') AS failed, round(100.0 * (count(*) - count(*) FILTER (status = 'PENDING')) / count(*), 1) AS percent FROM l GROUP BY 1",
     "bulk_resume": "SELECT o_orderkey AS path, o_orderpriority FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
 }
+ORACLE_SQL |= notes.ORACLE_SQL

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tallywood.functions import text
-from tallywood.operators import changes, conflicts, episodes, gaps
+from tallywood.operators import changes, conflicts, episodes, extraction, gaps
 from tallywood.plans import catalog
 from tallywood.sources import ingest
 
@@ -55,9 +55,10 @@ def test_dates(spark, stated, want):
 
 
 def test_measurements_in_layouts(spark):
-    for line in ("Hemoglobin 9.2 g/dL (12-16)", "Hb | 9.2 g/dL | low", "Hb ..... 9.2 G/DL L", "a hemoglobin of 9.2 g/dl was seen"):
-        assert [tuple(x) for x in spark.range(1).select(text.measurements(F.lit(line))).first()[0]] == [(9.2, "g/dL")]
-    assert spark.range(1).select(text.measurements(F.lit("at 12:30 g"))).first()[0] == []
+    texts = ("Hemoglobin 9.2 g/dL (12-16)", "Hb | 9.2 g/dL | low", "Hb ..... 9.2 gm/dL L", "a hemoglobin of 9.2 g/dl was seen", "at 12:30 g", "range 12-16 g/dL")
+    pages = spark.createDataFrame(list(enumerate(texts)), "page_id int, text string")
+    found = extraction.measurements(extraction.lines(pages)).orderBy("page_id").collect()
+    assert [(x.page_id, x.value, x.unit_canonical) for x in found] == [(i, 9.2, "g/dL") for i in range(4)]
 
 
 def test_offsets_slice_back(spark):
