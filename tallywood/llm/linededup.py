@@ -1,26 +1,31 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions alone.
 
-A line is what stands between newlines. Of equal lines, and of lines within MAX_EDITS
-edits, the first in the corpus (by document id, then place) stays; a line goes when an
-earlier line is near it, whether or not that one stays itself. Lines of fewer than
-MIN_CHARS characters are left alone.
+A line is what stands between newlines. Of equal lines, and of lines of MIN_CHARS characters
+or more within MAX_EDITS edits, the first in the corpus (by document id, then place) stays; a line
+goes when an earlier line is near it, whether or not that one stays itself. Shorter lines go
+only where they are repeated exactly (one edit would make any two short words the same), and
+lines of whitespace alone are separators and stay.
 
 Each distinct line is split into MAX_EDITS + 1 even segments; two lines within that many
 edits share one segment at a place that the lengths and the segment's number allow. So
 every line is indexed under (length, segment number, segment), and probes the indexes of
 its own and of the smaller lengths with the substrings at those places (multi-match-aware
-selection). A pair that shares a key must also agree in its letter parities but for two
+selection). A pair that shares a key must also agree in its letter and digit parities but for two
 for each edit; keys held by many lines are split by parts of those parities, one of which
 must be equal, so a frequent segment doesn't bring all its lines together. What remains is
-verified by the built-in edit distance, which keeps to the band of the threshold.
+verified by bit-parallel edit distance: a column of the alignment is a word of vertical
+differences, of which only the band of the threshold is kept, and one character more of the
+other line is a handful of word operations.
 
 Texts move only once more, to take up the places that are dropped: distinct lines travel
 as hashes, keys and parities, and the lines to verify are looked up by hash.
 
 Defined cases: a null text stays null; an empty text is one empty line; repeated lines
 within a text are repeats too; rows with the same id are one document, whose lines are
-those of all its rows; a document all of whose lines go keeps an empty text, or is dropped
-with drop_empty. Line identity is by two 64-bit hashes.
+those of all its rows; a null id is a document like others and comes first; a document all of whose lines go
+keeps an empty text, or is dropped with drop_empty; an empty table gives an empty one; very long texts are
+cut into lines like others; columns named n_lines and n_dropped are replaced by those of this
+operator, all others are kept. Line identity is by one 64-bit hash.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ MAX_EDITS = 1
 MIN_CHARS = 20
 HOT_KEY = 256
 BROADCAST_LINES = 500_000
-LETTERS = "etanoisrhdlu"
+LETTERS = "etanoisrhdlu0123456789"
 
 
 def lines_of(text: Column) -> Column:
@@ -72,18 +77,24 @@ def parities(line: Column) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), [bit(k, c) for k, c in enumerate(LETTERS)])
 
 
-def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, place, line, h1, h2 of the distinct lines of each text."""
+def occurrences(docs: DataFrame, min_chars: int = 1) -> DataFrame:
+    """doc_id, place, line, h1 of the distinct lines of each text that aren't whitespace alone."""
     found = docs.where(F.col("text").isNotNull()).select("doc_id", F.posexplode(F.array_distinct(lines_of(F.col("text")))).alias("place", "line"))
-    return found.where(F.length("line") >= min_chars).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
+    return found.where((F.length("line") >= min_chars) & counts(F.col("line"))).withColumn("h1", F.xxhash64("line"))
+
+
+def counts(line: Column) -> Column:
+    """Is a line more than whitespace."""
+    return line.rlike(r"\S")
 
 
 def first_lines(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """Each distinct line by hash: first document and place, length, parities, keys k0, k1, ..."""
-    rows = occurrences(docs, min_chars).withColumn("size", F.length("line"))
+    rows = occurrences(docs).withColumn("size", F.length("line"))
     keys = line_keys(F.col("line"), F.col("size"), edits)
-    rows = rows.select("h1", "h2", "doc_id", "place", "size", parities(F.col("line")).alias("odd"), *[k.alias(f"k{i}") for i, (k, _) in enumerate(keys)])
-    return rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.min_by("place", "doc_id").alias("place"), F.min("size").alias("size"), F.min("odd").alias("odd"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(len(keys))])
+    long = F.col("size") >= min_chars
+    rows = rows.select("h1", "doc_id", "place", "size", F.when(long, parities(F.col("line"))).alias("odd"), *[F.when(long, k).alias(f"k{i}") for i, (k, _) in enumerate(keys)])
+    return rows.groupBy("h1").agg(F.min("doc_id").alias("doc_id"), F.min_by("place", "doc_id").alias("place"), F.min("size").alias("size"), F.min("odd").alias("odd"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(len(keys))])
 
 
 def candidate_pairs(lines: DataFrame, edits: int) -> DataFrame:
@@ -113,33 +124,77 @@ def near_lines(docs: DataFrame, pairs: DataFrame, edits: int, min_chars: int) ->
     found = occurrences(docs, min_chars).select("h1", "line").join(F.broadcast(wanted) if small else wanted, "h1")
     texts = settle(found.groupBy("h1").agg(F.min("line").alias("line")))
     both = pairs.join(texts.select(F.col("h1").alias("later"), F.col("line").alias("a")), "later").join(texts.select(F.col("h1").alias("earlier"), F.col("line").alias("b")), "earlier")
-    return both.where(F.levenshtein("a", "b", edits) >= 0).select(F.col("later").alias("h1")).distinct()
+    return within(both, "a", "b", edits).select(F.col("later").alias("h1")).distinct()
+
+
+def within(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
+    """The pairs whose lines (columns a and b) are within ``edits`` edits, by bit-parallel alignment in the band of the threshold.
+
+    Bit k of a word stands for row j - edits + k of the alignment's column j. up and down tell where the distance
+    rises and falls to the next row, last is the distance in the band's last row. For each character
+    of b: same has a bit for each band row whose character of a is equal; the carries of one addition run
+    along matches, which gives the rows that take the diagonal for nothing (flat), and from them the next
+    words, shifted by one as the band moves down. Rows behind the end of a match nothing; at the end they
+    are taken off again.
+    """
+    width = 2 * edits + 1
+    full, top = (1 << width) - 1, 1 << (width - 1)
+    long = lambda x: F.lit(x).cast("long")
+    either, both, flip = lambda *w: reduce(lambda x, y: x.bitwiseOR(y), w), lambda x, y: x.bitwiseAND(y), lambda x: F.bitwise_not(x).bitwiseAND(long(full))
+    rows = pairs.where(F.abs(F.length(a) - F.length(b)) <= edits).withColumns({"a__": F.split(a, ""), "b__": F.split(b, "")})
+
+    def let(value: Column, then):
+        return F.transform(F.array(value), lambda x: then(x))[0]
+
+    def same(c: Column, j: Column) -> Column:
+        hit = lambda k: F.when((j - edits + k >= 0) & (F.get("a__", F.greatest(j - edits + k, F.lit(0))) == c), 1 << k).otherwise(0).cast("long")
+        return either(*[hit(k) for k in range(width)])
+
+    def flat(s: Column) -> Column:
+        match, up = s["same"], s["up"]
+        return both(either((both(match, up) + up).bitwiseXOR(up), match, s["down"]), long(full))
+
+    def words(s: Column) -> Column:
+        """flat to the state after the character."""
+        right, left = either(s["down"], flip(either(s["flat"], s["up"]))), both(s["flat"], s["up"])
+        below = F.shiftright(s["flat"], 1)
+        return F.struct(either(left, flip(either(below, right))).alias("up"), both(below, right).alias("down"), (s["last"] + F.when(both(s["flat"], long(top)) == 0, 1).otherwise(0)).alias("last"), (s["j"] + 1).alias("j"))
+
+    def step(s: Column, c: Column) -> Column:
+        keep = lambda x, name, value: F.struct(*[x[n].alias(n) for n in ("up", "down", "last", "j")], value.alias(name))
+        return let(keep(s, "same", same(c, s["j"])), lambda x: let(keep(x, "flat", flat(x)), words))
+
+    start = F.struct(long(((1 << (edits + 1)) - 1) << edits).alias("up"), long(0).alias("down"), long(edits).alias("last"), F.lit(0).alias("j"))
+    rows = rows.withColumn("end__", F.aggregate("b__", start, step))
+    low = F.greatest(F.lit(0), F.least(F.lit(width), F.length(a) - F.length(b) + edits))  # the first bit behind the row wanted
+    behind = lambda name: F.bit_count(both(F.col(f"end__.{name}"), long(full >> 1))) - F.bit_count(both(F.col(f"end__.{name}"), F.call_function("shiftleft", long(1), low) - 1))
+    return rows.where(F.col("end__.last") - behind("up") + behind("down") <= edits).drop("a__", "b__", "end__")
 
 
 def dropped_places(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, drop: the lines of each document (as hashes) that occur or come near earlier."""
     lines = settle(first_lines(docs, edits, min_chars))
     near = settle(near_lines(docs, settle(candidate_pairs(lines, edits)), edits, min_chars)).withColumn("near", F.lit(True))
-    kept = lines.select("h1", "h2", F.col("doc_id").alias("first"), "place").join(near, "h1", "left").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    rows = occurrences(docs, min_chars).select("doc_id", "h1", "h2").join(kept, ["h1", "h2"])
-    gone = rows.where(F.col("near") | (F.col("doc_id") != F.col("first"))).groupBy("doc_id").agg(F.collect_set("h1").alias("drop__"))
-    return gone
+    kept = lines.select("h1", F.col("doc_id").alias("first")).join(near, "h1", "left").select("h1", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    rows = occurrences(docs).select("doc_id", "h1").join(kept, "h1")
+    return rows.where(F.col("near") | ~F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("doc_id").agg(F.collect_set("h1").alias("drop__"))
 
 
 def dedup_lines(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, drop_empty: bool = False) -> DataFrame:
     """All columns of docs with the text rewritten, and n_lines, n_dropped."""
-    names = docs.columns
-    gone = dropped_places(docs, edits, min_chars)
-    rows = docs.join(gone.hint("shuffle_hash"), "doc_id", "left")
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    gone = dropped_places(docs, edits, min_chars).withColumnRenamed("doc_id", "id__")
+    rows = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id__")), "left").drop("id__")
     every, drop = lines_of(F.col("text")), F.coalesce("drop__", F.array().cast("array<bigint>"))
-    mark = lambda x: F.when(F.length(x) >= min_chars, F.xxhash64(x))
-    marks = F.filter(F.transform(every, mark), lambda h: h.isNotNull())
+    mark = lambda x: F.when(counts(x), F.xxhash64(x))
+    marks = F.filter(F.transform(every, lambda x: mark(x)), lambda h: h.isNotNull())
     repeated = F.size(F.array_distinct(marks)) != F.size(marks)
-    # each line carries its own hash, and short lines their place, so that nothing is looked up by line
+    # each line carries its own hash, and separators their place, so that nothing is looked up by line
     entries = F.transform(every, lambda x, i: F.struct(x.alias("line"), mark(x).alias("mark"), F.when(mark(x).isNull(), i).alias("place")))
     once = F.when(repeated, F.array_distinct(entries)).otherwise(entries)
     kept = F.transform(F.filter(once, lambda e: e["mark"].isNull() | ~F.array_contains(drop, e["mark"])), lambda e: e["line"])
     clean = rows.withColumns({"lines__": F.size(every), "kept__": F.when((F.size(drop) == 0) & ~repeated, every).otherwise(kept)})
-    out = clean.withColumns({"text": F.array_join("kept__", "\n"), "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.col("lines__")), "n_dropped": F.when(F.col("text").isNull(), 0).otherwise(F.col("lines__") - F.size("kept__"))})
+    none = F.col("text").isNull()
+    out = clean.withColumns({"text": F.array_join("kept__", "\n"), "n_lines": F.when(none, 0).otherwise(F.col("lines__")), "n_dropped": F.when(none, 0).otherwise(F.col("lines__") - F.size("kept__"))})
     out = out.select(*names, "n_lines", "n_dropped")
-    return out.where("n_dropped = 0 or length(text) > 0") if drop_empty else out
+    return out.where((F.col("n_dropped") == 0) | counts(F.col("text"))) if drop_empty else out

@@ -75,8 +75,8 @@ FROM s LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) m ON m.a = s.do
     "op7_line_dedup": r"""
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 o AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS place FROM l),
-f AS (SELECT line, arg_min(doc_id, (doc_id, place)) AS doc_id, arg_min(place, (doc_id, place)) AS place, length(line) AS n FROM o WHERE length(line) >= 20 GROUP BY line),
-h AS (SELECT *, n AS m FROM f UNION ALL SELECT *, n - 1 AS m FROM f),
+f AS (SELECT line, arg_min(doc_id, (doc_id, place)) AS doc_id, arg_min(place, (doc_id, place)) AS place, length(line) AS n FROM o WHERE regexp_matches(line, '\S') GROUP BY line),
+h AS (SELECT *, n AS m FROM f WHERE n >= 20 UNION ALL SELECT *, n - 1 AS m FROM f WHERE n >= 20),
 k AS (SELECT *, 0 AS side, left(line, m // 2) AS part FROM h UNION ALL SELECT *, 1 AS side, right(line, m - m // 2) AS part FROM h),
 near AS (
   SELECT DISTINCT CASE WHEN (a.doc_id, a.place) > (b.doc_id, b.place) THEN a.line ELSE b.line END AS line
@@ -84,7 +84,7 @@ near AS (
   WHERE levenshtein(a.line, b.line) <= 1
 ), kept AS (
   SELECT o.doc_id, o.place, o.line FROM o LEFT JOIN f ON f.line = o.line LEFT JOIN near ON near.line = o.line
-  WHERE length(o.line) < 20 OR (f.doc_id = o.doc_id AND f.place = o.place AND near.line IS NULL)
+  WHERE f.line IS NULL OR (f.doc_id = o.doc_id AND f.place = o.place AND near.line IS NULL)
 ), r AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY place) AS txt, count(*) AS n FROM kept GROUP BY doc_id)
 SELECT l.doc_id, len(l.ls) AS n_lines, len(l.ls) - coalesce(r.n, 0) AS n_dropped, length(coalesce(r.txt, '')) AS kept_chars, sha256(coalesce(r.txt, '')) AS kept_sha256
 FROM l LEFT JOIN r ON r.doc_id = l.doc_id

@@ -14,6 +14,7 @@ import pytest
 pytest.importorskip("tallywood.llm")
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 from tallywood.llm import bytepair, classlm, decontaminate, jaccard, langid, linededup, media, quality, toxicity, urlrules
 
@@ -76,7 +77,7 @@ def test_jaccard_prefixes_with_frequent_shingles_lose_no_link():
 
 
 def test_line_dedup_against_brute_force(spark, awkward):
-    texts = [*awkward, "a line that is long enough to count\nshort\nshort", "a line that is long enough to coun", "x line that is long enough to count\nother"]
+    texts = [*awkward, "a line that is long enough to count\nshort\nshort\n\n \n\nshorx", "other short\nshort", "a line that is long enough to coun", "x line that is long enough to count\nother"]
 
     def near(a, b):
         if abs(len(a) - len(b)) > 1:
@@ -93,14 +94,34 @@ def test_line_dedup_against_brute_force(spark, awkward):
             continue
         kept = []
         for line in t.split("\n"):
-            if len(line) >= 20:
-                if any(near(line, x) for x in seen):
+            if line.strip():
+                if line in seen or (len(line) >= 20 and any(len(x) >= 20 and near(line, x) for x in seen)):
                     continue
                 seen.append(line)
             kept.append(line)
         want[i] = "\n".join(kept)
     # a line near an earlier one goes even if that one went: no chains are planted here
     assert {x.doc_id: x.text for x in linededup.dedup_lines(frame(spark, texts)).collect()} == want
+    clash = frame(spark, texts).withColumn("n_lines", F.lit("x"))
+    assert linededup.dedup_lines(clash).columns.count("n_lines") == 1
+    kept = {x.doc_id: x.text for x in linededup.dedup_lines(frame(spark, texts), drop_empty=True).collect()}
+    assert kept == {i: t for i, t in want.items() if t == texts[i] or (t or "").strip()}
+
+
+def test_bit_parallel_distance_against_the_table(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(600):
+        a = [rng.choice("abcdé漢") for _ in range(rng.choice([1, 2, 5, 12, 40, 90]))]
+        b = list(a)
+        for _ in range(rng.randint(0, 5)):
+            k, kind = rng.randrange(len(b) + 1), rng.randrange(3)
+            b[k : k + (kind > 0)] = [rng.choice("abc漢")] if kind < 2 else []
+        rows.append((i, "".join(a), "".join(b)))
+    pairs = spark.createDataFrame(rows, "i int, x string, y string").where("y <> ''")
+    for edits in (1, 2, 4):
+        want = {r.i for r in pairs.where(F.levenshtein("x", "y") <= edits).collect()}
+        assert {r.i for r in linededup.within(pairs, "x", "y", edits).collect()} == want
 
 
 def test_tiling_finds_reordered_passages(spark, awkward):
