@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import identity, terms, text, units
 from ..operators import changes, claims, conflicts, episodes, extraction, gaps, views
 from ..sources import ingest
-from . import notes
+from . import audits, notes
+from . import catalog_sql as sql
 from . import standins as s
 
 #: Cue phrases of document classes in the stand-in corpus.
@@ -196,13 +197,13 @@ def bulk_resume(spark, d):
 
 
 _ALL = (episode_clusters, materiality_pairs, numeric_conflicts, conflict_edges, status_conflicts, changes_adjacent, changes_unambiguous, duplicates, series_engine, series_view, med_list_antijoin, claim_status, claim_out_of_window, claim_first_support, gap_unsupported, reference_nearest, reference_unique_match, gap_missing_reference, gap_missing_followup, relationship_edges, graph_edges_valid, timeline_days, case_summary, care_team, display_numbering, content_dedupe, raw_offsets, classify_cues, date_extract, measure_extract, negation_filter, term_search_tiers, identity_link_rules, job_progress, bulk_resume)
-QUERIES = {f.__name__: f for f in _ALL} | notes.QUERIES
+QUERIES = {f.__name__: f for f in _ALL} | notes.QUERIES | audits.QUERIES
 
 # --- SQL -----------------------------------------------------------------------------
 _num = lambda x: "NULL" if x is None else f"CAST({x} AS DOUBLE)"
-_RULES = "rules(concept, abs_limit, rel_limit, window_days) AS (VALUES " + ", ".join(f"('{a}', {_num(b)}, {_num(c)}, {w})" for a, b, c, w, _ in s.RULES) + ")"
+_RULES = sql.RULES
 _REQ = "req(claim_type, concept, op, threshold, lookback_days) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {_num(t)}, {n})" for a, b, c, t, n in s.REQUIREMENTS) + ")"
-_FACTS = "facts AS (SELECT CASE WHEN user_id % 50 <> 0 THEN user_id END AS subject, event_type AS concept, event_id AS fact_id, CAST(ts AS DATE) AS obs_date, value, CASE WHEN value >= 50 THEN 'HIGH' WHEN value >= 10 THEN 'MID' ELSE 'LOW' END AS value_key, CAST(json_extract_string(props, '$.k') AS BIGINT) AS document_id, round((event_id % 10) / 10.0, 1) AS confidence FROM events)"
+_FACTS = sql.FACTS
 _EPI = f"{_FACTS}, {_RULES}, lagged AS (SELECT f.*, r.abs_limit, r.rel_limit, CASE WHEN lag(obs_date) OVER w IS NULL OR date_diff('day', lag(obs_date) OVER w, obs_date) > window_days THEN 1 ELSE 0 END AS b FROM facts f JOIN rules r USING (concept) WINDOW w AS (PARTITION BY subject, f.concept ORDER BY obs_date, fact_id)), epi AS (SELECT *, CAST(sum(b) OVER (PARTITION BY subject, concept ORDER BY obs_date, fact_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS episode FROM lagged)"
 _MAT = "(abs(a.value - b.value) > 0 AND CASE WHEN a.abs_limit IS NULL AND a.rel_limit IS NULL THEN true ELSE coalesce(abs(a.value - b.value) >= a.abs_limit, false) OR coalesce(abs(a.value - b.value) / greatest(abs(a.value), abs(b.value), 1e-9) >= a.rel_limit, false) END)"
 _PAIRS = f"pairs AS (SELECT a.subject, a.concept, a.episode, a.fact_id AS left_id, b.fact_id AS right_id, round(b.value - a.value, 6) AS delta FROM epi a JOIN epi b ON a.subject IS NOT DISTINCT FROM b.subject AND a.concept = b.concept AND a.episode = b.episode AND a.fact_id < b.fact_id AND a.document_id <> b.document_id WHERE {_MAT})"
@@ -287,4 +288,4 @@ WHERE l.document_id <> r.document_id""",
     "job_progress": "WITH l AS (SELECT o_orderpriority AS job_id, CASE WHEN o_orderstatus = 'P' THEN 'PENDING' WHEN o_orderstatus = 'F' THEN 'INGESTED' WHEN o_orderkey % 7 = 0 THEN 'FAILED' ELSE 'DUPLICATE' END AS status FROM orders) SELECT job_id, count(*) AS total, count(*) FILTER (status = 'PENDING') AS pending, count(*) FILTER (status = 'INGESTED') AS ingested, count(*) FILTER (status = 'DUPLICATE') AS duplicate, count(*) FILTER (status = 'FAILED') AS failed, round(100.0 * (count(*) - count(*) FILTER (status = 'PENDING')) / count(*), 1) AS percent FROM l GROUP BY 1",
     "bulk_resume": "SELECT o_orderkey AS path, o_orderpriority FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
 }
-ORACLE_SQL |= notes.ORACLE_SQL
+ORACLE_SQL |= notes.ORACLE_SQL | audits.ORACLE_SQL

