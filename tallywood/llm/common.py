@@ -69,7 +69,7 @@ def join_spread(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | No
     Hot keys number at most HOT_PARTS, so their rows of the right table are broadcast; all other
     keys are shuffled. left is read several times: give a written table.
     """
-    found = settle((hot or hot_keys(left, key)).join(right, key))  # at most HOT_PARTS rows
+    found = settle((hot or hot_keys(left, key)).join(right, key, "left"))  # at most HOT_PARTS rows
     near = left.join(F.broadcast(found), key)
     far = left.join(F.broadcast(found.select(key)), key, "left_anti").join(right, key, "left")
     return near.unionByName(far)

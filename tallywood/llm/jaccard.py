@@ -13,7 +13,8 @@ A document is its set of distinct word shingles. Documents with equal sets form
   second kind are indexed. Frequent shingles alone never bring two documents together.
 * For long sets the k = 2 class is split by hash into as many classes as keep the number
   of pairs linear in n; the number follows the size level, and a set is indexed under
-  every level that a linked set may have.
+  every level that a linked set may have. From the level LONG on (sizes of 2 ** (LONG - 1)
+  or more) all shingles are in k = 2 classes: two long sets often share one rare shingle by chance, seldom two of a class.
 
 Every set also has a bitmap of parities: each bit tells whether an odd number of shingles
 falls on it. It has PARITY_BITS bits, or the power of two from the set's size on where
@@ -53,6 +54,8 @@ LISTED_IN_PIECE = 3
 PAIR_SHARE = 64
 PAIRS_OF = 16
 PARITY_BITS = 1024
+LONG = 11
+LONG_CLASS = 8
 BROADCAST_NODES = 500_000
 _U = np.uint64
 
@@ -108,25 +111,39 @@ def signatures(tokens: np.ndarray, listed: np.ndarray, rank: np.ndarray, cut: in
     else:
         at, is_listed = np.zeros(n, np.int64), np.zeros(n, bool)
     rare = tokens[~is_listed]
-    if len(rare) >= need:
-        return rare[:need], np.arange(need), len(rare)
     some, ranks = tokens[is_listed], rank[at[is_listed]]
     order = np.argsort(ranks)
     some, ranks = some[order], ranks[order]
-    single = np.concatenate([rare, some[ranks < cut]])
-    if len(single) >= need:
-        return single[:need], np.arange(need), len(rare)
-    double = some[ranks >= cut]
-    keys, places = [single], [np.arange(len(single))]
     levels = {(-(-num * n // den)).bit_length(), n.bit_length(), (den * n // num).bit_length()}
-    for split in sorted({max(1, (1 << level) // (10 * PAIRS_OF)) for level in levels}):
-        for key, place in _pairs(double, need - len(single), split):
+    keys, places = [], []
+    for level in sorted(x for x in levels if x >= LONG):
+        for key, place in _pairs(np.concatenate([rare, some]), need, max(2, (1 << level) * (den - num) // (den * LONG_CLASS)), level):
+            keys.append(key)
+            places.append(place)
+    short = [x for x in levels if x < LONG]
+    if short:
+        for key, place in _short(rare, some, ranks, cut, need, short):
             keys.append(key)
-            places.append(len(single) + place)
+            places.append(place)
     return np.concatenate(keys), np.concatenate(places), len(rare)
 
 
-def _pairs(double: np.ndarray, need: int, split: int):
+def _short(rare: np.ndarray, some: np.ndarray, ranks: np.ndarray, cut: int, need: int, levels: list[int]):
+    """Keys and places of a set that isn't long: single shingles, then pairs of the most frequent ones."""
+    if len(rare) >= need:
+        yield rare[:need], np.arange(need)
+        return
+    single = np.concatenate([rare, some[ranks < cut]])
+    if len(single) >= need:
+        yield single[:need], np.arange(need)
+        return
+    yield single, np.arange(len(single))
+    for split in sorted({max(1, (1 << level) // (10 * PAIRS_OF)) for level in levels}):
+        for key, place in _pairs(some[ranks >= cut], need - len(single), split):
+            yield key, len(single) + place
+
+
+def _pairs(double: np.ndarray, need: int, split: int, salt: int = 0):
     """Pairs within the k = 2 classes of the shortest prefix that gives ``need`` more.
 
     With one class the first two shared shingles are a pair, so all but one of the shared
@@ -145,7 +162,7 @@ def _pairs(double: np.ndarray, need: int, split: int):
         v = np.array(own, _U)
         i, j = np.triu_indices(len(v), 1)
         with np.errstate(over="ignore"):
-            yield mix(mix(v[i] + _U(split)) * _U(3) + v[j]), j - 1 if split == 1 else np.zeros(len(j), np.int64)
+            yield mix(mix(v[i] + _U(split) + _U(salt << 32)) * _U(3) + v[j]), j - 1 if split == 1 else np.zeros(len(j), np.int64)
 
 
 def parities(tokens: np.ndarray) -> np.ndarray:
@@ -172,7 +189,7 @@ def set_hash(tokens: np.ndarray) -> int | None:
 
 
 def classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, mark (hash of the text), node (hash of the set; null when empty), n, rare, parity, its two-word form, keys and places of every document."""
+    """doc_id, mark (hash of the text), node (hash of the set; null when empty), n, rare, parity, its short form, keys and places of every document."""
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(frequent_shingles(docs, k))
     kind = docs.schema["doc_id"].dataType.simpleString()

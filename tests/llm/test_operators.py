@@ -62,7 +62,9 @@ def test_jaccard_against_brute_force(spark, awkward):
         assert got == {i: (len(s), label[i]) for i, s in sets.items()}
 
 
-def test_jaccard_prefixes_with_frequent_shingles_lose_no_link():
+@pytest.mark.parametrize("long", [11, 7])
+def test_jaccard_prefixes_with_frequent_shingles_lose_no_link(monkeypatch, long):
+    monkeypatch.setattr(jaccard, "LONG", long)
     rng = np.random.default_rng(1)
     pool = np.sort(rng.integers(1, 1 << 62, 900).astype(np.uint64))
     listed, rank = pool[:400], rng.permutation(400)
