@@ -23,7 +23,7 @@ HIDDEN = (".ds_store", "thumbs.db", "desktop.ini")
 
 
 def discover(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """path, suffix, size, sha256, content of the files below a folder; unsupported ones are kept and marked."""
+    """path, suffix, size, sha256, content of the files below a folder; unsupported ones are kept and marked. Files without a byte are not listed by Spark."""
     return described(spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder))
 
 

@@ -138,16 +138,17 @@ def test_directions_and_their_opposites(spark):
 
 def test_files_archives_and_failures(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    for name, body in (("a.txt", b"one\xff text"), ("b.txt", b"one\xff text"), ("c.png", b"png"), ("d.pdf", b"no pdf"), ("e.doc", b"x"), ("f.txt", b""), (".hidden.txt", b"y"), ("Thumbs.db", b"z")):
+    for name, body in (("a.txt", b"one\xff text"), ("b.txt", b"one\xff text"), ("c.png", b"png"), ("d.pdf", b"no pdf"), ("e.doc", b"x"), (".hidden.txt", b"y"), ("Thumbs.db", b"z")):
         (tmp_path / "in" / name).write_bytes(body)
     files = ingest.discover(spark, str(tmp_path / "in")).withColumn("case_id", F.lit("k"))
     parsed = {x.path.rsplit("/", 1)[1]: x for x in ingest.parse_files(files).collect()}
-    assert {k: v.status for k, v in parsed.items()} == {"a.txt": "INGESTED", "b.txt": "DUPLICATE", "c.png": "MISSING", "d.pdf": "FAILED", "e.doc": "FAILED", "f.txt": "FAILED"}
-    assert parsed["d.pdf"].error and parsed["e.doc"].error == "unsupported suffix" and parsed["f.txt"].error == "empty file"
+    assert {k: v.status for k, v in parsed.items()} == {"a.txt": "INGESTED", "b.txt": "DUPLICATE", "c.png": "MISSING", "d.pdf": "FAILED", "e.doc": "FAILED"}
+    assert parsed["d.pdf"].error and parsed["e.doc"].error == "unsupported suffix"
     job = ingest.plan_job(files, "j").orderBy("ordinal").collect()
-    assert [x.ordinal for x in job] == [1, 2, 3, 4, 5, 6] and {x.status for x in job} == {"PENDING"} and [x.path for x in job] == sorted(x.path for x in job)
-    assert ingest.page_rows(ingest.parse_files(files)).where("page_number = 1").count() == 4
-    refused = {x.path.rsplit("/", 1)[1]: x.refused for x in ingest.accept_uploads(files, most_bytes=9).collect()}
+    assert [x.ordinal for x in job] == [1, 2, 3, 4, 5] and {x.status for x in job} == {"PENDING"} and [x.path for x in job] == sorted(x.path for x in job)
+    assert ingest.page_rows(ingest.parse_files(files)).where("page_number = 1").count() == 3
+    sent = files.select("path", "suffix", "supported", "byte_size", "sha256").unionByName(spark.createDataFrame([("x/f.txt", ".txt", True, 0, "0")], "path string, suffix string, supported boolean, byte_size long, sha256 string"))
+    refused = {x.path.rsplit("/", 1)[1]: x.refused for x in ingest.accept_uploads(sent, most_bytes=8).collect()}
     assert refused["a.txt"] == "too large" and refused["f.txt"] == "empty file" and refused["c.png"] is None
     (tmp_path / "zip").mkdir()
     body = io.BytesIO()
