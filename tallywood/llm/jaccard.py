@@ -13,14 +13,13 @@ A document is its set of distinct word shingles. Documents with equal sets form
   second kind are indexed. Frequent shingles alone never bring two documents together.
 * For long sets the k = 2 class is split by hash into as many classes as keep the number
   of pairs linear in n; the number follows the size level, and a set is indexed under
-  every level that a linked set may have. From the level LONG on (sizes of 2 ** (LONG - 1)
-  or more) all shingles are in k = 2 classes: two long sets often share one rare shingle by chance, seldom two of a class.
+  every level that a linked set may have.
 
 Every set also has a bitmap of parities: each bit tells whether an odd number of shingles
 falls on it. It has PARITY_BITS bits, or the power of two from the set's size on where
 that is more; a longer one is folded to the length of a shorter one. Two sets differ in
 at least as many shingles as their bitmaps differ in bits, so most chance candidates are
-dropped without their texts, and no link is. Two words of it go along with the postings of
+dropped without their texts, and no link is. BRIEF words of it go along with the postings of
 the second round. The others are verified exactly on the whole sets, in two rounds. First every class in a
 posting list is compared with the list's hub alone, the class with the fewest rare
 shingles and so the one nearest to the middle of a group of near copies; that joins up
@@ -54,10 +53,10 @@ LISTED_IN_PIECE = 3
 PAIR_SHARE = 64
 PAIRS_OF = 16
 PARITY_BITS = 1024
-LONG = 11
-LONG_CLASS = 8
+BRIEF = 8
 BROADCAST_NODES = 500_000
 _U = np.uint64
+_BRIEF = [f"p{i}" for i in range(BRIEF)]
 
 
 def shingle_sets(column: pa.Array, k: int):
@@ -111,39 +110,25 @@ def signatures(tokens: np.ndarray, listed: np.ndarray, rank: np.ndarray, cut: in
     else:
         at, is_listed = np.zeros(n, np.int64), np.zeros(n, bool)
     rare = tokens[~is_listed]
+    if len(rare) >= need:
+        return rare[:need], np.arange(need), len(rare)
     some, ranks = tokens[is_listed], rank[at[is_listed]]
     order = np.argsort(ranks)
     some, ranks = some[order], ranks[order]
-    levels = {(-(-num * n // den)).bit_length(), n.bit_length(), (den * n // num).bit_length()}
-    keys, places = [], []
-    for level in sorted(x for x in levels if x >= LONG):
-        for key, place in _pairs(np.concatenate([rare, some]), need, max(2, (1 << level) * (den - num) // (den * LONG_CLASS)), level):
-            keys.append(key)
-            places.append(place)
-    short = [x for x in levels if x < LONG]
-    if short:
-        for key, place in _short(rare, some, ranks, cut, need, short):
-            keys.append(key)
-            places.append(place)
-    return np.concatenate(keys), np.concatenate(places), len(rare)
-
-
-def _short(rare: np.ndarray, some: np.ndarray, ranks: np.ndarray, cut: int, need: int, levels: list[int]):
-    """Keys and places of a set that isn't long: single shingles, then pairs of the most frequent ones."""
-    if len(rare) >= need:
-        yield rare[:need], np.arange(need)
-        return
     single = np.concatenate([rare, some[ranks < cut]])
     if len(single) >= need:
-        yield single[:need], np.arange(need)
-        return
-    yield single, np.arange(len(single))
+        return single[:need], np.arange(need), len(rare)
+    double = some[ranks >= cut]
+    keys, places = [single], [np.arange(len(single))]
+    levels = {(-(-num * n // den)).bit_length(), n.bit_length(), (den * n // num).bit_length()}
     for split in sorted({max(1, (1 << level) // (10 * PAIRS_OF)) for level in levels}):
-        for key, place in _pairs(some[ranks >= cut], need - len(single), split):
-            yield key, len(single) + place
+        for key, place in _pairs(double, need - len(single), split):
+            keys.append(key)
+            places.append(len(single) + place)
+    return np.concatenate(keys), np.concatenate(places), len(rare)
 
 
-def _pairs(double: np.ndarray, need: int, split: int, salt: int = 0):
+def _pairs(double: np.ndarray, need: int, split: int):
     """Pairs within the k = 2 classes of the shortest prefix that gives ``need`` more.
 
     With one class the first two shared shingles are a pair, so all but one of the shared
@@ -162,7 +147,7 @@ def _pairs(double: np.ndarray, need: int, split: int, salt: int = 0):
         v = np.array(own, _U)
         i, j = np.triu_indices(len(v), 1)
         with np.errstate(over="ignore"):
-            yield mix(mix(v[i] + _U(split) + _U(salt << 32)) * _U(3) + v[j]), j - 1 if split == 1 else np.zeros(len(j), np.int64)
+            yield mix(mix(v[i] + _U(split)) * _U(3) + v[j]), j - 1 if split == 1 else np.zeros(len(j), np.int64)
 
 
 def parities(tokens: np.ndarray) -> np.ndarray:
@@ -207,13 +192,13 @@ def classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 rare.append(n_rare)
                 bitmap = parities(tokens)
                 parity.append(bitmap.tobytes())
-                brief.append(fold(bitmap, 2).view(np.int64))
-            short = np.array(brief, np.int64).reshape(-1, 2)
+                brief.append(fold(bitmap, BRIEF).view(np.int64))
+            short = np.array(brief, np.int64).reshape(-1, BRIEF)
             offs = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             flat, at = (np.concatenate(x).astype(t) if x else np.zeros(0, t) for x, t in ((keys, np.int64), (places, np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(rare, pa.int64()), pa.array(parity, pa.binary()), pa.array(short[:, 0]), pa.array(short[:, 1]), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat)), pa.ListArray.from_arrays(pa.array(offs), pa.array(at))], ["doc_id", "mark", "node", "n", "rare", "parity", "even", "odd", "keys", "places"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(rare, pa.int64()), pa.array(parity, pa.binary()), *[pa.array(short[:, i]) for i in range(BRIEF)], pa.ListArray.from_arrays(pa.array(offs), pa.array(flat)), pa.ListArray.from_arrays(pa.array(offs), pa.array(at))], ["doc_id", "mark", "node", "n", "rare", "parity", *_BRIEF, "keys", "places"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, f"doc_id {kind}, mark long, node long, n long, rare long, parity binary, even long, odd long, keys array<bigint>, places array<int>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, f"doc_id {kind}, mark long, node long, n long, rare long, parity binary, {', '.join(f'{x} long' for x in _BRIEF)}, keys array<bigint>, places array<int>")
 
 
 def _room(num: int, den: int):
@@ -297,11 +282,11 @@ def linked(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
     links = settle(verify(with_hub, reps, docs, k, num, den))
     labels = components(links)
     # classes that share a list and are not joined up yet
-    marked = settle(held.join(labels, "node", "left").join(reps.select("node", "even", "odd"), "node").select("key", "node", "n", "at", "even", "odd", F.coalesce("label", "node").alias("label")))
+    marked = settle(held.join(labels, "node", "left").join(reps.select("node", *_BRIEF), "node").select("key", "node", "n", "at", *_BRIEF, F.coalesce("label", "node").alias("label")))
     mixed = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     open_ = marked.join(mixed, "key")
-    side = lambda c: open_.select("key", F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "at", "label", "even", "odd")))
-    differ = sum(F.bit_count(F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b"))) for x in ("even", "odd"))
+    side = lambda c: open_.select("key", F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "at", "label", *_BRIEF)))
+    differ = sum(F.bit_count(F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b"))) for x in _BRIEF)
     close = differ * (den + num) <= (den - num) * (F.col("n_a") + F.col("n_b"))
     rest = side("a").join(side("b"), "key").where((F.col("label_a") < F.col("label_b")) & room & close).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     rest = settle(rest.join(with_hub, ["a", "b"], "left_anti"))
