@@ -112,7 +112,7 @@ def record_numeric_conflicts(facts: DataFrame, rules: DataFrame) -> DataFrame:
     order = Window.partitionBy(*KEY, "episode").orderBy("first_date", "first_id")
     both = conflicts._between_groups(groups.withColumn("group_no", F.row_number().over(order)))
     limits = rows.groupBy("concept").agg(F.max("abs_limit").alias("abs_limit"), F.max("rel_limit").alias("rel_limit"))
-    basis = F.when(F.col("abs_limit").isNull() & F.col("rel_limit").isNull(), "Any documented difference").otherwise(F.concat(records.short_number(F.col("abs_limit")), F.lit(" absolute or "), records.short_number(F.col("rel_limit") * 100), F.lit("% relative")))
+    basis = F.when(F.col("abs_limit").isNull() & F.col("rel_limit").isNull(), "Any documented difference").otherwise(F.concat_ws(" or ", F.concat(records.short_number(F.col("abs_limit")), F.lit(" absolute")), F.concat(records.short_number(F.col("rel_limit") * 100), F.lit("% relative"))))
     return both.join(F.broadcast(limits), "concept").select(
         *KEY, "episode", F.col("left_first_id").alias("left_id"), F.col("right_first_id").alias("right_id"), F.round(F.col("right_head_value") - F.col("left_head_value"), 6).alias("delta"),
         F.least("left_first_date", "right_first_date").alias("episode_start"), F.greatest("left_last_date", "right_last_date").alias("episode_end"), basis.alias("materiality_basis"), F.lit(conflicts.UNRESOLVED).alias("status"),

@@ -38,11 +38,11 @@ def days_apart(a: Column, b: Column, unusable: int = 1_000_000) -> Column:
 def short_number(value: Column) -> Column:
     """Six significant digits without trailing zeros, with an exponent from 1e6 on and below 1e-4."""
     s = F.format_string("%.5e", value)
-    power = F.regexp_extract(s, r"e([+-]\d+)$", 1).cast("int")
+    power = F.regexp_extract(s, r"e([+-]\d+)$", 1).try_cast("int")
     strip = lambda x: F.regexp_replace(F.regexp_replace(x, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    plain = strip(s.cast("double").cast("decimal(24,10)").cast("string"))
+    plain = strip(s.try_cast("double").try_cast("decimal(24,10)").cast("string"))
     far = F.concat(strip(F.regexp_extract(s, r"^([^e]*)", 1)), F.regexp_extract(s, r"(e.*)$", 1))
-    return F.when(value == 0, "0").when((power >= 6) | (power < -4), far).otherwise(plain)
+    return F.when(value.isNull(), None).when(value == 0, "0").when((power >= 6) | (power < -4), far).otherwise(plain)
 
 
 def summary_text(value: Column, unit: Column, words: Column) -> Column:

@@ -205,7 +205,7 @@ QUERIES = {f.__name__: f for f in _ALL}
 
 # --- SQL ------------------------------------------------------------------------------
 _UNITS = """u AS (
-  SELECT * EXCLUDE (value), floor(value / 5) * 5.0 AS value, CASE WHEN fact_id % 3 = 0 THEN 'mg' ELSE 'g' END AS unit, CASE WHEN fact_id % 10 = 0 THEN 'month' ELSE 'day' END AS date_precision FROM facts)"""
+  SELECT * EXCLUDE (value), CAST(floor(value / 5) * 5.0 AS DOUBLE) AS value, CASE WHEN fact_id % 3 = 0 THEN 'mg' ELSE 'g' END AS unit, CASE WHEN fact_id % 10 = 0 THEN 'month' ELSE 'day' END AS date_precision FROM facts)"""
 _RECORD_CLAIMS = """rc AS (
   SELECT fact_id AS claim_id, subject, concept AS claim_type, obs_date AS claim_date, CASE WHEN fact_id % 2 = 0 THEN 3 END AS lookback_days FROM facts WHERE concept IN ('signup', 'purchase', 'error')),
 asked AS (SELECT rc.*, unnest(['view', 'click']) AS concept FROM rc WHERE claim_type = 'signup'),

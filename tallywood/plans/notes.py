@@ -302,12 +302,12 @@ ORACLE_SQL = {
     "layout_observations": f"""
 SELECT event_id AS page_id, {_case("event_type", {r[0]: _text(r[3]) for r in READINGS})} AS concept,
   CASE WHEN event_type = 'error' THEN 'UNRECOGNISED' WHEN event_id % 7 = 4 THEN 'CONTAINED' ELSE 'EXACT' END AS match,
-  {_TENTHS} / 10.0 AS value, {_UNIT} AS unit, {_case("event_type", {"view": "'mass_per_volume'", "click": "'volume'", "signup": "'mass_per_volume'", "purchase": "'mass_per_volume'", "error": "'amount_per_volume'"})} AS dimension,
-  CASE WHEN event_type = 'error' THEN 0.72 WHEN event_id % 7 = 4 THEN 0.86 WHEN event_id % 7 = 2 THEN 0.88 WHEN event_id % 7 = 3 THEN 0.92 ELSE 0.96 END AS confidence,
+  CAST({_TENTHS} / 10.0 AS DOUBLE) AS value, {_UNIT} AS unit, {_case("event_type", {"view": "'mass_per_volume'", "click": "'volume'", "signup": "'mass_per_volume'", "purchase": "'mass_per_volume'", "error": "'amount_per_volume'"})} AS dimension,
+  CAST(CASE WHEN event_type = 'error' THEN 0.72 WHEN event_id % 7 = 4 THEN 0.86 WHEN event_id % 7 = 2 THEN 0.88 WHEN event_id % 7 = 3 THEN 0.92 ELSE 0.96 END AS DOUBLE) AS confidence,
   CASE WHEN event_id % 7 = 2 THEN 'COLUMN' ELSE 'ROW' END AS layout, CAST(ts AS DATE) AS obs_date, 'document' AS date_basis
 FROM events""",
     "measure_spans": f"""
-SELECT event_id AS page_id, {_TENTHS} / 10.0 AS value,
+SELECT event_id AS page_id, CAST({_TENTHS} / 10.0 AS DOUBLE) AS value,
   {_PRINTED} || CASE event_id % 7 WHEN 2 THEN ' | ' WHEN 6 THEN chr(9) ELSE ' ' END || {_UNIT} AS words,
   CASE WHEN event_id % 7 = 3 THEN 'L' END AS flag,
   CASE event_id % 7 WHEN 0 THEN '(1.0-9.5)' WHEN 3 THEN NULL WHEN 4 THEN NULL WHEN 5 THEN 'Ref: 1.0-9.5' ELSE '1.0-9.5' END AS reference_range
@@ -317,10 +317,10 @@ WITH u(k, unit, kind, plausible, alike, factor) AS (VALUES
   (0, 'g/dL', 'mass_per_volume', true, true, 10.0), (1, 'mg/dL', 'mass_per_volume', true, true, NULL), (2, 'mmol/L', 'amount_per_volume', true, false, NULL), (3, 'fL', 'volume', true, false, NULL),
   (4, '10*9/L', 'count_per_volume', true, false, NULL), (5, '10*3/uL', 'count_per_volume', true, false, NULL), (6, '/min', 'count_per_time', true, false, NULL), (7, 'meq/L', 'amount_per_volume', true, false, NULL),
   (8, 'g/dL', 'mass_per_volume', true, true, 10.0), (9, '%', 'fraction', true, false, NULL), (10, 'ng/mL', 'mass_per_volume', true, true, NULL), (11, '/min', 'count_per_time', false, false, NULL), (12, 'am', 'length', false, false, NULL))
-SELECT p_partkey, unit, kind, plausible, alike AS like_g_per_l, round(p_size * factor, 6) AS in_g_per_l FROM part JOIN u ON k = p_partkey % {len(UNITS)}""",
+SELECT p_partkey, unit, kind, plausible, alike AS like_g_per_l, round(CAST(p_size AS DOUBLE) * CAST(factor AS DOUBLE), 6) AS in_g_per_l FROM part JOIN u ON k = p_partkey % {len(UNITS)}""",
     "note_claims": f"""
 SELECT o_orderkey AS page_id, {_case("o_orderpriority", {"1-URGENT": "'IRON_DEFICIENCY'", "2-HIGH": "'ANEMIA_STABLE'", "3-MEDIUM": "'NO_ACUTE_FINDING'"})} AS claim_type,
-  rtrim({_case("o_orderpriority", {k: _text(v) for k, v in NOTE_CLAIMS.items()})}, '. ') AS claim_text, 0.95 AS confidence, CAST(o_orderdate AS DATE) AS claim_date
+  rtrim({_case("o_orderpriority", {k: _text(v) for k, v in NOTE_CLAIMS.items()})}, '. ') AS claim_text, CAST(0.95 AS DOUBLE) AS confidence, CAST(o_orderdate AS DATE) AS claim_date
 FROM orders WHERE o_orderpriority < '4'""",
     "note_medications": """
 SELECT o_orderkey AS page_id, 'ferrous sulfate' AS drug_norm, floor(o_totalprice) AS dose, 'mg' AS unit, 'twice daily' AS frequency, 'oral' AS route,
@@ -341,7 +341,7 @@ FROM orders""",
 SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' AND o_orderpriority <> '5-LOW' THEN 'REFERRAL' WHEN o_orderstatus = 'F' THEN 'LAB_REPORT' ELSE 'PRESCRIPTION' END AS doc_class FROM orders""",
     "document_dates": """
 SELECT o_orderkey,
-  CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_orderkey % 5 = 4 THEN date_trunc('month', CAST(o_orderdate AS DATE)) ELSE CAST(o_orderdate AS DATE) END ELSE DATE '1990-01-02' END AS doc_date,
+  CAST(CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_orderkey % 5 = 4 THEN date_trunc('month', CAST(o_orderdate AS DATE)) ELSE CAST(o_orderdate AS DATE) END ELSE DATE '1990-01-02' END AS DATE) AS doc_date,
   CASE WHEN o_orderstatus = 'F' AND o_orderkey % 5 = 4 THEN 'month' ELSE 'day' END AS precision, true AS labelled
 FROM orders""",
     "attributed_dates": """

@@ -129,6 +129,7 @@ def test_short_numbers(spark):
     values = (9.2, 68.0, 0.0, 1234567.0, 0.00001234, -3.5, 100.0, 0.1 + 0.2, 123456.7)
     got = [x[0] for x in spark.createDataFrame([(v,) for v in values], "v double").select(records.short_number(F.col("v"))).collect()]
     assert got == [f"{v:g}" for v in values]
+    assert spark.range(1).select(records.short_number(F.lit(None).cast("double"))).first()[0] is None
 
 
 def test_directions_and_their_opposites(spark):
