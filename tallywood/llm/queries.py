@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytepair, classlm, decontaminate, jaccard, langid, linededup, media, quality, toxicity, urlrules
+from . import alignment, bytepair, classlm, decontaminate, jaccard, langid, linededup, media, phrases, quality, substrings, toxicity, urlrules
 from .common import load
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BPE_PATTERN = public_tokenizers.PATTERN
+ALIGN_A, ALIGN_B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +56,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_url_filter, op3_ngram_jaccard, op4_byte_bpe, op5_media, op6_toxicity, op7_line_dedup, op8_class_lm, op9_quality, op10_language_id)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(load(spark, sf_dir, "documents"), ALIGN_A, ALIGN_B, BPE_PATTERN)
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats(load(spark, sf_dir, "documents"), least=13)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_url_filter, op3_ngram_jaccard, op4_byte_bpe, op5_media, op6_toxicity, op7_line_dedup, op8_class_lm, op9_quality, op10_language_id, op11_alignment, op12_substring_dedup, op13_collocations)}
 
 ORACLE_SQL = {
     "op3_ngram_jaccard": r"""
@@ -88,5 +101,34 @@ near AS (
 ), r AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY place) AS txt, count(*) AS n FROM kept GROUP BY doc_id)
 SELECT l.doc_id, len(l.ls) AS n_lines, len(l.ls) - coalesce(r.n, 0) AS n_dropped, length(coalesce(r.txt, '')) AS kept_chars, sha256(coalesce(r.txt, '')) AS kept_sha256
 FROM l LEFT JOIN r ON r.doc_id = l.doc_id
+""",
+    "op12_substring_dedup": r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), p AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+t AS (SELECT doc_id, i, ws[i] AS word, CASE WHEN i + 12 <= len(ws) THEN array_to_string(ws[i:i + 12], ' ') END AS win FROM p),
+f AS (SELECT win, min(doc_id) AS first FROM t WHERE win IS NOT NULL GROUP BY win),
+g AS (SELECT t.doc_id, t.i, t.word, coalesce(f.first < t.doc_id, false) AS again FROM t LEFT JOIN f ON f.win = t.win),
+c AS (SELECT doc_id, i, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM g),
+r AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS txt FROM c GROUP BY doc_id)
+SELECT w.doc_id, len(w.ws) AS n_words, coalesce(r.n, 0) AS n_removed, sha256(coalesce(r.txt, '')) AS kept_sha256 FROM w LEFT JOIN r ON r.doc_id = w.doc_id
+""",
+    "op13_collocations": r"""
+WITH s AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM s),
+p AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+g AS (SELECT lang, ws, i, unnest([1, 2, 3]) AS k FROM p),
+f AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, any_value(ws[i:i + k - 1]) AS ws, count(*) AS n FROM g WHERE i + k - 1 <= len(ws) GROUP BY 1, 2, 3),
+t AS (SELECT lang, sum(n) AS total FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, ws, n AS a, unnest(range(1, k)) AS cut FROM f WHERE k > 1 AND n >= 10),
+e AS (
+  SELECT c.lang, c.k, c.phrase, c.ws, c.a, c.cut, x.n AS l, y.n AS r, (1000000::HUGEINT * c.a * c.a) // (x.n::HUGEINT * y.n) AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:c.cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[c.cut + 1:c.k], ' ')
+), b AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+d AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT DISTINCT lang, a, ws[1:2] AS two, array_to_string(ws[1:2], ' ') AS phrase FROM c WHERE k = 3 UNION ALL SELECT DISTINCT lang, a, ws[2:3], array_to_string(ws[2:3], ' ') FROM c WHERE k = 3) GROUP BY lang, phrase),
+o AS (SELECT b.* FROM b LEFT JOIN d ON d.lang = b.lang AND d.phrase = b.phrase AND b.k = 2 WHERE d.longer IS NULL OR 100 * d.longer < 50 * b.a),
+n AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+SELECT n.lang, n.rank, n.phrase, n.a, n.l, n.r, t.total::BIGINT AS n, n.score::BIGINT AS score FROM n JOIN t ON t.lang = n.lang WHERE n.rank <= 2000
 """,
 }

@@ -32,7 +32,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_VALUE = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))[LOWER]
+_EACH = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
+_VALUE = _EACH[LOWER]
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
 _powers: list[np.ndarray] = []
@@ -104,7 +105,8 @@ class Words:
         return np.repeat(np.arange(len(self.offs) - 1), np.diff(self.offs))
 
 
-def words(piece: Piece) -> Words:
+def words(piece: Piece, lower: bool = True) -> Words:
+    """Word spans and hashes; hashes are of the lower-cased words unless told otherwise."""
     data, n = piece.data, len(piece.data)
     if not n:
         none = np.zeros(0, np.int64)
@@ -123,7 +125,7 @@ def words(piece: Piece) -> Words:
     up, down = _power_tables(n)
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, _U)
-        np.cumsum(_VALUE[data] * up[:n], out=total[1:], dtype=_U)
+        np.cumsum((_VALUE if lower else _EACH)[data] * up[:n], out=total[1:], dtype=_U)
         hashes = mix((total[ends] - total[starts]) * down[starts])
     return Words(starts, ends, hashes, np.searchsorted(starts, piece.offs))
 
