@@ -38,8 +38,8 @@ from .textscan import LOWER, Piece, mix, pieces, words
 SAMPLE_SHARE = 1 / 8
 SAMPLE_SLACK = 0.8
 FILTER_BITS = 26
-CHUNK_BYTES = 24 << 20
-EMIT_ROWS = 1 << 18
+CHUNK_BYTES = 10 << 20
+EMIT_ROWS = 1 << 17
 RANK_PARTS = 64
 _U = np.uint64
 _BYTE = np.arange(256)
@@ -79,26 +79,26 @@ class Scan:
         source = np.repeat(w.starts - at[:-1], size + 1) + np.arange(at[-1])
         flat = LOWER[plain.data[np.minimum(source, len(plain.data) - 1)]]
         flat[at[1:] - 1] = 32
-        self.parts.append((flat, size, hashes, follows, lang))
+        self.parts.append((flat, size.astype(np.int32), hashes, follows, lang))
         self.bytes += len(flat)
 
     def joined(self):
         flat, size, hashes, follows, lang = (np.concatenate(x) for x in zip(*self.parts))
-        return flat, np.concatenate([[0], np.cumsum(size + 1)]), size, hashes, follows, lang
+        self.parts = []
+        return flat, np.concatenate([[0], np.cumsum(size + 1)]).astype(np.int32), size, hashes, follows, lang
 
 
-def chain(hashes: np.ndarray, follows: np.ndarray, longest: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each length: first words of the phrases, and their hashes."""
-    at, h = np.arange(len(hashes)), hashes
-    out = [(at, h)]
+def chain(hashes: np.ndarray, follows: np.ndarray, longest: int):
+    """For each length in turn: first words of the phrases, and their hashes."""
+    at, h = np.arange(len(hashes), dtype=np.int32), hashes
+    yield at, h
     for k in range(1, longest):
         go = at + k < len(hashes)
         go[go] &= follows[at[go] + k - 1]
         at, h = at[go], h[go]
         with np.errstate(over="ignore"):
             h = mix(h * _U(0xD6E8FEB86659FD93) + hashes[at + k] + _U(k))
-        out.append((at, h))
-    return out
+        yield at, h
 
 
 def holds(table: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -146,30 +146,31 @@ def counted(docs: DataFrame, known: np.ndarray | None, before: np.ndarray | None
     shared = docs.sparkSession.sparkContext.broadcast((known, before))
     first_pass = before is None
 
-    def wanted(levels, table, n_words):
-        """Which phrases of each length have all parts in the table, and which are in it themselves."""
-        inside, out = [], []
-        for k, (at, h) in enumerate(levels):
-            member = np.zeros(n_words, bool)
-            every = np.ones(len(at), bool) if k == 0 else inside[k - 1][at] & inside[k - 1][at + 1]
-            if table is not None:
-                member[at[every]] = holds(table, h[every])
-            inside.append(member)
-            out.append(every)
-        return out, inside
+    class Known:
+        """Which phrases have all parts in a table, and which are in it themselves, a length after the other."""
+
+        def __init__(self, table: np.ndarray | None, n_words: int):
+            self.table, self.inside = table, np.ones(n_words + 1, bool)
+
+        def step(self, k: int, at: np.ndarray, h: np.ndarray) -> np.ndarray:
+            every = self.inside[at] & self.inside[at + 1] if k else np.ones(len(at), bool)
+            self.inside = np.zeros(len(self.inside), bool)
+            if self.table is not None:
+                self.inside[at[every]] = holds(self.table, h[every])
+            return every
 
     def emit(scan: Scan):
-        flat, at_byte, size, hashes, follows, lang = scan.joined()
         names = pa.array(list(scan.langs), pa.string())
+        flat, at_byte, size, hashes, follows, lang = scan.joined()
         known, before = shared.value
-        levels = chain(hashes, follows, longest)
-        now, member = wanted(levels, known, len(hashes))
-        old = None if first_pass else wanted(levels, before, len(hashes))[0]
+        now, old = Known(known, len(hashes)), Known(before, len(hashes))
         if first_pass:
             n = np.bincount(lang, minlength=len(names))
             yield pa.RecordBatch.from_arrays([names, pa.array(np.zeros(len(n), np.int32)), pa.array([""] * len(n)), pa.array(n.astype(np.int64)), pa.array(np.zeros(len(n), bool))], ["lang", "size", "phrase", "n", "open"])
-        for k, (at, h) in enumerate(levels):
-            take = now[k] if old is None else now[k] & ~old[k]
+        for k, (at, h) in enumerate(chain(hashes, follows, longest)):
+            take = now.step(k, at, h)
+            if not first_pass:
+                take &= ~old.step(k, at, h)
             at, h = at[take], h[take]
             if not len(at):
                 continue
@@ -180,7 +181,7 @@ def counted(docs: DataFrame, known: np.ndarray | None, before: np.ndarray | None
                 offs = np.concatenate([[0], np.cumsum(length)])
                 data = flat[np.repeat(begin - offs[:-1], length) + np.arange(offs[-1])]
                 phrase = pa.LargeStringArray.from_buffers(len(some), pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(lang[some])), pa.array(np.full(len(some), k + 1, np.int32)), phrase, pa.array(n[lo : lo + EMIT_ROWS].astype(np.int64)), pa.array(~member[k][some])], ["lang", "size", "phrase", "n", "open"])
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(lang[some])), pa.array(np.full(len(some), k + 1, np.int32)), phrase, pa.array(n[lo : lo + EMIT_ROWS].astype(np.int64)), pa.array(~now.inside[some])], ["lang", "size", "phrase", "n", "open"])
 
     def run(batches):
         scan = Scan()
