@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from functools import reduce
 
 import numpy as np
@@ -38,10 +39,11 @@ from .textscan import pieces
 
 SLICE_BYTES = 1 << 21
 KEPT_PAIRS = 1 << 21
-BLOCK_PAIRS = 1 << 22
+BLOCK_PAIRS = 1 << 23
+MAX_STRETCHES = 1 << 18
 SHIFT = 20  # bits of a B id within a pair's key
-_FIELDS = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
-_KEPT = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
+_NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+_SINGLE = re.compile(r"(?<=\S) (?=\S)")
 
 
 def byte_letters() -> dict[str, int]:
@@ -94,20 +96,21 @@ class Pair:
         self.digits = np.array(digits, f"S{max(map(len, digits)) + 1}").view(np.uint8).reshape(len(digits), -1)
         self.n_digits = np.array([len(x) for x in digits], np.int64)
 
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """A and B ids of each text; both empty where the joined bytes are not blank and text."""
+    def encode(self, stretches: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """A and B ids of blank and stretch, and whether both sides' bytes are those; both empty where they aren't."""
         none = np.zeros(0, np.int64)
-        a = [np.array(self.a.encode_ordinary(" " + t), np.int64) if t else none for t in texts]
-        b = [np.array(x, np.int64) for x in self.b.encode(texts, num_threads=1)]
-        for k, text in enumerate(texts):
+        a = [np.array(self.a.encode_ordinary(" " + t), np.int64) for t in stretches]
+        b = [np.array(x, np.int64) for x in self.b.encode(stretches, num_threads=1)]
+        true = np.ones(len(stretches), bool)
+        for k, text in enumerate(stretches):
             raw = (" " + text).encode()
-            if not text or b"".join([self.a_bytes[i] for i in a[k].tolist()]) != raw or b"".join([self.b_bytes[i] for i in b[k].tolist()]) != raw:
-                a[k] = b[k] = none
-        return a, b
+            if b"".join([self.a_bytes[i] for i in a[k].tolist()]) != raw or b"".join([self.b_bytes[i] for i in b[k].tolist()]) != raw:
+                a[k], b[k], true[k] = none, none, False
+        return a, b, true
 
 
 class Links:
-    """Groups and links of texts laid end to end: side by side arrays, a row for each link."""
+    """Groups and links of stretches laid end to end: side by side arrays, a row for each link."""
 
     def __init__(self, pair: Pair, a: list[np.ndarray], b: list[np.ndarray]):
         self.pair, self.n = pair, len(a)
@@ -115,21 +118,15 @@ class Links:
         self.n_a, self.n_b = (np.array([len(x) for x in side], np.int64) for side in (a, b))
         self.a_end, self.b_end = np.cumsum(pair.a_size[self.a]), np.cumsum(pair.b_size[self.b])
         ends = np.union1d(self.a_end, self.b_end)
-        self.at_a, self.at_b = np.searchsorted(self.a_end, ends), np.searchsorted(self.b_end, ends)
-        self.owner = np.repeat(np.arange(self.n), self.n_a)[self.at_a] if len(ends) else ends
-        self.link_a, self.link_b = self.a[self.at_a], self.b[self.at_b]
-        self.regular = pair.same[self.link_a] == self.link_b
-        self.keys = (self.link_a << SHIFT) | self.link_b
+        at_a, at_b = np.searchsorted(self.a_end, ends), np.searchsorted(self.b_end, ends)
+        self.owner = np.repeat(np.arange(self.n), self.n_a)[at_a] if len(ends) else ends
+        self.keys = (self.a[at_a] << SHIFT) | self.b[at_b]
 
-    def per_text(self, flags: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        return np.bincount(owner, weights=flags, minlength=self.n).astype(np.int64)
-
-    def groups(self) -> tuple[np.ndarray, list[str]]:
-        """Number of groups of each text, and the digest of their listing."""
+    def groups(self) -> tuple[np.ndarray, list[bytes]]:
+        """Number of groups of each stretch, and their listing."""
         both = np.intersect1d(self.a_end, self.b_end, assume_unique=True)
-        own_a, own_b = np.repeat(np.arange(self.n), self.n_a), np.repeat(np.arange(self.n), self.n_b)
         last_a, last_b = np.searchsorted(self.a_end, both), np.searchsorted(self.b_end, both)  # of each group
-        n_groups = self.per_text(np.ones(len(both)), own_a[last_a]) if len(both) else np.zeros(self.n, np.int64)
+        n_groups = np.bincount(np.repeat(np.arange(self.n), self.n_a)[last_a], minlength=self.n) if len(both) else np.zeros(self.n, np.int64)
         group_a, group_b = np.searchsorted(last_a, np.arange(len(self.a))), np.searchsorted(last_b, np.arange(len(self.b)))
         before = np.concatenate([[-1], last_b])  # B tokens of the groups before stand before a group's A tokens
         place_a, place_b = np.arange(len(self.a)) + before[group_a] + 1, np.arange(len(self.b)) + last_a[group_b] + 1
@@ -143,16 +140,71 @@ class Links:
         flat = text[np.arange(text.shape[1]) <= size[:, None]].tobytes()
         upto = np.concatenate([[0], np.cumsum(size + 1)])
         offs = upto[np.concatenate([[0], np.cumsum(self.n_a + self.n_b)])].tolist()
-        return n_groups, [hashlib.sha256(flat[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(offs, offs[1:])]
+        return n_groups, [flat[x : max(x, y - 1)] for x, y in zip(offs, offs[1:])]
+
+
+def spread(offs: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all entries of the rows in a table whose row k has entries offs[k]..offs[k+1], and the index of the row of each."""
+    size = offs[rows + 1] - offs[rows]
+    owner = np.repeat(np.arange(len(rows)), size)
+    return np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + offs[rows][owner], owner
+
+
+class Stretches:
+    """Distinct stretches between single blanks, each encoded and aligned once.
 
-    def documents_of(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A ids linked to their own bytes (once for each text), and keys and counts of the other pairs."""
-        width = len(self.pair.same)
-        own = np.unique(self.owner[self.regular] * width + self.link_a[self.regular]) % width
-        other = ~self.regular
-        order, where = np.unique(self.keys[other], return_inverse=True)
-        once = np.unique(self.owner[other] * max(1, len(order)) + where)
-        return own, order, np.bincount(once % max(1, len(order)), minlength=len(order))
+    A single blank between other characters begins a token on both sides: the pattern of A starts a
+    match there, and no piece of B goes on from another character into a blank. So tokens, groups and
+    links of a text are those of its stretches one after the other.
+    """
+
+    def __init__(self, pair: Pair):
+        if any("▁" in x.lstrip("▁") for x in map(pair.b.id_to_piece, range(pair.b.get_piece_size()))):
+            raise ValueError("a piece goes on into a blank: texts can't be cut at blanks")
+        self.pair = pair
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        none = np.zeros(0, np.int64)
+        self.n_a, self.n_b, self.n_groups, self.true, self.keys, self.offs, self.listing = none, none, none, none.astype(bool), none, np.zeros(1, np.int64), []
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Stretches of all texts, one after the other, and the number of each text's; empty texts have none."""
+        if len(self.index) > MAX_STRETCHES:
+            self.clear()
+        cut = [_SINGLE.split(t) if t else [] for t in texts]
+        new = list(dict.fromkeys(x for own in cut for x in own if x not in self.index))
+        if new:
+            self._add(new)
+        index = self.index
+        return np.array([index[x] for own in cut for x in own], np.int64), np.array([len(own) for own in cut], np.int64)
+
+    def _add(self, new: list[str]) -> None:
+        a, b, true = self.pair.encode(new)
+        links = Links(self.pair, a, b)
+        n_groups, listing = links.groups()
+        for x in new:
+            self.index[x] = len(self.index)
+        n_links = np.bincount(links.owner, minlength=len(new))
+        join = lambda x, y: np.concatenate([x, y])
+        self.n_a, self.n_b, self.n_groups, self.true, self.keys = join(self.n_a, links.n_a), join(self.n_b, links.n_b), join(self.n_groups, n_groups), join(self.true, true), join(self.keys, links.keys)
+        self.offs = join(self.offs, self.offs[-1] + np.cumsum(n_links))
+        self.listing += listing
+
+
+def slices(batch: pa.RecordBatch):
+    """(first row, texts) of some rows at a time."""
+    for piece in pieces(batch.column("text"), SLICE_BYTES):
+        raw = piece.data.tobytes()
+        yield piece.lo, [raw[x:y].decode() for x, y in zip(piece.offs.tolist(), piece.offs[1:].tolist())]
+
+
+def whole(found: Stretches, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of the texts of which every stretch kept its bytes, and the text of each."""
+    owner = np.repeat(np.arange(len(size)), size)
+    good = np.bincount(owner[~found.true[at]], minlength=len(size)) == 0
+    return at[good[owner]], owner[good[owner]]
 
 
 _pairs: dict[tuple, Pair] = {}
@@ -166,38 +218,6 @@ def pair_of(a_file: str, b_file: str, pattern: str) -> Pair:
     return _pairs[key]
 
 
-def encoded(docs: DataFrame, a_file: str, b_file: str, pattern: str) -> DataFrame:
-    """row (of one evaluation: write the result), doc_id, ids of both sides (little-endian unsigned 32-bit), numbers of tokens, groups and links, and the groups' digest."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches):
-        pair = pair_of(a_file, b_file, pattern)
-        for batch in batches:
-            for piece in pieces(batch.column("text"), SLICE_BYTES):
-                raw = piece.data.tobytes()
-                a, b = pair.encode([raw[x:y].decode() for x, y in zip(piece.offs.tolist(), piece.offs[1:].tolist())])
-                links = Links(pair, a, b)
-                n_groups, digests = links.groups()
-                n_links = links.per_text(np.ones(len(links.owner)), links.owner)
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(piece.lo, len(piece)) for c in ("row", "doc_id")), *(pa.array([x.astype("<u4").tobytes() for x in side], pa.binary()) for side in (a, b)), *map(pa.array, (links.n_a, links.n_b, n_groups, n_links)), pa.array(digests, pa.string())],
-                    ["row", "doc_id", "a", "b", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"],
-                )
-
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, f"row long, doc_id {kind}, a binary, b binary, {_FIELDS}")
-
-
-def _slices(batch: pa.RecordBatch):
-    """(first row, A ids, B ids) of some rows at a time."""
-    a, b = ([np.frombuffer(x, "<u4").astype(np.int64) for x in batch.column(c).to_pylist()] for c in ("a", "b"))
-    lo, held = 0, 0
-    for k in range(len(a)):
-        held += len(a[k])
-        if held * 4 > SLICE_BYTES or k == len(a) - 1:
-            yield lo, a[lo : k + 1], b[lo : k + 1]
-            lo, held = k + 1, 0
-
-
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     kinds, where = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.zeros(len(kinds), np.int64)
@@ -205,24 +225,31 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return kinds, total
 
 
-def pair_counts(coded: DataFrame, a_file: str, b_file: str, pattern: str) -> DataFrame:
-    """a, b, n: in how many rows of encoded() the two ids are linked."""
+def pair_counts(docs: DataFrame, a_file: str, b_file: str, pattern: str) -> DataFrame:
+    """a, b, n: in how many documents the two ids are linked."""
 
     def run(batches):
         pair = pair_of(a_file, b_file, pattern)
-        vector = np.zeros(len(pair.same), np.int64)
+        found, width = Stretches(pair), len(pair.same)
+        vector = np.zeros(width, np.int64)
         keys, counts, held = [], [], 0
 
         def rows(a, b, n):
             return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(n.astype(np.int64))], ["a", "b", "n"])
 
         for batch in batches:
-            for _, a, b in _slices(batch):
-                own, other, n = Links(pair, a, b).documents_of()
-                vector += np.bincount(own, minlength=len(vector))
-                keys.append(other)
-                counts.append(n)
-                held += len(other)
+            for _, texts in slices(batch):
+                at, owner = whole(found, *found.of(texts))
+                once = np.unique(owner * len(found.listing) + at)  # a stretch counts once in a text
+                place, row = spread(found.offs, once % max(1, len(found.listing)))
+                owner, key = (once // max(1, len(found.listing)))[row], found.keys[place]
+                regular = pair.same[key >> SHIFT] == key & ((1 << SHIFT) - 1)
+                vector += np.bincount(np.unique(owner[regular] * width + (key[regular] >> SHIFT)) % width, minlength=width)
+                kinds, where = np.unique(key[~regular], return_inverse=True)
+                once = np.unique(owner[~regular] * max(1, len(kinds)) + where)
+                keys.append(kinds)
+                counts.append(np.bincount(once % max(1, len(kinds)), minlength=len(kinds)))
+                held += len(kinds)
                 if held > KEPT_PAIRS:
                     keys, counts = ([x] for x in _summed(keys, counts))
                     held = len(keys[0])
@@ -235,7 +262,7 @@ def pair_counts(coded: DataFrame, a_file: str, b_file: str, pattern: str) -> Dat
         seen = np.flatnonzero(vector)
         yield rows(seen, pair.same[seen], vector[seen])
 
-    return coded.select("a", "b").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def blocks_of(counts: DataFrame, limit: int = BLOCK_PAIRS) -> list[tuple[int, int]]:
@@ -258,44 +285,57 @@ def _block(counts: DataFrame, low: int, high: int):
     keys = (table.column("a").to_numpy().astype(np.int64) << SHIFT) | table.column("b").to_numpy()
     order = np.argsort(keys)
     keys, n = keys[order], table.column("n").to_numpy()[order]
+    if not len(keys):
+        return keys, n, n == 0
     first = np.concatenate([[True], keys[1:] >> SHIFT != keys[:-1] >> SHIFT])
     return keys, n, np.maximum.reduceat(n, np.flatnonzero(first))[np.cumsum(first) - 1] == n
 
 
-def _sums(coded: DataFrame, counts: DataFrame, block: tuple[int, int], files: tuple[str, str, str]) -> DataFrame:
-    """row, n_best, count_sum over the links of one block's A ids."""
+def _aligned(docs: DataFrame, counts: DataFrame, block: tuple[int, int], files: tuple[str, str, str], carry: list[str]) -> DataFrame:
+    """The carried columns, counts of tokens, groups and links, the listing's digest, and n_best and count_sum over the links of one block's A ids."""
     low, high = block
-    shared = coded.sparkSession.sparkContext.broadcast(_block(counts, low, high))
+    shared = docs.sparkSession.sparkContext.broadcast(_block(counts, low, high))
 
     def run(batches):
-        pair = pair_of(*files)
+        found = Stretches(pair_of(*files))
         keys, n, is_best = shared.value
+        best = total = np.zeros(0, np.int64)  # of each stretch
         for batch in batches:
-            best, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            for lo, a, b in _slices(batch):
-                links = Links(pair, a, b)
-                inside = (links.link_a >= low) & (links.link_a <= high)
-                at = np.searchsorted(keys, links.keys[inside])
-                np.add.at(best, lo + links.owner[inside], is_best[at])
-                np.add.at(total, lo + links.owner[inside], n[at])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _KEPT), pa.array(best), pa.array(total)], [*_KEPT, "n_best", "count_sum"])
-
-    kind = coded.schema["doc_id"].dataType.simpleString()
-    return coded.select("a", "b", *_KEPT).mapInArrow(run, f"row long, doc_id {kind}, {_FIELDS}, n_best long, count_sum long")
-
-
-def with_counts(coded: DataFrame, counts: DataFrame, a_file: str, b_file: str, pattern: str, limit: int = BLOCK_PAIRS) -> DataFrame:
-    """The rows of encoded() without the ids, with n_best and count_sum. One block goes through in one pass, several are summed by row."""
-    blocks = blocks_of(counts, limit) or [(0, -1)]
-    parts = [_sums(coded, counts, block, (a_file, b_file, pattern)) for block in blocks] if blocks[0][1] >= 0 else [coded.select(*_KEPT, F.lit(0).cast("long").alias("n_best"), F.lit(0).cast("long").alias("count_sum"))]
-    out = parts[0]
-    if len(parts) > 1:
-        out = reduce(DataFrame.unionByName, parts).groupBy(*_KEPT).agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
-    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+            for lo, texts in slices(batch):
+                if len(found.index) > MAX_STRETCHES:
+                    found.clear()
+                    best = total = best[:0]
+                at, owner = whole(found, *found.of(texts))
+                new = found.keys[found.offs[len(best)] :]
+                row = np.repeat(np.arange(len(found.listing) - len(best)), np.diff(found.offs[len(best) :]))
+                inside = (new >> SHIFT >= low) & (new >> SHIFT <= high)
+                place = np.searchsorted(keys, new[inside])
+                best, total = (np.concatenate([old, np.bincount(row[inside], weights=values[place], minlength=len(found.listing) - len(old)).astype(np.int64)]) for old, values in ((best, is_best), (total, n)))
+                links = np.diff(found.offs)
+                sums = [np.bincount(owner, weights=of[at], minlength=len(texts)).astype(np.int64) for of in (found.n_a, found.n_b, found.n_groups, links, best, total)]
+                edge = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
+                listed = at.tolist()
+                digests = [hashlib.sha256(b";".join([found.listing[i] for i in listed[x:y]])).hexdigest() if y > x else "" for x, y in zip(edge, edge[1:])]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, len(texts)) for c in carry), *map(pa.array, sums), pa.array(digests, pa.string())], [*carry, *_NUMBERS, "groups_sha256"])
+
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select(*carry, "text").mapInArrow(run, f"{kinds}, {', '.join(f'{c} long' for c in _NUMBERS)}, groups_sha256 string")
+
+
+def with_counts(docs: DataFrame, counts: DataFrame, a_file: str, b_file: str, pattern: str, limit: int = BLOCK_PAIRS) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256. One block goes through in one pass; several are summed by row, for which rows are numbered and written."""
+    files = (a_file, b_file, pattern)
+    blocks = blocks_of(counts, limit) or [(0, 0)]
+    if len(blocks) == 1:
+        return _aligned(docs, counts, blocks[0], files, ["doc_id"])
+    numbered = settle(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
+    parts = [_aligned(numbered, counts, block, files, ["row", "doc_id"]) for block in blocks]
+    once = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
+    out = reduce(DataFrame.unionByName, parts).groupBy(*once).agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    return out.select("doc_id", *_NUMBERS, "groups_sha256")
 
 
 def align(docs: DataFrame, a_file: str, b_file: str, pattern: str) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document."""
-    coded = settle(encoded(docs, a_file, b_file, pattern))
-    counts = settle(pair_counts(coded, a_file, b_file, pattern))
-    return with_counts(coded, counts, a_file, b_file, pattern)
+    counts = settle(pair_counts(docs, a_file, b_file, pattern))
+    return with_counts(docs, counts, a_file, b_file, pattern)

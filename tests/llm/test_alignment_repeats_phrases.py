@@ -33,6 +33,7 @@ def rows():
     for k in range(60):
         own = " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 60)))
         cut = sorted(rng.sample(range(40), 2))
+        own = own.replace(" ", rng.choice([" ", " ", " ", "  ", "\n ", " \t", "\u00a0", " \u2003"]), 3)
         texts.append(own + (" " + " ".join(passage.split(" ")[cut[0] : cut[1]]) + "\n" if k % 3 else ", ") + own[: rng.randint(0, 30)])
     texts += [texts[20], texts[20], "a " * 200, "a " * 90 + "b", " ".join(rng.choice(vocabulary) for _ in range(5000)) + " " + passage]
     out = [(i, t, rng.choice(["en", "de", None])) for i, t in enumerate(texts)]
@@ -85,17 +86,19 @@ NAMES = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "
 order = lambda rows: sorted(rows, key=str)
 
 
-def test_alignment_against_brute_force(spark, rows):
+def test_alignment_against_brute_force(spark, rows, monkeypatch):
     short = [(i, t and t[:600], lang) for i, t, lang in rows]
     expected = brute_alignment(short)
     docs = frame(spark, short).repartition(3)
     got = alignment.align(docs, ALIGN_A, ALIGN_B, BPE_PATTERN)
     assert got.columns == NAMES and order(map(tuple, got.collect())) == order(expected)
     files = (ALIGN_A, ALIGN_B, BPE_PATTERN)
-    coded = alignment.settle(alignment.encoded(docs, *files))
-    counts = alignment.settle(alignment.pair_counts(coded, *files))
+    counts = alignment.settle(alignment.pair_counts(docs, *files))
     assert len(alignment.blocks_of(counts, 8)) > 3
-    assert order(map(tuple, alignment.with_counts(coded, counts, *files, limit=8).collect())) == order(expected)
+    assert order(map(tuple, alignment.with_counts(docs, counts, *files, limit=8).collect())) == order(expected)
+    monkeypatch.setattr(alignment, "MAX_STRETCHES", 10)
+    monkeypatch.setattr(alignment, "SLICE_BYTES", 200)
+    assert order(map(tuple, alignment.align(docs.coalesce(1), *files).collect())) == order(expected)
     assert alignment.align(docs.limit(0), *files).collect() == []
 
 
