@@ -14,31 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import units
+from ..functions.scanner import has_measurement, scanned
 from ..functions.text import dated, document_date, hypothetical
+from ..sources.tables import settle
 
-#: Labels, and single words, that are never what was measured.
-FURNITURE = (
-    "page", "report", "report no", "report number", "reg no", "mrn", "uhid", "date", "dated", "sample", "specimen", "collected", "received", "reported", "age", "sex", "gender", "dob", "patient", "name", "ref by", "referred by",
-    "doctor", "physician", "consultant", "technician", "lab", "laboratory", "address", "phone", "tel", "email", "invoice", "bill", "barcode", "accession", "case ref", "case", "visit", "encounter", "admission", "discharge",
-    "start date", "stop date", "list date", "report date", "printed", "signature", "verified by", "authorised by", "authorized by", "method", "instrument", "analyser", "analyzer", "units", "unit", "reference", "reference range",
-    "normal range", "range", "result", "results", "value", "flag", "comment", "comments", "interpretation", "test", "tests", "investigation", "investigations", "parameter",
-)
-FURNITURE_WORDS = ("page", "mrn", "uhid", "reg", "barcode", "accession", "invoice", "bill", "signature", "technician", "physician", "consultant", "address", "phone", "tel", "email", "printed", "analyser", "analyzer", "instrument")
-LINKING = ("by", "on", "at", "no", "number", "id", "of")
 #: Words without meaning for a label.
 STOPWORDS = (
     "the", "a", "an", "of", "was", "is", "were", "are", "with", "and", "on", "at", "in", "for", "patient", "patients", "his", "her", "their", "s", "shows", "showed", "showing", "noted", "recorded", "reported", "records", "summary",
     "report", "value", "result", "level", "levels", "count", "serum", "plasma", "blood", "whole", "venous", "arterial", "capillary", "total", "measured", "admission", "discharge", "today", "repeat",
 )
-#: Forms of reference ranges, flags, dates in a cell, and of a number.
-RANGE = r"(?i)\(?\s*(?:ref(?:erence)?(?:\s*(?:range|interval|value)s?)?\s*[:=]?\s*)?(?:-?\d+(?:\.\d+)?\s*(?:--|-|–|—|to)\s*-?\d+(?:\.\d+)?|[<>≤≥]\s*-?\d+(?:\.\d+)?)\s*\)?"
-FLAG = r"(?<![A-Za-z])(H{1,2}|L{1,2}|HIGH|LOW|ABN(?:ORMAL)?|CRIT(?:ICAL)?|\*)(?![A-Za-z])"
-DATE_CELL = r"^(?:\d{1,2}[-/\s](?:\d{1,2}|[A-Za-z]{3,9})\.?[-/\s]\d{2,4}|\d{4}-\d{2}-\d{2}|[A-Za-z]{3,9}\.?\s+\d{1,2},?\s+\d{4}),?$"
-BARE_NUMBER = r"^-?\d{1,7}(?:[.,]\d{1,4})?$"
-#: A number (no part of a range, date or clock time, no bound) and the unit at most two blanks behind it.
-NUMBER_UNIT = rf"(?<![\w.:/])(?<!\d\s?[-–—])(?<!\d\s{{0,2}}(?:to|--|-|–|—)\s{{0,2}})(?<![<>≤≥]\s{{0,3}})(-?\d{{1,7}}(?:[.,]\d{{1,4}})?)([ \t]{{0,2}})({units.BOUNDED})"
-CELL = r"\s{2,}|\t+|\s*\|\s*"
-_A, _B, _C, _D = "\u0001", "\u0002", "\u0003", "\u0004"
 
 
 def lines(pages: DataFrame) -> DataFrame:
@@ -54,104 +38,14 @@ def lines(pages: DataFrame) -> DataFrame:
 
 
 # --- measurements ---------------------------------------------------------------------
-def clean_label(raw: Column) -> Column:
-    """The wording without bullets, serial numbers and separators."""
-    out = F.regexp_replace(raw, r"^[\s\-*>•|]+|[\s:\-=.]+$", "")
-    out = F.regexp_replace(out, r"^\d{1,3}[).]\s*", "")
-    return F.regexp_replace(F.regexp_replace(out, r"\s{2,}", " "), r"^[ :\-=.\t|]+|[ :\-=.\t|]+$", "")
-
-
-def is_furniture(label: Column) -> Column:
-    """Is a label document furniture, a lone letter or empty."""
-    key = F.trim(F.regexp_replace(F.regexp_replace(F.lower(label), "[^a-z ]", ""), r"\s{2,}", " "))
-    words = F.split(key, " ")
-    every = F.forall(words, lambda w: w.isin(*FURNITURE, *FURNITURE_WORDS, *LINKING))
-    return (F.length(key) < 2) | key.isin(*FURNITURE) | every | F.exists(words, lambda w: w.isin(*FURNITURE_WORDS))
-
-
-def _first_cell(line: Column) -> Column:
-    return F.regexp_extract(line, r"^\s*(\S(?:\S|\s(?!\s))*)", 1)
-
-
-def marked(line: Column) -> Column:
-    """The line cut before each measurement: part 0 is what stands before the first, the others are value, gap, unit and what follows."""
-    return F.split(F.regexp_replace(line, NUMBER_UNIT, f"{_A}$1{_B}$2{_C}$3{_D}"), _A, -1)
-
-
-def _unit_of(part: Column) -> Column:
-    return F.substring_index(F.substring_index(part, _D, 1), _C, -1)
-
-
-def _has_measurement(line: Column) -> Column:
-    return F.exists(F.slice(marked(line), 2, 1000), lambda p: units.is_unit_token(_unit_of(p), whole=False))
-
-
-def _aligned(header: Column, at: Column) -> Column:
-    """The cell of a header line that begins nearest to a column, within six characters."""
-    cut = F.split(F.regexp_replace(header, r"(?:^|\s{2,})(?=\S)", f"$0{_A}"), _A, -1)
-    cells = F.transform(F.sequence(F.lit(2), F.greatest(F.size(cut), F.lit(2))), lambda i: F.struct(F.abs(F.length(F.array_join(F.slice(cut, 1, i - 1), "")) - at).alias("apart"), i.alias("i"), F.trim(F.coalesce(F.try_element_at(cut, i), F.lit(""))).alias("cell")))
-    best = F.array_min(F.filter(cells, lambda c: c["cell"] != ""))
-    return F.when(best["apart"] <= 6, best["cell"])
-
-
-def adjacent(rows: DataFrame) -> DataFrame:
-    """Measurements whose unit stands beside the number, labelled by place. rows: lines."""
-    page = Window.partitionBy("page_id").orderBy("line_no").rowsBetween(-4, -1)
-    is_header = (F.trim("line") != "") & ~_has_measurement(F.col("line"))
-    above = rows.withColumn("header", F.last(F.when(is_header, F.col("line")), ignorenulls=True).over(page)).withColumn("parts", marked(F.col("line")))
-    found = above.where(F.size("parts") > 1).select("*", F.posexplode("parts").alias("k", "part")).where("k > 0").withColumn("unit", _unit_of(F.col("part")))
-    found = found.where(units.is_unit_token(F.col("unit"), whole=False))
-    plain = lambda c: F.regexp_replace(c, f"[{_A}-{_D}]", "")
-    left = plain(F.array_join(F.slice("parts", 1, F.col("k")), ""))
-    bare = lambda c: F.regexp_replace(F.regexp_replace(c, rf"\[?{RANGE}\]?", " "), r"\s+$", "")
-    tail = bare(F.substring_index(F.get("parts", F.col("k") - 1), _D, -1))
-    found = found.withColumns({"at": F.length(left), "left": bare(left), "own": F.regexp_replace(tail, r"^.*(?:[|;,•\t]|\s{2})", "")})
-    label = F.coalesce(F.nullif(clean_label(F.col("own")), F.lit("")), clean_label(F.col("left")))
-    first = _first_cell(F.col("line"))
-    found = found.withColumns({"label": label, "first": first, "row_date": F.when(first.rlike(DATE_CELL), first).when(label.rlike(DATE_CELL), label)})
-    second = F.regexp_extract("left", r"^\s*\S(?:\S|\s(?!\s))*\s{2,}(\S(?:\S|\s(?!\s))*)", 1)
-    found = found.withColumn("label", F.when(F.col("label").rlike(DATE_CELL), clean_label(second)).otherwise(F.col("label")))
-    # no label on the left: the header's cell above; where that names the value, the row's first cell
-    lost, head = is_furniture(F.col("label")), _aligned(F.col("header"), F.col("at"))
-    over = F.when(is_furniture(clean_label(head)), clean_label(F.col("first"))).otherwise(clean_label(head))
-    found = found.withColumns({"layout": F.when(lost & head.isNotNull(), "COLUMN").otherwise("ROW"), "label": F.when(lost & head.isNotNull(), over).otherwise(F.col("label"))})
-    lost, start = is_furniture(F.col("label")), clean_label(F.col("first"))
-    found = found.withColumn("label", F.when(lost, F.when(is_furniture(start), F.lit("")).otherwise(start)).otherwise(F.col("label")))
-    text = F.regexp_extract("line", RANGE, 0)
-    base = F.when(F.col("layout") == "COLUMN", 0.85).when(F.col("label") == "", 0.55).otherwise(0.92)
-    value = F.regexp_replace(F.substring_index("part", _B, 1), ",", ".").cast("double")
-    size = F.length(plain(F.substring_index("part", _D, 1)))
-    return found.select(
-        *rows.columns, "label", value.alias("value"), "unit", (F.col("line_start") + F.col("at")).alias("span_start"), (F.col("line_start") + F.col("at") + size).alias("span_end"),
-        F.nullif(F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit("")).alias("reference_range"), F.nullif(F.regexp_extract(F.substring(F.substring_index("part", _D, -1), 1, 14), FLAG, 1), F.lit("")).alias("flag"),
-        F.when(F.col("label") == "", "INLINE").otherwise(F.col("layout")).alias("layout"), F.round(F.when(text != "", F.least(F.lit(0.97), base + 0.04)).otherwise(base), 2).alias("confidence"), "row_date",
-    )
+def measurements(rows: DataFrame, grammar: units.Grammar | None = None) -> DataFrame:
+    """All measurements of the lines: numbers beside their unit, labelled by place; on lines without such, those whose number and unit have cells of their own.
 
-
-def cellwise(rows: DataFrame) -> DataFrame:
-    """Measurements of lines of three cells or more, whose number and unit have cells of their own."""
-    cells = F.filter(F.transform(F.split("line", CELL), lambda c: F.trim(c)), lambda c: c != "")
-    wide = rows.withColumn("cells", cells).where(F.size("cells") >= 3)
-    cell = lambda i: F.element_at("cells", i)
-    places = F.sequence(F.lit(1), F.size("cells"))
-    wide = wide.withColumn("u", F.try_element_at(F.filter(places, lambda i: units.is_unit_token(cell(i))), F.lit(1))).where("u > 1")
-    wide = wide.withColumn("v", F.try_element_at(F.filter(places, lambda i: (i < F.col("u")) & cell(i).rlike(BARE_NUMBER)), F.lit(-1))).where("v is not null")
-    words = F.filter(F.slice("cells", 1, F.col("v") - 1), lambda c: ~c.rlike(BARE_NUMBER) & ~units.is_unit_token(c))
-    wide = wide.withColumns({"label": clean_label(F.try_element_at(F.filter(words, lambda c: ~c.rlike(DATE_CELL)), F.lit(1))), "row_date": F.try_element_at(F.filter(words, lambda c: c.rlike(DATE_CELL)), F.lit(1))})
-    unit, number = cell(F.col("u")), cell(F.col("v"))
-    behind = F.array_join(F.slice("cells", F.col("u") + 1, F.size("cells")), "  ")
-    at, until = F.call_function("locate", number, F.col("line")) - 1, F.length(F.call_function("substring_index", F.col("line"), unit, F.lit(1))) + F.length(unit)
-    return wide.where(F.col("label").isNotNull() & ~is_furniture(F.col("label"))).select(
-        *rows.columns, "label", F.regexp_replace(number, ",", ".").cast("double").alias("value"), unit.alias("unit"), (F.col("line_start") + at).alias("span_start"), (F.col("line_start") + until).alias("span_end"),
-        F.nullif(F.regexp_replace(F.regexp_extract(behind, RANGE, 0), r"^\s+|\s+$", ""), F.lit("")).alias("reference_range"), F.lit(None).cast("string").alias("flag"), F.lit("COLUMN").alias("layout"), F.lit(0.88).alias("confidence"), "row_date",
-    )
-
-
-def measurements(rows: DataFrame) -> DataFrame:
-    """All measurements of the lines: beside their unit, and cellwise on lines where nothing stood beside one."""
-    near = adjacent(rows)
-    far = cellwise(rows.where(~_has_measurement(F.col("line"))))
-    return units.with_kinds(near.unionByName(far))
+    rows: lines. Adds label, value, unit, unit_canonical, dimension, span_start, span_end, reference_range, flag, layout,
+    confidence and row_date. grammar: the units to be found (units.grammar(), or one with a loaded release's atoms).
+    """
+    found = scanned(rows, grammar or units.grammar()).select(*rows.columns, F.explode("hits__").alias("hit")).select(*rows.columns, "hit.*")
+    return found.withColumns({"span_start": F.col("line_start") + F.col("at"), "span_end": F.col("line_start") + F.col("at") + F.col("size")}).drop("at", "size")
 
 
 # --- labels ---------------------------------------------------------------------------
@@ -174,14 +68,17 @@ def _runs(words: Column, longest: int) -> Column:
     return F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.struct(F.array_join(F.slice(words, i, k), " ").alias("run"), (i == 1).alias("begins"), (i + k - 1 >= n).alias("ends")))))
 
 
-def resolve_labels(found: DataFrame, synonyms: DataFrame, longest: int = 6) -> DataFrame:
+def resolve_labels(found: DataFrame, synonyms: DataFrame, longest: int | None = None) -> DataFrame:
     """Adds concept and match to rows with a label.
 
     synonyms: surface (normalised), concept. A label is EXACT when a synonym is all of it, its
     beginning or its end (dotted abbreviations undotted), CONTAINED when its words but for
     stop words contain one; the longest synonym wins. Others are UNRECOGNISED and get the
-    concept unmapped:<slug>, or null where nothing is left. Distinct labels meet the synonyms by equi joins.
+    concept unmapped:<slug>, or null where nothing is left. Distinct labels meet the synonyms by equi joins,
+    in runs of as many words as the longest synonym has. found is read twice: give a written table where it is dear.
     """
+    if longest is None:
+        longest = synonyms.agg(F.max(F.size(F.split("surface", " ")))).first()[0] or 1
     labels = found.select("label").distinct()
     normal, undot = _normal(F.col("label")), _normal(_undotted(F.col("label")))
     cut = lambda c: F.filter(F.split(c, r"[^a-z0-9%]+"), lambda w: (w != "") & ~w.isin(*STOPWORDS))
@@ -249,14 +146,14 @@ def attribute_dates(rows: DataFrame, default: Column, precision: Column) -> Data
 
 
 # --- items ----------------------------------------------------------------------------
-def observations(rows: DataFrame, synonyms: DataFrame, concept_units: DataFrame | None = None) -> DataFrame:
+def observations(rows: DataFrame, synonyms: DataFrame, concept_units: DataFrame | None = None, grammar: units.Grammar | None = None) -> DataFrame:
     """Observations of lines that have their dates: labelled measurements with a concept, one for each line and concept.
 
     Doses (an unrecognised label with a plain amount) are no observations. Confidence is capped
     by how the label was read: 0.86 contained, 0.72 unrecognised, 0.93 in a row with its own date.
     concept_units: concept, wanted.
     """
-    found = resolve_labels(measurements(rows), synonyms).where("concept is not null")
+    found = resolve_labels(settle(measurements(rows, grammar)), synonyms).where("concept is not null")
     found = found.where(~((F.col("match") == "UNRECOGNISED") & units.amount_like(F.col("dimension"))))
     cap = F.when(F.col("match") == "CONTAINED", 0.86).when(F.col("match") == "UNRECOGNISED", 0.72).otherwise(1.0)
     found = found.withColumn("confidence", F.least("confidence", cap, F.when(F.col("date_basis") == "row", 0.93).otherwise(1.0)))
@@ -392,7 +289,7 @@ def is_heading(line: Column) -> Column:
     words = F.split(body, r"\s+")
     shaped = F.trim(line).endswith(":") | ((F.upper(body) == body) & body.rlike(r"\p{L}")) | F.forall(words, lambda w: ~w.rlike(r"^\p{L}") | w.rlike(r"^\p{Lu}"))
     short = (body != "") & (F.length(F.trim(line)) <= 60) & (F.size(words) <= 7)
-    return short & ~(body.rlike(r"^\d") & ~F.trim(line).endswith(":")) & ~F.trim(line).endswith(".") & ~_has_measurement(line) & shaped
+    return short & ~(body.rlike(r"^\d") & ~F.trim(line).endswith(":")) & ~F.trim(line).endswith(".") & ~has_measurement(line) & shaped
 
 
 def sections(rows: DataFrame) -> DataFrame:

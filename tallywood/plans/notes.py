@@ -6,12 +6,16 @@ the values back out of the text, and the SQL takes them from the columns.
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import units
 from ..functions.text import classify, dated, document_date
 from ..operators import extraction, registry
+from ..sources.tables import settle, shared_folder
 from . import standins as s
 from .vocabulary import DOCUMENT_CUES, FILE_HINTS, Vocabulary
 
@@ -63,6 +67,19 @@ def measure_spans(spark, d):
     return found.join(pages.select("page_id", "text"), "page_id").select("page_id", "value", F.substring("text", F.col("span_start") + 1, F.col("span_end") - F.col("span_start")).alias("words"), "flag", "reference_range")
 
 
+def release_measurements(spark, d):
+    """Readings in units that only a loaded release knows: an atom for each nation, of its region's quantity, written and read as XML."""
+    n, r = s.table(spark, d, "nation"), s.table(spark, d, "region")
+    code = F.concat(F.lit("["), F.lower(F.substring("n_name", 1, 3)), F.col("n_nationkey").cast("string"), F.lit("]"))
+    path = os.path.join(shared_folder(spark), f"release-{uuid.uuid4().hex}")
+    n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(code.alias("_Code"), F.lower("r_name").alias("property")).write.format("xml").option("rootTag", "root").option("rowTag", "unit").save(path)
+    known = units.grammar(extra=units.loaded(units.atoms_of_release(spark, path)))
+    c = s.table(spark, d, "customer").join(F.broadcast(n.select("n_nationkey", code.alias("code"))), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows
+    text = F.concat(F.lit("Index A    "), F.col("c_custkey").cast("string"), F.lit(".5 "), F.col("code"), F.when(F.col("c_custkey") % 2 == 0, "/L").otherwise(""), F.lit("   (1.0-9.5)"))
+    found = extraction.measurements(extraction.lines(c.select(F.col("c_custkey").alias("page_id"), text.alias("text"))), known)
+    return found.select("page_id", "label", "value", "unit_canonical", "dimension", "reference_range")
+
+
 def unit_kinds(spark, d):
     """Normal form, kind and comparison with g/L of a printed unit, for every part."""
     p = s.table(spark, d, "part")
@@ -220,27 +237,9 @@ def statement_pages(spark, d):
     return o.select(F.col("o_orderkey").alias("document_id"), F.col("o_orderkey").alias("ordinal"), text.alias("text"), F.to_date("o_orderdate").alias("doc_date"))
 
 
-def _settle(df):
-    """Cut the lineage by a checkpoint where a folder is set; a plan without one is kept as it is."""
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() or _set_checkpoint(df) else df
-
-
-def _set_checkpoint(df) -> bool:
-    import tempfile
-
-    context = df.sparkSession.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-    context.setCheckpointDir(folder)
-    return True
-
-
 def _resolved(spark, d):
     stated = registry.assertions(statement_pages(spark, d), THIS_YEAR)
-    return stated, *registry.resolve(stated, settle=_settle)
+    return stated, *registry.resolve(stated, settle=settle)
 
 
 def registry_links(spark, d):
@@ -265,7 +264,7 @@ def registry_review(spark, d):
 
 
 _ALL = (
-    layout_observations, measure_spans, unit_kinds, note_claims, note_medications, note_findings, note_references, note_follow_ups, note_sections, note_lines, note_classes, document_dates, attributed_dates,
+    layout_observations, measure_spans, release_measurements, unit_kinds, note_claims, note_medications, note_findings, note_references, note_follow_ups, note_sections, note_lines, note_classes, document_dates, attributed_dates,
     registry_assertions, registry_participants, clinic_team, directory_counts, directory_pruned, registry_links, registry_encounters, registry_patients, registry_review,
 )
 QUERIES = {f.__name__: f for f in _ALL}
@@ -312,6 +311,10 @@ SELECT event_id AS page_id, CAST({_TENTHS} / 10.0 AS DOUBLE) AS value,
   CASE WHEN event_id % 7 = 3 THEN 'L' END AS flag,
   CASE event_id % 7 WHEN 0 THEN '(1.0-9.5)' WHEN 3 THEN NULL WHEN 4 THEN NULL WHEN 5 THEN 'Ref: 1.0-9.5' ELSE '1.0-9.5' END AS reference_range
 FROM events""",
+    "release_measurements": """
+SELECT c_custkey AS page_id, 'Index A' AS label, c_custkey + 0.5::DOUBLE AS value, '[' || lower(substr(n_name, 1, 3)) || n_nationkey || ']' || CASE WHEN c_custkey % 2 = 0 THEN '/L' ELSE '' END AS unit_canonical,
+  lower(r_name) || CASE WHEN c_custkey % 2 = 0 THEN '_per_volume' ELSE '' END AS dimension, '(1.0-9.5)' AS reference_range
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "unit_kinds": f"""
 WITH u(k, unit, kind, plausible, alike, factor) AS (VALUES
   (0, 'g/dL', 'mass_per_volume', true, true, 10.0), (1, 'mg/dL', 'mass_per_volume', true, true, NULL), (2, 'mmol/L', 'amount_per_volume', true, false, NULL), (3, 'fL', 'volume', true, false, NULL),
