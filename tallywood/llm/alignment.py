@@ -26,6 +26,7 @@ import hashlib
 import json
 import re
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from .textscan import pieces
 SLICE_BYTES = 1 << 21
 KEPT_PAIRS = 1 << 21
 BLOCK_PAIRS = 1 << 23
-MAX_STRETCHES = 1 << 18
+MAX_STRETCHES = 1 << 19
 SHIFT = 20  # bits of a B id within a pair's key
 _NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
@@ -96,26 +97,41 @@ class Pair:
         self.digits = np.array(digits, f"S{max(map(len, digits)) + 1}").view(np.uint8).reshape(len(digits), -1)
         self.n_digits = np.array([len(x) for x in digits], np.int64)
 
-    def encode(self, stretches: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-        """A and B ids of blank and stretch, and whether both sides' bytes are those; both empty where they aren't."""
-        none = np.zeros(0, np.int64)
-        a = [np.array(self.a.encode_ordinary(" " + t), np.int64) for t in stretches]
-        b = [np.array(x, np.int64) for x in self.b.encode(stretches, num_threads=1)]
+    def encode(self, stretches: list[str]):
+        """Ids of blank and stretch on both sides, laid end to end, with their numbers, and whether both sides' bytes are those; there are no ids where they aren't."""
+        one = self.a.encode_ordinary
+        a, b = [one(" " + t) for t in stretches], self.b.encode(stretches, num_threads=1)
+        raws = [(" " + t).encode() for t in stretches]
         true = np.ones(len(stretches), bool)
-        for k, text in enumerate(stretches):
-            raw = (" " + text).encode()
-            if b"".join([self.a_bytes[i] for i in a[k].tolist()]) != raw or b"".join([self.b_bytes[i] for i in b[k].tolist()]) != raw:
-                a[k], b[k], true[k] = none, none, False
-        return a, b, true
+        size = np.array([len(x) for x in raws], np.int64)
+        sides = []
+        for ids, raw_of, n_of in ((a, self.a_bytes, self.a_size), (b, self.b_bytes, self.b_size)):
+            flat = np.fromiter(chain.from_iterable(ids), np.int64)
+            n = np.array([len(x) for x in ids], np.int64)
+            ends = np.concatenate([[0], np.cumsum(n_of[flat])])[np.cumsum(n)]
+            if b"".join([raw_of[i] for i in flat.tolist()]) != b"".join(raws) or (ends != np.cumsum(size)).any():
+                true &= np.array([b"".join([raw_of[i] for i in x]) == raw for x, raw in zip(ids, raws)], bool)
+            sides.append((flat, n))
+        return [(flat[np.repeat(true, n)], np.where(true, n, 0)) for flat, n in sides], true
+
+
+_pairs: dict[tuple, Pair] = {}
+
+
+def pair_of(a_file: str, b_file: str, pattern: str) -> Pair:
+    """The tokenizers, made once in each worker."""
+    key = (a_file, b_file, pattern)
+    if key not in _pairs:
+        _pairs[key] = Pair(*key)
+    return _pairs[key]
 
 
 class Links:
     """Groups and links of stretches laid end to end: side by side arrays, a row for each link."""
 
-    def __init__(self, pair: Pair, a: list[np.ndarray], b: list[np.ndarray]):
-        self.pair, self.n = pair, len(a)
-        self.a, self.b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
-        self.n_a, self.n_b = (np.array([len(x) for x in side], np.int64) for side in (a, b))
+    def __init__(self, pair: Pair, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]):
+        (self.a, self.n_a), (self.b, self.n_b) = a, b
+        self.pair, self.n = pair, len(self.n_a)
         self.a_end, self.b_end = np.cumsum(pair.a_size[self.a]), np.cumsum(pair.b_size[self.b])
         ends = np.union1d(self.a_end, self.b_end)
         at_a, at_b = np.searchsorted(self.a_end, ends), np.searchsorted(self.b_end, ends)
@@ -181,8 +197,8 @@ class Stretches:
         return np.array([index[x] for own in cut for x in own], np.int64), np.array([len(own) for own in cut], np.int64)
 
     def _add(self, new: list[str]) -> None:
-        a, b, true = self.pair.encode(new)
-        links = Links(self.pair, a, b)
+        sides, true = self.pair.encode(new)
+        links = Links(self.pair, *sides)
         n_groups, listing = links.groups()
         for x in new:
             self.index[x] = len(self.index)
@@ -193,6 +209,16 @@ class Stretches:
         self.listing += listing
 
 
+_stretches: dict[tuple, Stretches] = {}
+
+
+def stretches_of(*files: str) -> Stretches:
+    """The stretches that this worker has met; tasks that come later find them."""
+    if files not in _stretches:
+        _stretches[files] = Stretches(pair_of(*files))
+    return _stretches[files]
+
+
 def slices(batch: pa.RecordBatch):
     """(first row, texts) of some rows at a time."""
     for piece in pieces(batch.column("text"), SLICE_BYTES):
@@ -207,17 +233,6 @@ def whole(found: Stretches, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarra
     return at[good[owner]], owner[good[owner]]
 
 
-_pairs: dict[tuple, Pair] = {}
-
-
-def pair_of(a_file: str, b_file: str, pattern: str) -> Pair:
-    """The tokenizers, made once in each worker."""
-    key = (a_file, b_file, pattern)
-    if key not in _pairs:
-        _pairs[key] = Pair(*key)
-    return _pairs[key]
-
-
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     kinds, where = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.zeros(len(kinds), np.int64)
@@ -230,7 +245,7 @@ def pair_counts(docs: DataFrame, a_file: str, b_file: str, pattern: str) -> Data
 
     def run(batches):
         pair = pair_of(a_file, b_file, pattern)
-        found, width = Stretches(pair), len(pair.same)
+        found, width = stretches_of(a_file, b_file, pattern), len(pair.same)
         vector = np.zeros(width, np.int64)
         keys, counts, held = [], [], 0
 
@@ -297,7 +312,7 @@ def _aligned(docs: DataFrame, counts: DataFrame, block: tuple[int, int], files:
     shared = docs.sparkSession.sparkContext.broadcast(_block(counts, low, high))
 
     def run(batches):
-        found = Stretches(pair_of(*files))
+        found = stretches_of(*files)
         keys, n, is_best = shared.value
         best = total = np.zeros(0, np.int64)  # of each stretch
         for batch in batches:
