@@ -28,6 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,7 +39,7 @@ from .textscan import LOWER, Piece, mix, pieces, words
 SAMPLE_SHARE = 1 / 8
 SAMPLE_SLACK = 0.8
 FILTER_BITS = 26
-CHUNK_BYTES = 10 << 20
+CHUNK_BYTES = 8 << 20
 EMIT_ROWS = 1 << 17
 RANK_PARTS = 64
 _U = np.uint64
@@ -138,10 +139,10 @@ def bit_table(phrases: DataFrame) -> np.ndarray:
 
 
 def counted(docs: DataFrame, known: np.ndarray | None, before: np.ndarray | None, longest: int) -> DataFrame:
-    """lang, size, phrase, n, open: counts of the phrases whose parts are all in ``known`` but not all in ``before``; open tells that the phrase itself isn't in ``known``.
+    """lang, size, phrase, n: counts of the phrases whose parts are all in ``known`` but not all in ``before``.
 
     None stands for the empty set; before = None is the first pass, which counts words too, and in a
-    row of size 0 all words of each language.
+    row of size 0 all words of each language. A task has summed its own, so rows are dealt out as they are.
     """
     shared = docs.sparkSession.sparkContext.broadcast((known, before))
     first_pass = before is None
@@ -166,7 +167,7 @@ def counted(docs: DataFrame, known: np.ndarray | None, before: np.ndarray | None
         now, old = Known(known, len(hashes)), Known(before, len(hashes))
         if first_pass:
             n = np.bincount(lang, minlength=len(names))
-            yield pa.RecordBatch.from_arrays([names, pa.array(np.zeros(len(n), np.int32)), pa.array([""] * len(n)), pa.array(n.astype(np.int64)), pa.array(np.zeros(len(n), bool))], ["lang", "size", "phrase", "n", "open"])
+            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(names, "", "\n"), pa.array(n.astype(np.int64))], ["key", "n"])
         for k, (at, h) in enumerate(chain(hashes, follows, longest)):
             take = now.step(k, at, h)
             if not first_pass:
@@ -181,7 +182,7 @@ def counted(docs: DataFrame, known: np.ndarray | None, before: np.ndarray | None
                 offs = np.concatenate([[0], np.cumsum(length)])
                 data = flat[np.repeat(begin - offs[:-1], length) + np.arange(offs[-1])]
                 phrase = pa.LargeStringArray.from_buffers(len(some), pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(lang[some])), pa.array(np.full(len(some), k + 1, np.int32)), phrase, pa.array(n[lo : lo + EMIT_ROWS].astype(np.int64)), pa.array(~now.inside[some])], ["lang", "size", "phrase", "n", "open"])
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(names.take(pa.array(lang[some])), phrase, "\n"), pa.array(n[lo : lo + EMIT_ROWS].astype(np.int64))], ["key", "n"])
 
     def run(batches):
         scan = Scan()
@@ -194,22 +195,21 @@ def counted(docs: DataFrame, known: np.ndarray | None, before: np.ndarray | None
         if scan.parts:
             yield from emit(scan)
 
-    rows = docs.mapInArrow(run, "lang string, size int, phrase string, n long, open boolean")
-    return rows.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"), F.first("open").alias("open"))
+    rows = docs.mapInArrow(run, "key string, n long").repartition("key").groupBy("key").agg(F.sum("n").alias("n"))
+    phrase = F.substring_index("key", "\n", -1)  # no word holds a newline
+    lang = F.expr("left(key, length(key) - length(substring_index(key, '\n', -1)) - 1)")
+    return rows.select(lang.alias("lang"), F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, " "))).alias("size"), phrase.alias("phrase"), "n")
 
 
 def closed(docs: DataFrame, least: int, longest: int, known: np.ndarray | None = None) -> list[DataFrame]:
     """The frequent phrases with their exact counts, in one table for each pass: passes go on until no phrase of the border is frequent."""
     found, before = [], None
     while True:
-        frequent = settle(counted(docs, known, before, longest).where((F.col("size") == 0) | (F.col("n") >= least)))
-        found.append(frequent)
-        failures = frequent.where("open and size > 0")
-        if failures.isEmpty():
-            return found
-        more = bit_table(failures)
+        found.append(settle(counted(docs, known, before, longest).where((F.col("size") == 0) | (F.col("n") >= least))))
         before = np.zeros(_TABLE, _U) if known is None else known
-        known = before | more
+        known = before | bit_table(found[-1].where((F.col("size") > 0) & (F.col("size") < longest)))  # the longest are no part of another
+        if (known == before).all():
+            return found
 
 
 def frequent_phrases(docs: DataFrame, least: int, longest: int, share: float = SAMPLE_SHARE) -> DataFrame:
