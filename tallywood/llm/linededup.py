@@ -94,7 +94,9 @@ def first_lines(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
     keys = line_keys(F.col("line"), F.col("size"), edits)
     long = F.col("size") >= min_chars
     rows = rows.select("h1", "doc_id", "place", "size", F.when(long, parities(F.col("line"))).alias("odd"), *[F.when(long, k).alias(f"k{i}") for i, (k, _) in enumerate(keys)])
-    return rows.groupBy("h1").agg(F.min("doc_id").alias("doc_id"), F.min_by("place", "doc_id").alias("place"), F.min("size").alias("size"), F.min("odd").alias("odd"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(len(keys))])
+    none = F.col("doc_id").isNull()  # a null id comes first
+    found = rows.groupBy("h1").agg(F.bool_or(none).alias("none"), F.min("doc_id").alias("low"), F.min_by("place", "doc_id").alias("at"), F.min(F.when(none, F.col("place"))).alias("none_at"), F.min("size").alias("size"), F.min("odd").alias("odd"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(len(keys))])
+    return found.withColumns({"doc_id": F.when(~F.col("none"), F.col("low")), "place": F.when(F.col("none"), F.col("none_at")).otherwise(F.col("at"))}).drop("none", "low", "at", "none_at")
 
 
 def candidate_pairs(lines: DataFrame, edits: int) -> DataFrame:
