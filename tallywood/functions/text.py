@@ -74,6 +74,8 @@ def classify(text: Column, cues: dict[str, tuple[str, ...]], other: str = "OTHER
             parts.append(F.when(reduce(lambda a, b: a | b, [F.lower(filename).contains(p) for p in hints[k]]), 2).otherwise(0))
         return F.coalesce(reduce(lambda a, b: a + b, parts, F.lit(0)), F.lit(0))
 
+    if not names:
+        return F.lit(other)
     scores = {k: score(k) for k in names}
     best = F.greatest(*scores.values()) if len(scores) > 1 else next(iter(scores.values()))
     return reduce(lambda rest, k: F.when((best > 0) & (scores[k] == best), F.lit(k)).otherwise(rest), reversed(names), F.lit(other))

@@ -177,16 +177,24 @@ def record_timeline(documents: DataFrame, facts: DataFrame, record_claims: DataF
 
 # --- graph and brief ------------------------------------------------------------------
 def graph(nodes: dict[str, DataFrame], contains: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges). nodes: kind to a table of node_id; contains: from_id, to_id; relations: rel_type, from_id, to_id, to_type.
+    """(nodes, edges). nodes: kind to a table of node_id; contains and relations: rel_type (CONTAINS where absent), from_id, to_id, and from_type, to_type.
 
-    A relation to concepts that have no record gets a node absent_evidence, so that what is missing can be seen; other
-    relations with an unknown end are left out.
+    A node is a kind and an id: fact 1 and claim 1 are two. An end whose type isn't stated is looked up in all kinds by its
+    id. A relation to concepts (to_type 'concept') that have no record gets a node absent_evidence, so that what is
+    missing can be seen; other relations with an unknown end are left out. edges: rel_type, from_id, to_id, from_type, to_type.
     """
-    known = reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("kind"), F.col("node_id").cast("string").alias("node_id")) for kind, df in nodes.items()]).dropDuplicates(["node_id"])
-    absent = relations.where("to_type = 'concept'").select(F.lit("absent_evidence").alias("kind"), F.col("to_id").cast("string").alias("node_id")).distinct().join(known.select("node_id"), "node_id", "left_anti")
-    every = known.unionByName(absent.select("kind", "node_id"))
-    text = lambda df: df.select("rel_type", F.col("from_id").cast("string").alias("from_id"), F.col("to_id").cast("string").alias("to_id"))
-    return every, views.valid_edges(text(contains.withColumn("rel_type", F.lit("CONTAINS"))).unionByName(text(relations)), every)
+    known = reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("kind"), F.col("node_id").cast("string").alias("node_id")) for kind, df in nodes.items()]).distinct()
+    typed = lambda df, c: F.col(c) if c in df.columns else F.lit(None).cast("string")
+    text = lambda df: df.select("rel_type", F.col("from_id").cast("string").alias("from_id"), F.col("to_id").cast("string").alias("to_id"), typed(df, "from_type").alias("from_type"), typed(df, "to_type").alias("to_type"))
+    every = text(contains.withColumn("rel_type", F.lit("CONTAINS"))).unionByName(text(relations))
+    absent = every.where("to_type = 'concept'").select(F.lit("absent_evidence").alias("kind"), F.col("to_id").alias("node_id")).distinct()
+    absent = absent.join(known.select("node_id").distinct(), "node_id", "left_anti").select("kind", "node_id")
+    found = known.unionByName(absent)
+    for end in ("from", "to"):
+        ids = found.select(F.col("node_id").alias("id__"), F.col("kind").alias("kind__"))
+        stated = F.col(f"{end}_type").isNull() | (F.col(f"{end}_type") == F.col("kind__")) | (F.col(f"{end}_type") == "concept")
+        every = every.join(ids, (F.col(f"{end}_id") == F.col("id__")) & stated).withColumn(f"{end}_type", F.col("kind__")).drop("id__", "kind__").distinct()
+    return found, every.select("rel_type", "from_id", "to_id", "from_type", "to_type")
 
 
 def brief(unresolved: DataFrame, found_gaps: DataFrame, documents: DataFrame, facts: DataFrame) -> dict[str, DataFrame]:

@@ -345,7 +345,7 @@ def extract_pages(pages: DataFrame, vocabulary, kinds: tuple[str, ...] = KINDS)
         "claims": lambda: with_date(claims(rows, vocabulary.claim_patterns)),
         "medications": lambda: medications(rows, F.col("doc_type"), F.col("page_date"), vocabulary.drugs),
         "findings": lambda: with_date(findings(rows, vocabulary.phrases, vocabulary.anchored)),
-        "references": lambda: references(pages, vocabulary.references),
+        "references": lambda: with_date(references(pages, vocabulary.references)),
         "follow_ups": lambda: with_date(follow_ups(pages, vocabulary.follow_ups)),
     }
     return {kind: make[kind]() for kind in kinds}

@@ -82,9 +82,14 @@ def link_statements(links: DataFrame, stated: DataFrame) -> DataFrame:
     return links.join(stated.drop("ordinal"), "document_id")
 
 
+#: Edges that run from a fact to a claim, and what they say of it; edges between facts have other names.
+CLAIM_EDGES = {"SUPPORTS": "SUPPORTS", "CONTRADICTS_CLAIM": "CONTRADICTS"}
+
+
 def claim_evidence_view(claims: DataFrame, edges: DataFrame) -> DataFrame:
-    """Claims with the facts that support or contradict them: edges run from the fact to the claim."""
-    rows = edges.where(F.col("rel_type").isin("SUPPORTS", "CONTRADICTS")).select(F.col("to_id").alias("claim_id"), "rel_type", F.col("from_id").alias("fact_id"))
+    """Claims with the facts that support or contradict them: claim_id, rel_type (SUPPORTS or CONTRADICTS), fact_id."""
+    said = F.create_map(*[F.lit(x) for pair in CLAIM_EDGES.items() for x in pair])
+    rows = edges.where(F.col("rel_type").isin(*CLAIM_EDGES)).select(F.col("to_id").alias("claim_id"), said[F.col("rel_type")].alias("rel_type"), F.col("from_id").alias("fact_id"))
     return claims.select(F.col("claim_id").cast("string").alias("claim_id")).join(rows, "claim_id")
 
 

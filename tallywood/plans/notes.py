@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import units
 from ..functions.text import classify, dated, document_date
-from ..operators import extraction, registry
+from ..operators import extraction, pipeline, registry
+from ..sources import ingest
 from ..sources.tables import settle, shared_folder
 from . import standins as s
 from .vocabulary import DOCUMENT_CUES, FILE_HINTS, Vocabulary
@@ -263,8 +264,27 @@ def registry_review(spark, d):
     return registry.review_queue(links, stated).groupBy("basis").agg(F.count("*").alias("n"), F.count("raw_name").alias("named"), F.count("raw_mrn").alias("numbered"))
 
 
+def visit_files(spark, d):
+    """A text file for each order: who, when, a reading and a follow-up, in the columns of a file listing."""
+    o = s.table(spark, d, "orders")
+    tenths = F.floor(F.col("o_totalprice") / 1000).cast("long")
+    text = F.concat_ws(
+        "\n", F.concat(F.lit("Patient: Ann "), _surname(F.col("o_custkey")), F.lit("   MRN: M"), F.col("o_custkey").cast("string")), F.concat(F.lit("Report No: "), F.col("o_orderkey").cast("string")), F.concat(F.lit("Report Date: "), _day("o_orderdate")),
+        F.concat(F.lit("Hemoglobin    "), F.floor(tenths / 10).cast("string"), F.lit("."), F.pmod(tenths, F.lit(10)).cast("string"), F.lit(" g/dL")), F.when(F.col("o_orderstatus") == "F", "Please repeat CBC in six weeks").otherwise("No visit is planned"),
+    )
+    rows = o.select(F.concat(F.lit("case/"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"), F.lit(".txt")).alias("path"), text.cast("binary").alias("content"))
+    return ingest.described(rows.withColumn("length", F.length("content").cast("long")))
+
+
+def case_run_timeline(spark, d):
+    """All stages from files to the timeline: entries and patients by kind and day."""
+    folder = os.path.join(shared_folder(spark), f"run-{uuid.uuid4().hex}")
+    out = pipeline.run_case(spark, visit_files(spark, d), V, folder, this_year=THIS_YEAR, cues=DOCUMENT_CUES, hints=FILE_HINTS)
+    return out["timeline"].groupBy("kind", "title", "date").agg(F.count("*").alias("n"), F.count_distinct("subject").alias("patients"))
+
+
 _ALL = (
-    layout_observations, measure_spans, release_measurements, unit_kinds, note_claims, note_medications, note_findings, note_references, note_follow_ups, note_sections, note_lines, note_classes, document_dates, attributed_dates,
+    case_run_timeline, layout_observations, measure_spans, release_measurements, unit_kinds, note_claims, note_medications, note_findings, note_references, note_follow_ups, note_sections, note_lines, note_classes, document_dates, attributed_dates,
     registry_assertions, registry_participants, clinic_team, directory_counts, directory_pruned, registry_links, registry_encounters, registry_patients, registry_review,
 )
 QUERIES = {f.__name__: f for f in _ALL}
@@ -298,6 +318,9 @@ links AS (
   FROM based b LEFT JOIN refs USING (c) LEFT JOIN f ON f.c = b.c)"""
 
 ORACLE_SQL = {
+    "case_run_timeline": """
+SELECT 'observation' AS kind, 'hemoglobin' AS title, CAST(o_orderdate AS DATE) AS date, count(*) AS n, count(DISTINCT o_custkey) AS patients FROM orders GROUP BY ALL
+UNION ALL SELECT 'event', 'Repeat CBC', CAST(o_orderdate AS DATE), count(*), count(DISTINCT o_custkey) FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL""",
     "layout_observations": f"""
 SELECT event_id AS page_id, {_case("event_type", {r[0]: _text(r[3]) for r in READINGS})} AS concept,
   CASE WHEN event_type = 'error' THEN 'UNRECOGNISED' WHEN event_id % 7 = 4 THEN 'CONTAINED' ELSE 'EXACT' END AS match,

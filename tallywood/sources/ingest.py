@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..operators.keys import join_on
+from ..operators.numbering import numbered
 
 #: Fixed value: what stands between the pages of a raw text.
 PAGE_BREAK = "\n\f\n"
@@ -42,14 +43,24 @@ def text_pages(files: DataFrame) -> DataFrame:
 
 
 def raw_text(documents: DataFrame, pages: str = "pages") -> DataFrame:
-    """Adds raw_text (pages joined by a page break), page_offsets (start, end of each page), text_sha256, char_count, status."""
-    sizes = F.transform(pages, F.length)
+    """Adds raw_text (pages joined by a page break), page_offsets (start, end of each page), text_sha256, char_count, and status where there is none yet.
+
+    A status that parsing gave (FAILED, DUPLICATE, ...) stays; else it is INGESTED with text and MISSING without.
+    """
     step = len(PAGE_BREAK)
-    start = lambda i: F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, x: a + x + step)
+    place = "struct<at:int,out:array<struct<start:int,end:int>>>"
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")).cast(place)
+    add = lambda s, n: F.struct((s["at"] + n + step).alias("at"), F.array_append(s["out"], F.struct(s["at"].alias("start"), (s["at"] + n).alias("end"))).alias("out")).cast(place)
     joined = F.array_join(pages, PAGE_BREAK)
-    offsets = F.transform(sizes, lambda n, i: F.struct(start(i).alias("start"), (start(i) + n).alias("end")))
+    offsets = F.aggregate(F.transform(pages, F.length), begin, add, lambda s: s["out"])
     status = F.when(F.exists(pages, lambda p: F.trim(p) != ""), "INGESTED").otherwise("MISSING")
-    return documents.withColumns({"raw_text": joined, "page_offsets": offsets, "text_sha256": F.sha2(joined, 256), "char_count": F.length(joined), "status": status})
+    stated = F.coalesce("status", status) if "status" in documents.columns else status
+    return documents.withColumns({"raw_text": joined, "page_offsets": offsets, "text_sha256": F.sha2(joined, 256), "char_count": F.length(joined), "status": stated})
+
+
+def stored_texts(parsed: DataFrame) -> DataFrame:
+    """raw_text of the parsed files that are kept: duplicates and failures stay in the ledger alone."""
+    return raw_text(parsed.where(F.col("status").isin("INGESTED", "MISSING")))
 
 
 def content_dedupe(documents: DataFrame, case: str, digest: str, order: str) -> DataFrame:
@@ -79,15 +90,14 @@ def failed_items(ledger: DataFrame, limit: int = 100) -> DataFrame:
 
 def plan_job(files: DataFrame, job_id: str) -> DataFrame:
     """One PENDING item for each file, numbered by path: written before any file is read."""
-    order = Window.partitionBy(F.lit(job_id)).orderBy("path")
     rows = files.select("path", "suffix", "supported", "byte_size", "sha256")
-    return rows.withColumns({"job_id": F.lit(job_id), "ordinal": F.row_number().over(order), "status": F.lit("PENDING")})
+    return numbered(rows, ["path"], "ordinal").withColumns({"job_id": F.lit(job_id), "status": F.lit("PENDING")})
 
 
 def chunks(manifest: DataFrame, size: int = 200) -> DataFrame:
     """Pending items with the number of their chunk, by ordinal within the job."""
-    order = Window.partitionBy("job_id").orderBy("ordinal")
-    return manifest.where("status = 'PENDING'").withColumn("chunk", F.floor((F.row_number().over(order) - 1) / size))
+    rows = numbered(manifest.where("status = 'PENDING'"), ["ordinal"], "number__", group="job_id")
+    return rows.withColumn("chunk", F.floor((F.col("number__") - 1) / size)).drop("number__")
 
 
 def parse_files(files: DataFrame, case: str = "case_id") -> DataFrame:
