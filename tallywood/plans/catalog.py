@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import identity, terms, text, units
 from ..operators import changes, claims, conflicts, episodes, extraction, gaps, views
 from ..sources import ingest
+from ..sources.tables import shared_folder
+from ..streaming.conflicts import streaming_conflicts
 from . import audits, notes
 from . import catalog_sql as sql
 from . import standins as s
@@ -28,6 +33,16 @@ def numeric_conflicts(spark, d):
     return conflicts.numeric_conflicts(s.facts(spark, d), s.rules(spark))
 
 
+def stream_conflicts(spark, d):
+    """The conflicts of episodes that a replay of the events as a stream has closed by its end, three days of lateness allowed."""
+    events = spark.readStream.schema(s.table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")  # a stream takes a folder or a pattern
+    facts = s.facts_of(events).withColumn("obs_time", F.to_timestamp("obs_date"))
+    path = os.path.join(shared_folder(spark), f"stream-{uuid.uuid4().hex}")
+    found = streaming_conflicts(facts, s.rules(spark), "3 days")
+    found.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{path}/out")
+
+
 def conflict_edges(spark, d):
     return conflicts.cross_members(episodes.episodes(episodes.with_rules(s.facts(spark, d), s.rules(spark)))).select("left_id", "right_id")
 
@@ -196,7 +211,7 @@ def bulk_resume(spark, d):
     return ingest.pending(manifest, done)
 
 
-_ALL = (episode_clusters, materiality_pairs, numeric_conflicts, conflict_edges, status_conflicts, changes_adjacent, changes_unambiguous, duplicates, series_engine, series_view, med_list_antijoin, claim_status, claim_out_of_window, claim_first_support, gap_unsupported, reference_nearest, reference_unique_match, gap_missing_reference, gap_missing_followup, relationship_edges, graph_edges_valid, timeline_days, case_summary, care_team, display_numbering, content_dedupe, raw_offsets, classify_cues, date_extract, measure_extract, negation_filter, term_search_tiers, identity_link_rules, job_progress, bulk_resume)
+_ALL = (episode_clusters, materiality_pairs, numeric_conflicts, stream_conflicts, conflict_edges, status_conflicts, changes_adjacent, changes_unambiguous, duplicates, series_engine, series_view, med_list_antijoin, claim_status, claim_out_of_window, claim_first_support, gap_unsupported, reference_nearest, reference_unique_match, gap_missing_reference, gap_missing_followup, relationship_edges, graph_edges_valid, timeline_days, case_summary, care_team, display_numbering, content_dedupe, raw_offsets, classify_cues, date_extract, measure_extract, negation_filter, term_search_tiers, identity_link_rules, job_progress, bulk_resume)
 QUERIES = {f.__name__: f for f in _ALL} | notes.QUERIES | audits.QUERIES
 
 # --- SQL -----------------------------------------------------------------------------
@@ -288,4 +303,9 @@ WHERE l.document_id <> r.document_id""",
     "job_progress": "WITH l AS (SELECT o_orderpriority AS job_id, CASE WHEN o_orderstatus = 'P' THEN 'PENDING' WHEN o_orderstatus = 'F' THEN 'INGESTED' WHEN o_orderkey % 7 = 0 THEN 'FAILED' ELSE 'DUPLICATE' END AS status FROM orders) SELECT job_id, count(*) AS total, count(*) FILTER (status = 'PENDING') AS pending, count(*) FILTER (status = 'INGESTED') AS ingested, count(*) FILTER (status = 'DUPLICATE') AS duplicate, count(*) FILTER (status = 'FAILED') AS failed, round(100.0 * (count(*) - count(*) FILTER (status = 'PENDING')) / count(*), 1) AS percent FROM l GROUP BY 1",
     "bulk_resume": "SELECT o_orderkey AS path, o_orderpriority FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
 }
+ORACLE_SQL["stream_conflicts"] = (
+    f"WITH {_EPI}, span AS (SELECT subject, concept, episode, CAST(max(obs_date) + any_value(rules.window_days) + 1 AS DATE) AS shut FROM epi JOIN rules USING (concept) WHERE value IS NOT NULL GROUP BY subject, concept, episode), late AS (SELECT CAST(max(CAST(ts AS DATE)) - 3 AS DATE) AS passed FROM events),\n"
+    f"every AS ({ORACLE_SQL['numeric_conflicts']})\n"
+    "SELECT every.* REPLACE (CAST(every.subject AS VARCHAR) AS subject) FROM every JOIN span s ON s.subject IS NOT DISTINCT FROM every.subject AND s.concept = every.concept AND s.episode = every.episode, late WHERE s.shut <= late.passed"
+)
 ORACLE_SQL |= notes.ORACLE_SQL | audits.ORACLE_SQL

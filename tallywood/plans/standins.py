@@ -17,7 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return facts_of(table(spark, sf_dir, "events"))
+
+
+def facts_of(e: DataFrame) -> DataFrame:
+    """Facts of events, a table or a stream."""
     document = F.get_json_object("props", "$.k").cast("long")
     subject = F.when(F.col("user_id") % 50 != 0, F.col("user_id"))  # the others are not resolved to anyone
     return e.select(subject.alias("subject"), F.col("event_type").alias("concept"), F.col("event_id").alias("fact_id"), F.to_date("ts").alias("obs_date"), "value", F.when(F.col("value") >= 50, "HIGH").when(F.col("value") >= 10, "MID").otherwise("LOW").alias("value_key"), document.alias("document_id"), F.round((F.col("event_id") % 10) / 10, 1).alias("confidence"))
