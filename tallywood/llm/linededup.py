@@ -40,6 +40,7 @@ from .common import settle
 MAX_EDITS = 1
 MIN_CHARS = 20
 HOT_KEY = 256
+OVER = 1 << 20
 BROADCAST_LINES = 500_000
 LETTERS = "etanoisrhdlu0123456789"
 
@@ -72,9 +73,11 @@ def line_keys(line: Column, length: Column, edits: int) -> list[tuple[Column, bo
 
 
 def parities(line: Column) -> Column:
-    """One bit for each letter: is its count odd."""
-    bit = lambda k, c: F.shiftleft((F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(1)), k)
-    return reduce(lambda a, b: a.bitwiseOR(b), [bit(k, c) for k, c in enumerate(LETTERS)])
+    """One bit for each letter: is its count odd. Digits are looked for only in lines that have one."""
+    bit = lambda k: F.shiftleft((F.length(line) - F.length(F.replace(line, F.lit(LETTERS[k]), F.lit("")))).bitwiseAND(F.lit(1)), k)
+    some = lambda places: reduce(lambda a, b: a.bitwiseOR(b), [bit(k) for k in places])
+    first = LETTERS.index("0")
+    return some(range(first)).bitwiseOR(F.when(line.rlike("[0-9]"), some(range(first, len(LETTERS)))).otherwise(0))
 
 
 def occurrences(docs: DataFrame, min_chars: int = 1) -> DataFrame:
@@ -137,13 +140,14 @@ def within(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
     of b: same has a bit for each band row whose character of a is equal; the carries of one addition run
     along matches, which gives the rows that take the diagonal for nothing (flat), and from them the next
     words, shifted by one as the band moves down. Rows behind the end of a match nothing; at the end they
-    are taken off again.
+    are taken off again. Once all distances of the band are above the threshold the alignment stands still.
     """
     width = 2 * edits + 1
     full, top = (1 << width) - 1, 1 << (width - 1)
     long = lambda x: F.lit(x).cast("long")
     either, both, flip = lambda *w: reduce(lambda x, y: x.bitwiseOR(y), w), lambda x, y: x.bitwiseAND(y), lambda x: F.bitwise_not(x).bitwiseAND(long(full))
-    rows = pairs.where(F.abs(F.length(a) - F.length(b)) <= edits).withColumns({"a__": F.split(a, ""), "b__": F.split(b, "")})
+    letters = lambda c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, ""))
+    rows = pairs.where(F.abs(F.length(a) - F.length(b)) <= edits).withColumns({"a__": letters(a), "b__": letters(b)})
 
     def let(value: Column, then):
         return F.transform(F.array(value), lambda x: then(x))[0]
@@ -162,9 +166,21 @@ def within(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
         below = F.shiftright(s["flat"], 1)
         return F.struct(either(left, flip(either(below, right))).alias("up"), both(below, right).alias("down"), (s["last"] + F.when(both(s["flat"], long(top)) == 0, 1).otherwise(0)).alias("last"), (s["j"] + 1).alias("j"))
 
+    def least(s: Column) -> Column:
+        """The least distance of the band."""
+        bit = lambda word, k: F.shiftright(s[word], k).bitwiseAND(long(1))
+        at = [s["last"]]
+        for k in range(width - 2, -1, -1):
+            at.append(at[-1] - bit("up", k) + bit("down", k))
+        return F.least(*at)
+
+    def stopped(s: Column) -> Column:
+        """The state, or one far above the threshold where no distance of the band is within it."""
+        return F.struct(s["up"].alias("up"), s["down"].alias("down"), F.when(least(s) > edits, long(OVER)).otherwise(s["last"]).alias("last"), s["j"].alias("j"))
+
     def step(s: Column, c: Column) -> Column:
         keep = lambda x, name, value: F.struct(*[x[n].alias(n) for n in ("up", "down", "last", "j")], value.alias(name))
-        return let(keep(s, "same", same(c, s["j"])), lambda x: let(keep(x, "flat", flat(x)), words))
+        return F.when(s["last"] >= OVER, s).otherwise(let(keep(s, "same", same(c, s["j"])), lambda x: let(keep(x, "flat", flat(x)), lambda y: let(words(y), stopped))))
 
     start = F.struct(long(((1 << (edits + 1)) - 1) << edits).alias("up"), long(0).alias("down"), long(edits).alias("last"), F.lit(0).alias("j"))
     rows = rows.withColumn("end__", F.aggregate("b__", start, step))
