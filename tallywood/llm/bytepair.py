@@ -42,8 +42,8 @@ from pyspark.sql import DataFrame
 
 from .textscan import SPACE, Piece, _power_tables, mix, pieces
 
-MAX_STATES = 400_000
-MAX_MATCHES = 400_000
+MAX_STATES = 250_000
+MAX_MATCHES = 250_000
 WIDTH = 16
 DECODE_IDS = 1 << 16
 _NEVER = np.int64(1 << 40)
