@@ -74,7 +74,7 @@ def line_keys(line: Column, length: Column, edits: int) -> list[tuple[Column, bo
 
 def parities(line: Column) -> Column:
     """One bit for each letter: is its count odd. Digits are looked for only in lines that have one."""
-    bit = lambda k: F.shiftleft((F.length(line) - F.length(F.replace(line, F.lit(LETTERS[k]), F.lit("")))).bitwiseAND(F.lit(1)), k)
+    bit = lambda k: F.shiftleft((F.octet_length(line) - F.octet_length(F.replace(line, F.lit(LETTERS[k]), F.lit("")))).bitwiseAND(F.lit(1)), k)  # noqa: E731  each is one byte
     some = lambda places: reduce(lambda a, b: a.bitwiseOR(b), [bit(k) for k in places])
     first = LETTERS.index("0")
     return some(range(first)).bitwiseOR(F.when(line.rlike("[0-9]"), some(range(first, len(LETTERS)))).otherwise(0))
