@@ -132,6 +132,14 @@ def near_lines(docs: DataFrame, pairs: DataFrame, edits: int, min_chars: int) ->
     return within(both, "a", "b", edits).select(F.col("later").alias("h1")).distinct()
 
 
+def shares_pieces(a: Column, b: Column, edits: int) -> Column:
+    """Does b hold all but ``edits`` of the even pieces of a: an edit touches one piece at most, so lines within that many edits do."""
+    parts = 4 * (edits + 1)
+    cut = lambda i: F.floor(i * F.length(a) / parts).cast("int")
+    held = [F.when(F.contains(b, F.substring(a, cut(i) + 1, cut(i + 1) - cut(i))), 1).otherwise(0) for i in range(parts)]
+    return reduce(lambda x, y: x + y, held) >= parts - edits
+
+
 def within(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
     """The pairs whose lines (columns a and b) are within ``edits`` edits, by bit-parallel alignment in the band of the threshold.
 
@@ -146,6 +154,7 @@ def within(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
     full, top = (1 << width) - 1, 1 << (width - 1)
     long = lambda x: F.lit(x).cast("long")
     either, both, flip = lambda *w: reduce(lambda x, y: x.bitwiseOR(y), w), lambda x, y: x.bitwiseAND(y), lambda x: F.bitwise_not(x).bitwiseAND(long(full))
+    pairs = pairs.where(shares_pieces(F.col(a), F.col(b), edits))
     letters = lambda c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, ""))
     rows = pairs.where(F.abs(F.length(a) - F.length(b)) <= edits).withColumns({"a__": letters(a), "b__": letters(b)})
 
