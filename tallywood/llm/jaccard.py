@@ -229,14 +229,14 @@ def _same_row():
 
 
 def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets meet the threshold.
+    """The pairs (a, b) of nodes whose sets meet the threshold, as a written table; pairs is one too.
 
     The text of each compared node is fetched once, turned into its set, and sent to the
     hubs b that it is compared with.
     """
-    pairs = settle(possible(pairs, reps, num, den))
+    pairs = settle(possible(pairs, reps, num, den), pairs.count())
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = settle(nodes.join(reps.select("node", F.col("doc_id").alias("id__"), F.col("mark").alias("mark__")), "node"))
+    wanted = settle(nodes.join(reps.select("node", F.col("doc_id").alias("id__"), F.col("mark").alias("mark__")), "node"), 2 * pairs.count())
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted.hint("shuffle_hash")
 
     def make(batches):
@@ -263,7 +263,7 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int,
 
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("tokens_a")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tokens_b")), "b")
-    return both.select("a", "b", "tokens_a", "tokens_b").mapInArrow(check, "a long, b long")
+    return settle(both.select("a", "b", "tokens_a", "tokens_b").mapInArrow(check, "a long, b long"), pairs.count())
 
 
 def linked(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -278,8 +278,8 @@ def linked(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
     order = F.shiftleft("rare", 40).bitwiseOR(F.col("node").bitwiseAND((1 << 40) - 1))
     lists = held.groupBy("key").agg(*(F.min_by(x, order).alias(y) for x, y in (("node", "hub"), ("n", "n_b"), ("at", "at_b"))))
     room = _room(num, den)
-    with_hub = settle(held.join(lists, "key").where("node <> hub").withColumnsRenamed({"node": "a", "n": "n_a", "at": "at_a", "hub": "b"}).where(room).select("a", "b").distinct())
-    links = settle(verify(with_hub, reps, docs, k, num, den))
+    with_hub = settle(held.join(lists, "key").where("node <> hub").withColumnsRenamed({"node": "a", "n": "n_a", "at": "at_a", "hub": "b"}).where(room).select("a", "b").distinct(), held.count())
+    links = verify(with_hub, reps, docs, k, num, den)
     labels = components(links)
     # classes that share a list and are not joined up yet
     marked = settle(held.join(labels, "node", "left").join(reps.select("node", *_BRIEF), "node").select("key", "node", "n", "at", *_BRIEF, F.coalesce("label", "node").alias("label")))
@@ -291,7 +291,7 @@ def linked(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Data
     rest = side("a").join(side("b"), "key").where((F.col("label_a") < F.col("label_b")) & room & close).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     rest = settle(rest.join(with_hub, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        links = links.unionByName(settle(verify(rest, reps, docs, k, num, den)))
+        links = links.unionByName(verify(rest, reps, docs, k, num, den))
         labels = components(links)
     return base, reps, labels
 

@@ -17,6 +17,8 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from tallywood.llm import bytepair, classlm, decontaminate, jaccard, langid, linededup, media, quality, toxicity, urlrules
+from tallywood.llm.common import hot_keys, settle
+from tallywood.llm.graph import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, node long, line string"
 
@@ -268,3 +270,21 @@ def test_jaccard_with_null_and_repeated_ids(spark):
     kept = sorted(((x.doc_id, x.text) for x in jaccard.keep_first(docs).collect()), key=str)
     pair = next(x for x in kept if x[1] in (two, near(two)))
     assert kept == sorted([(4, one), pair, (7, three), (7, four), (None, ""), (None, None), (8, "")], key=str)
+
+
+def test_small_tables_between_steps_go_to_few_files(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = settle(spark.range(600).selectExpr("id * 3 % 700 as a", "id * 7 % 900 as b"), 600)
+        labels = components(edges)
+        assert len(edges.inputFiles()) == 1 and len(labels.inputFiles()) == 1
+        assert len(hot_keys(spark.range(9000).selectExpr("id % 30 as key"), "key").inputFiles()) == 1
+        assert settle(spark.range(5).selectExpr("id % 5 as a").distinct(), 5).count() == 5
+        assert len(settle(spark.range(0, 4000, 1, 12), (1 << 16) * 8 + 1).inputFiles()) == 12
+        links, label = {(x.a, x.b) for x in edges.collect()}, {x.node: x.label for x in labels.collect()}
+        assert all(label[a] == label[b] <= min(a, b) for a, b in links if a != b)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
