@@ -1,15 +1,19 @@
 """Language-model scoring with Brown class-based bigrams found by exchange clustering.
 
-Every word belongs to a unit: each of the WORDS most frequent words is one, all other
-words share GROUPS units by their last three bytes, and the end of a text is one. The
-exchange algorithm moves units between CLASSES classes as long as the likelihood of the
-class bigrams rises. A token's probability is that of its class after the class before
+Every word has a class of its own, found in two steps. At first a word belongs to a unit: each
+of the WORDS most frequent words is one, all other words share GROUPS units by their last three
+bytes, and the end of a text is one. The exchange algorithm moves units between CLASSES classes
+as long as the likelihood of the class bigrams rises. From there every word of the training texts
+is exchanged by itself in Spark, however rare: the classes before and after all its occurrences are
+counted, and it goes to the class where the likelihood is highest, all words at once against
+the counts of the first step (listed words by the exact change, all others by its first order,
+which is a product of matrices). A word that isn't in the training texts has its unit's class. A token's probability is that of its class after the class before
 it (counts smoothed with the class's own share) times that of the word in its class
 (additive smoothing; all unseen words of a class share one type).
 
-The corpus statistics come from all training rows: unit bigrams (at most UNITS^2 sums),
-counts of the LISTED most frequent words, and counts of all other words, which stay in
-Spark and meet the tokens of the documents in one shuffle by word. A word outside the list
+The corpus statistics come from all training rows. Counts and classes of the LISTED most frequent
+words are broadcast; all other words stay in Spark: their occurrences, with both neighbours, are
+shuffled by word, which gives the word's class and count, and then by document, where neighbours meet. A word outside the list
 has a share of less than SHARE of the tokens, so no word gathers much of the corpus.
 
 Defined cases: null text is empty; a text without words is its end token alone; null ids
@@ -39,6 +43,7 @@ SHARE = 2e-5
 DELTA = 0.5
 STRENGTH = 20.0
 SWEEPS = 12
+BLOCK = 512
 _U = np.uint64
 
 
@@ -111,44 +116,26 @@ def with_ends(values: np.ndarray, offs: np.ndarray, end) -> tuple[np.ndarray, np
 
 
 def corpus_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Rows of three kinds: 0 unit bigrams (a, b, n), 1 listed words (a, n), 2 other words of a document (a, b = row, n, unit, train)."""
+    """Rows of two kinds: 0 unit bigrams (a, b, n), 1 listed words (a, b = unit, n)."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def batch_of(kind, a, b, n, unit, train):
-        size = len(a)
-        fill = lambda x, t: pa.array(np.broadcast_to(np.asarray(x, t), size))
-        return pa.RecordBatch.from_arrays([fill(kind, np.int32), fill(a, np.int64), fill(b, np.int64), fill(n, np.int64), fill(unit, np.int32), pa.array(np.broadcast_to(np.asarray(train, bool), size).tolist() if np.ndim(train) else [bool(train)] * size, pa.bool_())], ["kind", "a", "b", "n", "unit", "train"])
-
     def run(batches):
         vocabulary = shared.value
-        grams, listed = np.zeros(UNITS * UNITS, np.int64), np.zeros(len(vocabulary.hashes), np.int64)
+        grams, listed, units = np.zeros(UNITS * UNITS, np.int64), np.zeros(len(vocabulary.hashes), np.int64), np.zeros(len(vocabulary.hashes), np.int64)
         for batch in batches:
-            rows, train_all = batch.column("row").to_numpy(zero_copy_only=False), batch.column("train").to_numpy(zero_copy_only=False)
             for piece in pieces(batch.column("text")):
                 w = words(piece)
                 at, unit = vocabulary.find(piece, w)
-                train = train_all[piece.lo : piece.hi]
-                owner = w.owner()
-                line, offs = with_ends(unit, w.offs, 0)
-                before = np.concatenate([[0], line[:-1]])  # each text stands behind the end of another or the start
-                learn = np.repeat(train, np.diff(offs))
-                pair, n = np.unique((before * UNITS + line)[learn], return_counts=True)
+                line, _ = with_ends(unit, w.offs, 0)
+                pair, n = np.unique(np.concatenate([[0], line[:-1]]) * UNITS + line, return_counts=True)  # each text stands behind the end of another or the start
                 grams[pair] += n
-                learn = train[owner] if len(owner) else np.zeros(0, bool)
-                listed += np.bincount(at[(at >= 0) & learn], minlength=len(listed))
-                other = at < 0
-                order = np.lexsort((w.hashes[other], owner[other]))
-                h, d, u = w.hashes[other][order], owner[other][order], unit[other][order]
-                if len(h):
-                    new = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
-                    begin = np.flatnonzero(new)
-                    yield batch_of(2, h[begin].view(np.int64), rows[piece.lo + d[begin]], np.diff(np.concatenate([begin, [len(h)]])), u[begin], train[d[begin]])
-        some = np.flatnonzero(grams)
-        yield batch_of(0, some // UNITS, some % UNITS, grams[some], 0, True)
-        some = np.flatnonzero(listed)
-        yield batch_of(1, vocabulary.hashes[some].view(np.int64), 0, listed[some], 0, True)
-
-    return split(docs).mapInArrow(run, "kind int, a long, b long, n long, unit int, train boolean")
+                listed += np.bincount(at[at >= 0], minlength=len(listed))
+                units[at[at >= 0]] = unit[at >= 0]
+        for kind, some, a, b, n in ((0, np.flatnonzero(grams), lambda x: x // UNITS, lambda x: x % UNITS, grams), (1, np.flatnonzero(listed), lambda x: x, lambda x: units[x], listed)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, np.int32)), pa.array(a(some)), pa.array(b(some)), pa.array(n[some])], ["kind", "a", "b", "n"])
+
+    found = split(docs).where("train").select("text").mapInArrow(run, "kind int, a long, b long, n long")
+    return found.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
 
 
 def _plogp(x):
@@ -203,11 +190,230 @@ def exchange(grams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return where
 
 
+def table_of(grams: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """Class bigrams of unit bigrams."""
+    one = np.zeros((len(grams), CLASSES))
+    one[np.arange(len(grams)), where] = 1
+    return one.T @ grams @ one
+
+
+def likelihood(table: np.ndarray) -> float:
+    """What the exchange raises: the class part of the log likelihood."""
+    return float(_plogp(table).sum() - _plogp(table.sum(axis=0)).sum() - _plogp(table.sum(axis=1)).sum())
+
+
+def best_exact(table: np.ndarray, right: np.ndarray, left: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Best class of each word, from counts of the classes after and before it; its own class is taken without it."""
+    out = own.copy()
+    row, col = table.sum(axis=1), table.sum(axis=0)
+    for lo in range(0, len(own), 64):
+        some = slice(lo, lo + 64)
+        r, l, a = right[some], left[some], own[some]  # noqa: E741
+        i = np.arange(len(a))
+        to, of, n_to, n_of = (np.repeat(x[None], len(a), axis=0) for x in (table, table.T, row, col))
+        to[i, a] -= r
+        of[i, a] -= l
+        n_to[i, a] -= r.sum(axis=1)
+        n_of[i, a] -= l.sum(axis=1)
+        to, of, n_to, n_of = (np.maximum(x, 0) for x in (to, of, n_to, n_of))
+        gain = (_plogp(to + r[:, None]) - _plogp(to)).sum(axis=2) + (_plogp(of + l[:, None]) - _plogp(of)).sum(axis=2)
+        gain -= _plogp(n_to + r.sum(axis=1)[:, None]) - _plogp(n_to) + _plogp(n_of + l.sum(axis=1)[:, None]) - _plogp(n_of)
+        gain[:, 0] = -np.inf
+        best = gain.argmax(axis=1)
+        out[some] = np.where(gain[i, best] > gain[i, a] + 1e-9, best, a)
+    return out
+
+
+def best_first_order(table: np.ndarray, right: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Best class of words whose counts are small against the table's."""
+    row, col = np.log(table.sum(axis=1) + CLASSES), np.log(table.sum(axis=0) + CLASSES)
+    gain = right @ (np.log(table + 1) - row[:, None]).T + left @ (np.log(table + 1) - col)
+    gain[:, 0] = -np.inf
+    return gain.argmax(axis=1)
+
+
+def listed_classes(docs: DataFrame, vocabulary: Vocabulary, units: np.ndarray, where: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Class of each listed word, exchanged by itself; blocks of BLOCK words are summed in Spark."""
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, where))
+    width = BLOCK * 2 * CLASSES
+    own = where[units]
+
+    def run(batches):
+        vocabulary, where = shared.value
+        counts = np.zeros(-(-len(vocabulary.hashes) // BLOCK) * width, np.int32)
+        for batch in batches:
+            for piece in pieces(batch.column("text")):
+                w = words(piece)
+                at, unit = vocabulary.find(piece, w)
+                line, _ = with_ends(where[unit], w.offs, 0)
+                word, _ = with_ends(at, w.offs, -1)
+                before = np.concatenate([[0], line[:-1]])
+                after = np.concatenate([line[1:], [0]])
+                place = word[word >= 0] * (2 * CLASSES)
+                np.add.at(counts, place + after[word >= 0], 1)
+                np.add.at(counts, place + CLASSES + before[word >= 0], 1)
+        for block in range(len(counts) // width):
+            part = counts[block * width : (block + 1) * width]
+            some = np.flatnonzero(part)
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([some.astype(np.uint16).tobytes()]), pa.array([part[some].tobytes()])], ["block", "place", "n"])
+
+    def choose(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, place, n in zip(batch.column("block").to_pylist(), batch.column("place").to_pylist(), batch.column("n").to_pylist()):
+                sums.setdefault(block, np.zeros(width))[np.frombuffer(place, np.uint16)] += np.frombuffer(n, np.int32)
+        for block, n in sums.items():
+            n = n.reshape(BLOCK, 2, CLASSES)[: len(own) - block * BLOCK]
+            cls = best_exact(table, n[:, 0], n[:, 1], own[block * BLOCK : (block + 1) * BLOCK])
+            yield pa.RecordBatch.from_arrays([pa.array(block * BLOCK + np.arange(len(cls))), pa.array(cls)], ["at", "cls"])
+
+    blocks = split(docs).where("train").select("text").mapInArrow(run, "block long, place binary, n binary")
+    found = blocks.repartition("block").mapInArrow(choose, "at long, cls long").toArrow()  # at most LISTED rows
+    out = own.copy()
+    out[found.column("at").to_numpy()] = found.column("cls").to_numpy()
+    return out
+
+
+def whole_groups(batches, names):
+    """Columns of rows that are sorted by the first of names, with all rows of a value of it together."""
+    held = None
+    for batch in batches:
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols)]
+        other = np.flatnonzero(cols[0] != cols[0][-1]) if len(cols[0]) else []
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            yield [x[:cut] for x in cols]
+        held = [x[cut:] for x in cols]
+    if held is not None and len(held[0]):
+        yield held
+
+
+def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal keys begin; and the run of each row."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def others_of(docs: DataFrame, vocabulary: Vocabulary, units: np.ndarray, where: np.ndarray, table: np.ndarray, listed: np.ndarray) -> DataFrame:
+    """For each row with words outside the list: row, copies, train, class pairs with such a word in them, its words' classes, classes of words that are counted here, base, emit, known."""
+    n_listed = len(vocabulary.hashes)
+    first = np.concatenate([where[units], where])  # class in the first step by code: a listed word's place, or n_listed + unit
+    final = np.concatenate([listed, np.full(UNITS, -1)])  # -1: a word outside the list
+    final[n_listed] = 0
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, first, final))
+
+    def occurrences(batches):
+        vocabulary, _, _ = shared.value
+        for batch in batches:
+            rows, train_all = batch.column("row").to_numpy(zero_copy_only=False), batch.column("train").to_numpy(zero_copy_only=False).astype(np.int64)
+            for piece in pieces(batch.column("text")):
+                w = words(piece)
+                at, unit = vocabulary.find(piece, w)
+                line, offs = with_ends(np.where(at >= 0, at, n_listed + unit), w.offs, n_listed)
+                before, after = np.concatenate([[n_listed], line[:-1]]), np.concatenate([line[1:], [n_listed]])
+                other = np.flatnonzero(at < 0)
+                owner = w.owner()[other]
+                place = other + owner  # in line, where each earlier text has its end
+                near = before[place] | after[place] << 20 | unit[other] << 40 | train_all[piece.lo + owner] << 52
+                yield pa.RecordBatch.from_arrays([pa.array(w.hashes[other].view(np.int64)), pa.array(rows[piece.lo + owner]), pa.array((place - offs[owner]).astype(np.int32)), pa.array(near)], ["word", "row", "pos", "near"])
+
+    def by_word(batches):
+        _, first, final = shared.value
+        mask = (1 << 20) - 1
+        for word, row, pos, near in whole_groups(batches, ["word", "row", "pos", "near"]):
+            begin, run = runs(word)
+            before, after, unit, train = near & mask, near >> 20 & mask, near >> 40 & 4095, near >> 52 & 1 > 0
+            count = np.bincount(run[train], minlength=len(begin))
+            cls = np.empty(len(begin), np.int64)
+            for lo in range(0, len(begin), 8192):
+                span = slice(*np.searchsorted(run, [lo, lo + 8192]))
+                k, t = min(8192, len(begin) - lo), train[span]
+                sums = [np.bincount((run[span][t] - lo) * CLASSES + first[x[span][t]], minlength=k * CLASSES).reshape(k, CLASSES).astype(float) for x in (after, before)]
+                cls[lo : lo + k] = best_first_order(table, *sums)
+            cls = np.where(count > 0, cls, first[n_listed + unit[begin]])
+            one = np.zeros(len(word), np.int64)
+            counted = np.flatnonzero(train)
+            one[counted[runs(run[train])[0]] if len(counted) else counted] = 1
+            packed = cls[run] | (final[before] + 1) << 6 | (final[after] + 1) << 12 | train.astype(np.int64) << 18 | one << 19 | count[run] << 20
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(pos), pa.array(packed)], ["row", "pos", "packed"])
+
+    def by_row(batches):
+        for row, pos, packed in whole_groups(batches, ["row", "pos", "packed"]):
+            begin, run = runs(row, pos)
+            copies, one = np.bincount(run), np.bincount(run, weights=packed >> 19 & 1) > 0
+            row, pos, packed = row[begin], pos[begin], packed[begin]
+            cls, before, after, count = packed & 63, (packed >> 6 & 63) - 1, (packed >> 12 & 63) - 1, (packed >> 20).astype(float)
+            before = np.where(before < 0, np.concatenate([[0], cls[:-1]]), before)  # then the word before it is outside the list, too
+            left, right = before * CLASSES + cls, np.where(after < 0, -1, cls * CLASSES + after)
+            start, group = runs(row)
+            sums = [np.bincount(group, weights=x) for x in (np.log10(count + 1.0), np.log10(count + DELTA), count > 0)]
+            pairs, kinds, firsts = [], [], []
+            for a, b in zip(start, np.append(start[1:], len(row))):
+                both = np.concatenate([left[a:b], right[a:b]])
+                pairs.append(both[both >= 0].astype(np.uint16).tobytes())
+                kinds.append(cls[a:b].astype(np.uint8).tobytes())
+                firsts.append(cls[a:b][one[a:b]].astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(row[start]), pa.array(copies[start]), pa.array((packed[start] >> 18 & 1) > 0), pa.array(pairs, pa.binary()), pa.array(kinds, pa.binary()), pa.array(firsts, pa.binary()), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int64))], ["row", "copies", "train", "pairs", "cls", "firsts", "base", "emit", "known"])
+
+    found = split(docs).select("row", "text", "train").mapInArrow(occurrences, "word long, row long, pos int, near long")
+    found = found.repartition("word").sortWithinPartitions("word").mapInArrow(by_word, "row long, pos int, packed long")
+    found = found.repartition("row").sortWithinPartitions("row", "pos", "packed").mapInArrow(by_row, "row long, copies long, train boolean, pairs binary, cls binary, firsts binary, base double, emit double, known long")
+    return settle(found)
+
+
+def final_counts(docs: DataFrame, vocabulary: Vocabulary, listed: np.ndarray, others: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Class bigrams of the training texts, and how many words outside the list each class has."""
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, listed))
+
+    def rows_of(kind, counts):
+        some = np.flatnonzero(counts)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, np.int32)), pa.array(some), pa.array(counts[some].astype(np.int64))], ["kind", "place", "n"])
+
+    def near(batches):
+        vocabulary, listed = shared.value
+        counts = np.zeros(CLASSES * CLASSES, np.int64)
+        for batch in batches:
+            for piece in pieces(batch.column("text")):
+                line, offs = class_line(vocabulary, listed, piece, words(piece))
+                before = np.concatenate([[0], line[:-1]])
+                counts += np.bincount((before * CLASSES + line)[(before >= 0) & (line >= 0)], minlength=len(counts))
+        yield rows_of(0, counts)
+
+    def far(batches):
+        counts, kinds = np.zeros(CLASSES * CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+        for batch in batches:
+            for n, pairs, firsts in zip(*(batch.column(c).to_pylist() for c in ("copies", "pairs", "firsts"))):
+                counts += n * np.bincount(np.frombuffer(pairs, np.uint16), minlength=len(counts))
+                kinds += np.bincount(np.frombuffer(firsts, np.uint8), minlength=CLASSES)
+        yield rows_of(0, counts)
+        yield rows_of(1, kinds)
+
+    schema = "kind int, place long, n long"
+    found = split(docs).where("train").select("text").mapInArrow(near, schema).unionByName(others.where("train").select("copies", "pairs", "firsts").mapInArrow(far, schema))
+    found = found.groupBy("kind", "place").agg(F.sum("n").alias("n")).toArrow()  # at most CLASSES^2 + CLASSES rows
+    out = np.zeros(CLASSES * CLASSES), np.zeros(CLASSES)
+    for kind, place, n in zip(*(found.column(c).to_pylist() for c in ("kind", "place", "n"))):
+        out[kind][place] = n
+    return out[0].reshape(CLASSES, CLASSES), out[1]
+
+
+def class_line(vocabulary: Vocabulary, listed: np.ndarray, piece, w) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all tokens, ends included; -1 for words outside the list."""
+    at, _ = vocabulary.find(piece, w)
+    return with_ends(np.where(at >= 0, listed[at] if len(listed) else -1, -1), w.offs, 0)
+
+
 @dataclass
 class Model:
     vocabulary: Vocabulary
     counts: np.ndarray  # of listed words
-    classes: np.ndarray  # of units
+    classes: np.ndarray  # of listed words
+    table: np.ndarray  # class bigrams
+    start: np.ndarray  # class bigrams of the first step
     step: np.ndarray  # log10 of class transitions
     spread: np.ndarray  # log10 of the emission denominators; 0 for the end
     tokens: int
@@ -216,59 +422,26 @@ class Model:
 
 
 def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and for each document row the sums over its words outside the list (row, base, emit, known)."""
+    """The model, and what it needs of each row's words outside the list."""
     vocabulary = Vocabulary.of(frequent_words(docs))
-    raw = settle(corpus_counts(docs, vocabulary))
-    grams = np.zeros((UNITS, UNITS))
-    found = raw.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()  # at most UNITS^2 rows
-    grams[found.column("a").to_numpy(), found.column("b").to_numpy()] = found.column("n").to_numpy()
-    found = raw.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).toArrow()  # at most LISTED rows
-    counts = np.zeros(len(vocabulary.hashes), np.int64)
-    counts[np.searchsorted(vocabulary.hashes, found.column("a").to_numpy().view(_U))] = found.column("n").to_numpy()
-    others = raw.where("kind = 2")
-    found = others.where("train").groupBy("a").agg(F.min("unit").alias("unit")).groupBy("unit").agg(F.count("*").alias("n")).toArrow()
-    kinds = np.zeros(UNITS, np.int64)
-    kinds[found.column("unit").to_numpy()] = found.column("n").to_numpy()
-    rest = int(kinds.sum())
-    seen = counts > 0
-    listed_unit = _listed_units(docs, vocabulary)
-    kinds += np.bincount(listed_unit[seen], minlength=UNITS)
-
+    found = corpus_counts(docs, vocabulary).toArrow()  # at most UNITS^2 + LISTED rows
+    kind, a, b, n = (found.column(c).to_numpy() for c in ("kind", "a", "b", "n"))
+    grams, counts, units = np.zeros((UNITS, UNITS)), np.zeros(len(vocabulary.hashes), np.int64), np.where(vocabulary.units > 0, vocabulary.units, 1 + WORDS)
+    grams[a[kind == 0], b[kind == 0]] = n[kind == 0]
+    np.add.at(counts, a[kind == 1], n[kind == 1])
+    units[a[kind == 1]] = b[kind == 1]
     where = exchange(grams)
-    one = np.zeros((UNITS, CLASSES))
-    one[np.arange(UNITS), where] = 1
-    table, total = one.T @ grams @ one, one.T @ grams.sum(axis=0)
+    start = table_of(grams, where)
+    listed = listed_classes(docs, vocabulary, units, where, start)
+    others = others_of(docs, vocabulary, units, where, start, listed)
+    table, rest = final_counts(docs, vocabulary, listed, others)
+
+    seen, total, ends = counts > 0, table.sum(axis=0), int(grams[:, 0].sum())
     share = (total + 1) / (total.sum() + CLASSES)
     step = np.log10((table + STRENGTH * share) / (table.sum(axis=1, keepdims=True) + STRENGTH))
-    spread = np.log10(total + DELTA * (one.T @ kinds + 1))
+    spread = np.log10(total + DELTA * (np.bincount(listed[seen], minlength=CLASSES) + rest + 1))
     spread[0] = 0.0
-    model = Model(vocabulary, counts, where, step, spread, int(grams.sum()), int(seen.sum()) + rest + (grams[:, 0].sum() > 0), int(grams[:, 0].sum()))
-
-    own = Window.partitionBy("a")
-    c = F.sum(F.when(F.col("train"), F.col("n")).otherwise(0)).over(own)
-    sums = others.select("b", "n", c.alias("c")).groupBy(F.col("b").alias("row")).agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("base"), F.sum(F.col("n") * F.log10(F.col("c") + DELTA)).alias("emit"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"))
-    return model, sums
-
-
-def _listed_units(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    """Unit of each listed word; those that go by their ending are looked up in one pass over the texts that hold them."""
-    if not len(vocabulary.hashes):
-        return np.zeros(0, np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def run(batches):
-        units = np.full(len(shared.value.hashes), -1, np.int64)
-        for batch in batches:
-            for piece in pieces(batch.column("text")):
-                at, unit = shared.value.find(piece, words(piece))
-                units[at[at >= 0]] = unit[at >= 0]
-        some = np.flatnonzero(units >= 0)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(units[some])], ["at", "unit"])
-
-    found = split(docs).where("train").select("text").mapInArrow(run, "at long, unit long").groupBy("at").agg(F.min("unit").alias("unit")).toArrow()
-    out = np.where(vocabulary.units > 0, vocabulary.units, 1 + WORDS)
-    out[found.column("at").to_numpy()] = found.column("unit").to_numpy()
-    return out
+    return Model(vocabulary, counts, listed, table, start, step, spread, int(grams.sum()), int(seen.sum() + rest.sum()) + (ends > 0), ends), others
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
@@ -279,29 +452,34 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         m = shared.value
-        base, emit = np.log10(m.counts + 1.0), np.log10(m.counts + DELTA)
+        base, emit = np.log10(m.counts + 1.0), np.log10(m.counts + DELTA) - m.spread[m.classes]
         for batch in batches:
             for piece in pieces(batch.column("text")):
                 w = words(piece)
-                at, unit = m.vocabulary.find(piece, w)
-                n, owner, inside = len(piece), w.owner(), at >= 0
-                cls = m.classes[unit]
-                line, offs = with_ends(cls, w.offs, 0)
-                steps = m.step[np.concatenate([[0], line[:-1]]), line]
-                move = np.add.reduceat(steps, offs[:-1])
+                at, _ = m.vocabulary.find(piece, w)
+                n, inside = len(piece), at >= 0
+                owner, place = w.owner()[inside], at[inside]
+                line, offs = class_line(m.vocabulary, m.classes, piece, w)
+                before = np.concatenate([[0], line[:-1]])
+                move = np.add.reduceat(np.where((before >= 0) & (line >= 0), m.step[np.maximum(before, 0), np.maximum(line, 0)], 0.0), offs[:-1])
                 words_of = lambda x: np.bincount(owner, weights=x, minlength=n)
-                place = np.maximum(at, 0)
-                s_base = words_of(np.where(inside, base[place] if len(base) else 0.0, 0.0)) + np.log10(m.ends + 1.0)
-                s_model = words_of(np.where(inside, emit[place] if len(emit) else 0.0, 0.0) - m.spread[cls]) + move
-                known = words_of(inside & (m.counts[place] > 0) if len(m.counts) else np.zeros(len(at))) + (m.ends > 0)
+                known = words_of(m.counts[place] > 0) + (m.ends > 0)
                 rows = batch.slice(piece.lo, n)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("row"), rows.column("held_out"), pa.array(np.diff(offs)), pa.array(known.astype(np.int64)), pa.array(s_base), pa.array(s_model)], ["doc_id", "row", "held_out", "n_tokens", "known_listed", "s_base", "s_model"])
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("row"), rows.column("held_out"), pa.array(np.diff(offs)), pa.array(known.astype(np.int64)), pa.array(words_of(base[place]) + np.log10(m.ends + 1.0)), pa.array(words_of(emit[place]) + move)], ["doc_id", "row", "held_out", "n_tokens", "known_listed", "s_base", "s_model"])
+
+    def outside(batches):
+        m = shared.value
+        step = m.step.ravel()
+        for batch in batches:
+            pairs, cls = (batch.column(c).to_pylist() for c in ("pairs", "cls"))
+            emit = [x + step[np.frombuffer(p, np.uint16)].sum() - m.spread[np.frombuffer(c, np.uint8)].sum() for x, p, c in zip(batch.column("emit").to_pylist(), pairs, cls)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("base"), pa.array(emit, pa.float64()), batch.column("known")], ["row", "base", "emit", "known"])
 
     rows = split(docs, "doc_id", F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out"))
     local = rows.select("doc_id", "row", "held_out", "text").mapInArrow(run, f"doc_id {kind}, row long, held_out boolean, n_tokens long, known_listed long, s_base double, s_model double")
-    local = local.withColumn("copies", F.count("*").over(Window.partitionBy("row")))
-    both = local.join(others, "row", "left")
-    part = lambda c: F.coalesce(F.col(c) / F.col("copies"), F.lit(0.0))
+    sums = others.select("row", "base", "emit", "known", "pairs", "cls").mapInArrow(outside, "row long, base double, emit double, known long")
+    both = local.join(sums, "row", "left")
+    part = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     base = F.col("s_base") + part("base") - F.col("n_tokens") * float(np.log10(model.tokens + model.kinds + 1))
     score = F.col("s_model") + part("emit")
-    return both.select("doc_id", "held_out", "n_tokens", (F.col("known_listed") + F.round(part("known")).cast("long")).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), F.round(base, 6).alias("base_score"), F.round(score, 6).alias("score"), F.round(F.pow(F.lit(10.0), -score / F.col("n_tokens")), 4).alias("perplexity"))
+    return both.select("doc_id", "held_out", "n_tokens", (F.col("known_listed") + part("known").cast("long")).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), F.round(base, 6).alias("base_score"), F.round(score, 6).alias("score"), F.round(F.pow(F.lit(10.0), -score / F.col("n_tokens")), 4).alias("perplexity"))

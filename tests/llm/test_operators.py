@@ -288,3 +288,56 @@ def test_small_tables_between_steps_go_to_few_files(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before[0])
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+
+
+def test_every_word_is_exchanged_by_itself(spark, monkeypatch):
+    rng = random.Random(12)
+    monkeypatch.setattr(classlm, "LISTED", 14)  # the others are far more
+    heads = ["red", "blue", "one", "two"]
+    tails = {g: [f"{rng.randrange(10**6)}{g}ing" for _ in range(16)] for g in "xy"}
+    texts = []
+    for _ in range(80):
+        w = []
+        for _ in range(25):
+            g = rng.choice("xy")
+            w += [heads["xy".index(g)], rng.choice(tails[g]), *([rng.choice(tails[g])] if rng.random() < 0.2 else []), heads[2 + "xy".index(g)]]
+        texts.append(" ".join(w))
+    docs = frame(spark, [*texts, None, "", "never seen words"])
+    docs = docs.unionByName(docs.where("doc_id = 3"))
+    model, others = classlm.fit(docs)
+    rows = classlm.split(docs, "doc_id").select("row", "doc_id", "text", "train").distinct().collect()
+    outside = {x.row: x for x in others.collect()}
+    place = {int(h): i for i, h in enumerate(model.vocabulary.hashes)}
+    table, cls_of, tokens, lines = np.zeros_like(model.table), {}, Counter(), {}
+    for x in rows:
+        piece = next(classlm.pieces(pa.array([x.text])))
+        rest = iter(outside[x.row].cls if x.row in outside else b"")
+        line = []
+        for word, h in zip(x.text.lower().split(), classlm.words(piece).hashes.tolist()):
+            line.append(int(model.classes[place[h]]) if h in place else next(rest))
+            assert cls_of.setdefault(word, line[-1]) == line[-1] or h not in place and word in ("never", "seen", "words")
+        assert next(rest, None) is None
+        lines[x.doc_id] = line
+        times = (1 + (x.doc_id == 3)) * x.train
+        for a, b in zip([0, *line], [*line, 0]):
+            table[a, b] += times
+        for word in [*x.text.lower().split(), None]:
+            tokens[word] += times
+    assert (table == model.table).all() and table.sum() == model.tokens == sum(tokens.values())
+    assert classlm.likelihood(model.table) > classlm.likelihood(model.start)
+    seen = [{cls_of[w] for w in tails[g] if tokens[w] > 2} for g in "xy"]
+    assert not seen[0] & seen[1]  # all of them end alike
+    kinds = Counter(cls_of[w] for w in tokens if w is not None and tokens[w])
+    assert model.kinds == sum(n > 0 for n in tokens.values())
+    total, n = table.sum(axis=0), 0
+    share = (total + 1) / (total.sum() + classlm.CLASSES)
+    for x in classlm.score_texts(docs).collect():
+        text = next(r.text for r in rows if r.doc_id == x.doc_id)
+        line, want = [*lines[x.doc_id], 0], 0.0
+        for a, b, word in zip([0, *line], line, [*text.lower().split(), None]):
+            want += math.log10((table[a, b] + classlm.STRENGTH * share[b]) / (table[a].sum() + classlm.STRENGTH))
+            want += math.log10((tokens[word] + classlm.DELTA) / (total[b] + classlm.DELTA * (kinds[b] + 1))) if b else 0.0
+        assert math.isclose(x.score, want, abs_tol=1e-5), (x.doc_id, x.score, want)
+        assert x.n_known == sum(tokens[w] > 0 for w in [*text.lower().split(), None])
+        n += 1
+    assert n == 84
