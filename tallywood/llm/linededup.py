@@ -15,10 +15,11 @@ for each edit; keys held by many lines are split by parts of those parities, one
 must be equal, so a frequent segment doesn't bring all its lines together. What remains is
 verified by bit-parallel edit distance: a column of the alignment is a word of vertical
 differences, of which only the band of the threshold is kept, and one character more of the
-other line is a handful of word operations.
+other line is a handful of word operations. What both lines begin and end with is taken off before.
 
 Texts move only once more, to take up the places that are dropped: distinct lines travel
-as hashes, keys and parities, and the lines to verify are looked up by hash.
+as hashes and keys. Only lines that share a key with another are looked up by hash; their parities
+are counted then, and not before, since counting letters costs several times what the keys do.
 
 Defined cases: a null text stays null; an empty text is one empty line; repeated lines
 within a text are repeats too; rows with the same id are one document, whose lines are
@@ -42,6 +43,7 @@ MIN_CHARS = 20
 HOT_KEY = 256
 OVER = 1 << 20
 BROADCAST_LINES = 500_000
+HALVES = 18
 LETTERS = "etanoisrhdlu0123456789"
 
 
@@ -92,26 +94,38 @@ def counts(line: Column) -> Column:
 
 
 def first_lines(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """Each distinct line by hash: first document and place, length, parities, keys k0, k1, ..."""
+    """Each distinct line by hash: first document and place, length, keys k0, k1, ..."""
     rows = occurrences(docs).withColumn("size", F.length("line"))
     keys = line_keys(F.col("line"), F.col("size"), edits)
     long = F.col("size") >= min_chars
-    rows = rows.select("h1", "doc_id", "place", "size", F.when(long, parities(F.col("line"))).alias("odd"), *[F.when(long, k).alias(f"k{i}") for i, (k, _) in enumerate(keys)])
+    rows = rows.select("h1", "doc_id", "place", "size", *[F.when(long, k).alias(f"k{i}") for i, (k, _) in enumerate(keys)])
     none = F.col("doc_id").isNull()  # a null id comes first
-    found = rows.groupBy("h1").agg(F.bool_or(none).alias("none"), F.min("doc_id").alias("low"), F.min_by("place", "doc_id").alias("at"), F.min(F.when(none, F.col("place"))).alias("none_at"), F.min("size").alias("size"), F.min("odd").alias("odd"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(len(keys))])
+    found = rows.groupBy("h1").agg(F.bool_or(none).alias("none"), F.min("doc_id").alias("low"), F.min_by("place", "doc_id").alias("at"), F.min(F.when(none, F.col("place"))).alias("none_at"), F.min("size").alias("size"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(len(keys))])
     return found.withColumns({"doc_id": F.when(~F.col("none"), F.col("low")), "place": F.when(F.col("none"), F.col("none_at")).otherwise(F.col("at"))}).drop("none", "low", "at", "none_at")
 
 
-def candidate_pairs(lines: DataFrame, edits: int) -> DataFrame:
-    """later, earlier (h1) of lines that share a key and agree in their parities."""
+def sharing(lines: DataFrame, edits: int) -> DataFrame:
+    """h1, doc_id, place, size, key, indexed and held (by how many) of the keys that several lines hold."""
     marks = [indexed for _, indexed in line_keys(F.lit(""), F.lit(0), edits)]
     entries = F.array(*[F.struct(F.col(f"k{i}").alias("key"), F.lit(m).alias("indexed")) for i, m in enumerate(marks)])
-    post = lines.select("h1", "doc_id", "place", "size", "odd", F.explode(entries).alias("e")).select("h1", "doc_id", "place", "size", "odd", "e.key", "e.indexed").where("key is not null")
+    post = lines.select("h1", "doc_id", "place", "size", F.explode(entries).alias("e")).select("h1", "doc_id", "place", "size", "e.key", "e.indexed").where("key is not null")
     shared = settle(post.groupBy("key").agg(F.count("*").alias("held"), F.count_if("indexed").alias("kept")).where("held > 1 and kept > 0").select("key", "held"))
+    return post.join(shared, "key")
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
+    """h1, line, odd (its parities) of the wanted lines."""
+    small = wanted.count() <= BROADCAST_LINES
+    found = occurrences(docs, min_chars).select("h1", "line").join(F.broadcast(wanted) if small else wanted, "h1")
+    return found.groupBy("h1").agg(F.min("line").alias("line")).withColumn("odd", parities(F.col("line")))
+
+
+def candidate_pairs(entries: DataFrame, odd: DataFrame, edits: int) -> DataFrame:
+    """later, earlier (h1) of lines that share a key and agree in their parities."""
     parts = 2 * edits + 1
     width = -(-len(LETTERS) // parts)
     part = lambda k: F.shiftright("odd", k * width).bitwiseAND((1 << width) - 1) + k * (1 << width)
-    held = post.join(shared, "key").withColumn("part", F.explode(F.when(F.col("held") > HOT_KEY, F.array(*[part(k) for k in range(parts)])).otherwise(F.array(F.lit(-1).cast("long")))))
+    held = entries.join(odd, "h1").withColumn("part", F.explode(F.when(F.col("held") > HOT_KEY, F.array(*[part(k) for k in range(parts)])).otherwise(F.array(F.lit(-1).cast("long")))))
     held = settle(held.drop("held"))
     one = held.select("key", "part", *[F.col(c).alias(f"{c}_a") for c in ("h1", "doc_id", "place", "size", "odd", "indexed")])
     two = held.where("indexed").select("key", "part", *[F.col(c).alias(f"{c}_b") for c in ("h1", "doc_id", "place", "size", "odd")])
@@ -122,12 +136,8 @@ def candidate_pairs(lines: DataFrame, edits: int) -> DataFrame:
     return pairs.select(F.when(a_later, F.col("h1_a")).otherwise(F.col("h1_b")).alias("later"), F.when(a_later, F.col("h1_b")).otherwise(F.col("h1_a")).alias("earlier")).distinct()
 
 
-def near_lines(docs: DataFrame, pairs: DataFrame, edits: int, min_chars: int) -> DataFrame:
+def near_lines(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     """h1 of every line that has an earlier line within ``edits`` edits."""
-    wanted = settle(pairs.select(F.explode(F.array("later", "earlier")).alias("h1")).distinct())
-    small = wanted.count() <= BROADCAST_LINES
-    found = occurrences(docs, min_chars).select("h1", "line").join(F.broadcast(wanted) if small else wanted, "h1")
-    texts = settle(found.groupBy("h1").agg(F.min("line").alias("line")))
     both = pairs.join(texts.select(F.col("h1").alias("later"), F.col("line").alias("a")), "later").join(texts.select(F.col("h1").alias("earlier"), F.col("line").alias("b")), "earlier")
     return within(both, "a", "b", edits).select(F.col("later").alias("h1")).distinct()
 
@@ -140,6 +150,28 @@ def shares_pieces(a: Column, b: Column, edits: int) -> Column:
     return reduce(lambda x, y: x + y, held) >= parts - edits
 
 
+def once(value: Column) -> Column:
+    """The value, as a row that is generated: a condition on it is not moved to before it, where it would be computed anew for each use."""
+    return F.explode(F.array(value))
+
+
+def differing(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """a__ and b__: what is left of a and b without what they begin and end with alike, which leaves their distance as it is.
+
+    How many characters are alike is found by halves of the shorter length, and may stay some characters short.
+    """
+
+    def rest(rows: DataFrame, x: str, y: str) -> DataFrame:
+        least = F.least(F.length(x), F.length(y))
+        piece = lambda c, n, s: F.substring(F.col(c), n + 1, s)
+        alike = F.aggregate(F.array(*[F.shiftright(least, k) for k in range(1, HALVES)]), F.lit(0), lambda n, s: F.when(piece(x, n, s) == piece(y, n, s), n + s).otherwise(n))
+        left = lambda c: F.reverse(F.substring(F.col(c), F.col("alike__") + 1, F.length(c)))
+        cut = rows.withColumn("alike__", once(alike)).withColumn("rest__", once(F.struct(left(x).alias("a"), left(y).alias("b"))))
+        return cut.withColumns({"a__": F.col("rest__.a"), "b__": F.col("rest__.b")}).drop("alike__", "rest__")
+
+    return rest(rest(pairs, a, b), "a__", "b__")  # the second time from the end, which turns them back
+
+
 def within(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
     """The pairs whose lines (columns a and b) are within ``edits`` edits, by bit-parallel alignment in the band of the threshold.
 
@@ -156,7 +188,8 @@ def within(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
     either, both, flip = lambda *w: reduce(lambda x, y: x.bitwiseOR(y), w), lambda x, y: x.bitwiseAND(y), lambda x: F.bitwise_not(x).bitwiseAND(long(full))
     pairs = pairs.where(shares_pieces(F.col(a), F.col(b), edits))
     letters = lambda c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, ""))
-    rows = pairs.where(F.abs(F.length(a) - F.length(b)) <= edits).withColumns({"a__": letters(a), "b__": letters(b)})
+    rows = differing(pairs.where(F.abs(F.length(a) - F.length(b)) <= edits), a, b)
+    rows = rows.withColumn("a__", once(letters("a__"))).withColumn("b__", once(letters("b__")))
 
     def let(value: Column, then):
         return F.transform(F.array(value), lambda x: then(x))[0]
@@ -192,7 +225,7 @@ def within(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
         return F.when(s["last"] >= OVER, s).otherwise(let(keep(s, "same", same(c, s["j"])), lambda x: let(keep(x, "flat", flat(x)), lambda y: let(words(y), stopped))))
 
     start = F.struct(long(((1 << (edits + 1)) - 1) << edits).alias("up"), long(0).alias("down"), long(edits).alias("last"), F.lit(0).alias("j"))
-    rows = rows.withColumn("end__", F.aggregate("b__", start, step))
+    rows = rows.withColumn("end__", once(F.aggregate("b__", start, step)))
     low = F.greatest(F.lit(0), F.least(F.lit(width), F.length(a) - F.length(b) + edits))  # the first bit behind the row wanted
     behind = lambda name: F.bit_count(both(F.col(f"end__.{name}"), long(full >> 1))) - F.bit_count(both(F.col(f"end__.{name}"), F.call_function("shiftleft", long(1), low) - 1))
     return rows.where(F.col("end__.last") - behind("up") + behind("down") <= edits).drop("a__", "b__", "end__")
@@ -201,7 +234,10 @@ def within(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
 def dropped_places(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, drop: the lines of each document (as hashes) that occur or come near earlier."""
     lines = settle(first_lines(docs, edits, min_chars))
-    near = settle(near_lines(docs, settle(candidate_pairs(lines, edits)), edits, min_chars)).withColumn("near", F.lit(True))
+    entries = settle(sharing(lines, edits))
+    texts = settle(texts_of(docs, settle(entries.select("h1").distinct()), min_chars))
+    pairs = settle(candidate_pairs(entries, texts.select("h1", "odd"), edits))
+    near = settle(near_lines(pairs, texts, edits)).withColumn("near", F.lit(True))
     kept = lines.select("h1", F.col("doc_id").alias("first")).join(near, "h1", "left").select("h1", "first", F.coalesce("near", F.lit(False)).alias("near"))
     rows = occurrences(docs).select("doc_id", "h1").join(kept, "h1")
     return rows.where(F.col("near") | ~F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("doc_id").agg(F.collect_set("h1").alias("drop__"))
