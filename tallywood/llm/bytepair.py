@@ -40,6 +40,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import tidy, worker_tables
 from .textscan import SPACE, Piece, _power_tables, mix, pieces
 
 MAX_STATES = 250_000
@@ -701,11 +702,11 @@ class Utf8Machine:
         return self.rest().decode("utf-8", "replace")
 
 
-_codecs: dict[tuple, Codec] = {}
+_codecs: dict[tuple, Codec] = worker_tables("bytepair")
 
 
 def _codec(shared, pattern: str) -> Codec:
-    """One codec for each Python worker, vocabulary and pattern."""
+    """One codec for each Python worker, vocabulary and pattern, until a task of another operator runs there."""
     key = (shared.id if hasattr(shared, "id") else id(shared), pattern)
     if key not in _codecs:
         _codecs.clear()
@@ -729,7 +730,7 @@ def encode_column(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 column = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(column)), column], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run, "bytepair"), f"doc_id {kind}, ids array<int>")
 
 
 def decode_column(coded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -742,7 +743,7 @@ def decode_column(coded: DataFrame, path: str, pattern: str) -> DataFrame:
             texts = [coder.decode([] if x is None else x) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return coded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return coded.select("doc_id", "ids").mapInArrow(tidy(run, "bytepair"), f"doc_id {kind}, text string")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -769,4 +770,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     chars.append(machine.chars)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(own)), pa.array(np.diff(offs)), pa.array(own, pa.string()), pa.array(back, pa.string()), pa.array(chars, pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_chars_decoded"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_chars_decoded long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run, "bytepair"), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_chars_decoded long")

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .textscan import pieces, shingle_hashes, stripped, words
 
 MIN_TILE = 5
@@ -218,7 +219,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
                 item = pa.array([shared.value.ids[r[1]] for r in rows], pa.int64()) if item_kind == "bigint" else pa.array([shared.value.ids[r[1]] for r in rows])
                 yield pa.RecordBatch.from_arrays([ids, item, pa.array([round(r[2], 6) for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.int32()), pa.array([r[4] for r in rows], pa.int32())], ["doc_id", "item_id", "coverage", "n_tiles", "longest_tile"])
 
-        part = docs.select("doc_id", "text").mapInArrow(run, schema)
+        part = docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -235,5 +236,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
                     keep[row] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

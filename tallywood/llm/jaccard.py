@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import join_spread, settle
+from .common import join_spread, settle, tidy
 from .graph import components
 from .textscan import mix, pieces, shingle_set, words
 
@@ -85,7 +85,7 @@ def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray,
                 some = n >= LISTED_IN_PIECE
                 yield pa.RecordBatch.from_arrays([pa.array(kinds[some].view(np.int64)), pa.array(n[some])], ["h", "n"])
 
-    found = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(tidy(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     top = found.orderBy(F.desc("n"), "h").limit(MAX_LISTED).toArrow()
     total = docs.count()
     h, n = top.column("h").to_numpy().view(_U), top.column("n").to_numpy()
@@ -198,7 +198,7 @@ def classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             flat, at = (np.concatenate(x).astype(t) if x else np.zeros(0, t) for x, t in ((keys, np.int64), (places, np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(rare, pa.int64()), pa.array(parity, pa.binary()), *[pa.array(short[:, i]) for i in range(BRIEF)], pa.ListArray.from_arrays(pa.array(offs), pa.array(flat)), pa.ListArray.from_arrays(pa.array(offs), pa.array(at))], ["doc_id", "mark", "node", "n", "rare", "parity", *_BRIEF, "keys", "places"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, f"doc_id {kind}, mark long, node long, n long, rare long, parity binary, {', '.join(f'{x} long' for x in _BRIEF)}, keys array<bigint>, places array<int>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(tidy(run), f"doc_id {kind}, mark long, node long, n long, rare long, parity binary, {', '.join(f'{x} long' for x in _BRIEF)}, keys array<bigint>, places array<int>")
 
 
 def _room(num: int, den: int):
@@ -220,7 +220,7 @@ def possible(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
     side = lambda c: reps.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(tidy(check), "a long, b long")
 
 
 def _same_row():
@@ -246,7 +246,7 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int,
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "n", "tokens"]).filter(own)
 
     texts = docs.select("doc_id", "text").join(wanted, _same_row()).select("node", "text")
-    sets = settle(texts.mapInArrow(make, "node long, n long, tokens binary").dropDuplicates(["node"]))
+    sets = settle(texts.mapInArrow(tidy(make), "node long, n long, tokens binary").dropDuplicates(["node"]))
 
     def check(batches):
         for batch in batches:
@@ -263,7 +263,7 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int,
 
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("tokens_a")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tokens_b")), "b")
-    return settle(both.select("a", "b", "tokens_a", "tokens_b").mapInArrow(check, "a long, b long"), pairs.count())
+    return settle(both.select("a", "b", "tokens_a", "tokens_b").mapInArrow(tidy(check), "a long, b long"), pairs.count())
 
 
 def linked(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:

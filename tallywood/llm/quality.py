@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, uniform
+from .common import remainder, tidy, uniform
 from .textscan import SPACE, pieces, words
 
 WORD_BUCKETS = 1 << 15
@@ -156,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", limit: int
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.ListArray.from_arrays(at, pa.array(index.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(value.astype(np.float32)))], ["doc_id", "label", "at", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sample = labelled_sample(docs, labels, column, limit).mapInArrow(rows, f"doc_id {kind}, label int, at array<int>, x array<float>").toArrow()
+    sample = labelled_sample(docs, labels, column, limit).mapInArrow(tidy(rows), f"doc_id {kind}, label int, at array<int>, x array<float>").toArrow()
     at, x = (sample.column(c).combine_chunks() if len(sample) else pa.array([], pa.list_(pa.int32())) for c in ("at", "x"))
     data = [(np.asarray(a.values), np.asarray(b.values)) for a, b in zip(at, x)]
     ids, marks = sample.column("doc_id").to_pylist(), sample.column("label").to_pylist()
@@ -177,7 +177,7 @@ def score_quality(docs: DataFrame, labels: DataFrame | None = None, machine: Mac
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select("doc_id", "text", _chars(docs), F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"))
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def _scores(machine: Machine, column: pa.Array, chars: np.ndarray):
@@ -199,7 +199,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
             if scores:
                 yield batch.filter(pa.array(np.concatenate(scores) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def accuracy(scored: DataFrame, labels: DataFrame, column: str) -> pd.DataFrame:
