@@ -40,13 +40,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import tidy, worker_tables
+from .common import give_back, tidy, worker_tables
 from .textscan import SPACE, Piece, _power_tables, mix, pieces
 
 MAX_STATES = 250_000
 MAX_MATCHES = 250_000
 WIDTH = 16
 DECODE_IDS = 1 << 16
+PIECE = 1 << 19
 _NEVER = np.int64(1 << 40)
 
 
@@ -462,7 +463,7 @@ class Codec:
 
     def encode_column(self, column: pa.Array):
         """(first row, ids of a piece's texts one after the other, their offsets by text), piece by piece."""
-        for piece in pieces(column):
+        for piece in pieces(column, PIECE):
             yield piece.lo, *self._encode_piece(piece)
 
     def _encode_piece(self, piece: Piece) -> tuple[np.ndarray, np.ndarray]:
@@ -729,6 +730,7 @@ def encode_column(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             for lo, ids, offs in coder.encode_column(batch.column("text")):
                 column = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(column)), column], ["doc_id", "ids"])
+                give_back()
 
     return docs.select("doc_id", "text").mapInArrow(tidy(run, "bytepair"), f"doc_id {kind}, ids array<int>")
 
@@ -769,5 +771,6 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     back.append(digest.hexdigest())
                     chars.append(machine.chars)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(own)), pa.array(np.diff(offs)), pa.array(own, pa.string()), pa.array(back, pa.string()), pa.array(chars, pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_chars_decoded"])
+                give_back()
 
     return docs.select("doc_id", "text").mapInArrow(tidy(run, "bytepair"), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_chars_decoded long")
