@@ -21,24 +21,27 @@ def _month_number(name: Column) -> Column:
 
 def dated(text: Column) -> Column:
     """struct<date, precision> by the first form that gives a real date: d Mon yyyy, Mon d, yyyy, yyyy-mm-dd, d/m/yyyy, Mon yyyy (its first day, precision month)."""
-    low = F.lower(text)
 
-    def made(pattern: str, year: int, month: int, day: int | None, named: bool) -> Column:
+    def made(low: Column, pattern: str, year: int, month: int, day: int | None, named: bool) -> Column:
         part = lambda k: F.regexp_extract(low, pattern, k)
         m = _month_number(part(month)) if named else F.lpad(part(month), 2, "0")
         d = F.lit("01") if day is None else F.lpad(part(day), 2, "0")
         return F.struct(F.concat_ws("-", part(year), m, d).alias("iso"), F.lit("month" if day is None else "day").alias("precision"))
 
     #: The forms, in their order.
-    forms = F.array(
-        made(rf"\b(\d{{1,2}})\s+{_MONTH}\.?,?\s+(\d{{4}})\b", 3, 2, 1, True),
-        made(rf"\b{_MONTH}\.?\s+(\d{{1,2}}),?\s+(\d{{4}})\b", 3, 1, 2, True),
-        made(r"\b(\d{4})-(\d{2})-(\d{2})\b", 1, 2, 3, False),
-        made(r"\b(\d{1,2})/(\d{1,2})/(\d{4})\b", 3, 2, 1, False),
-        made(rf"\b{_MONTH}\.?\s+(\d{{4}})\b", 2, 1, None, True),
+    forms = (
+        (rf"\b(\d{{1,2}})\s+{_MONTH}\.?,?\s+(\d{{4}})\b", 3, 2, 1, True),
+        (rf"\b{_MONTH}\.?\s+(\d{{1,2}}),?\s+(\d{{4}})\b", 3, 1, 2, True),
+        (r"\b(\d{4})-(\d{2})-(\d{2})\b", 1, 2, 3, False),
+        (r"\b(\d{1,2})/(\d{1,2})/(\d{4})\b", 3, 2, 1, False),
+        (rf"\b{_MONTH}\.?\s+(\d{{4}})\b", 2, 1, None, True),
     )
-    read = F.transform(forms, lambda x: F.struct(F.when(x["iso"].rlike(r"^\d{4}-\d{2}-\d{2}$"), x["iso"].try_cast("date")).alias("date"), x["precision"].alias("precision")))
-    return F.get(F.filter(read, lambda x: x["date"].isNotNull()), F.lit(0))
+
+    def first(low: Column) -> Column:
+        read = F.transform(F.array(*[made(low, *form) for form in forms]), lambda x: F.struct(F.when(x["iso"].rlike(r"^\d{4}-\d{2}-\d{2}$"), x["iso"].try_cast("date")).alias("date"), x["precision"].alias("precision")))
+        return F.when(low.isNotNull(), F.get(F.filter(read, lambda x: x["date"].isNotNull()), F.lit(0)))
+
+    return F.get(F.transform(F.array(F.lower(text)), first), F.lit(0))  # the text is made once, not for each part of each form
 
 
 def parse_date(text: Column) -> Column:

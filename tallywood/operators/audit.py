@@ -205,41 +205,43 @@ def brief(unresolved: DataFrame, found_gaps: DataFrame, documents: DataFrame, fa
 
 
 # --- one call -------------------------------------------------------------------------
-def audit(e: Evidence, vocabulary) -> dict[str, DataFrame]:
+def audit(e: Evidence, vocabulary, known: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """All results of the rule set of documents, by name; nothing is computed until a result is read.
 
     A subject's claims see its own facts alone; evidence without a subject is compared with its like. counts has one row.
+    known: results by name that were written before; what follows from them reads them.
     """
-    spark = e.facts.sparkSession
+    spark, known = e.facts.sparkSession, known or {}
+    of = lambda name, make: known[name] if name in known else make()
     rules, requirements = vocabulary.rules(spark), vocabulary.requirements(spark)
-    numeric = conflicts.numeric_conflicts(e.facts, rules)
-    status = conflicts.status_conflicts(e.facts, rules)
-    listed = list_conflicts_grouped(e.medications)
+    numeric = of("numeric_conflicts", lambda: conflicts.numeric_conflicts(e.facts, rules))
+    status = of("status_conflicts", lambda: conflicts.status_conflicts(e.facts, rules))
+    listed = of("medication_conflicts", lambda: list_conflicts_grouped(e.medications))
     side = lambda df, kind, left, right, concept: df.select("subject", F.col(concept).alias("concept"), F.lit(kind).alias("kind"), F.col(left).cast("string").alias("left_id"), F.col(right).cast("string").alias("right_id"), "status")
-    every = side(numeric, "NUMERIC", "left_id", "right_id", "concept").unionByName(side(status, "STATUS", "left_id", "right_id", "concept")).unionByName(side(listed, "MEDICATION_DOCUMENTATION", "implicated_id", "list_id", "item"))
-    changed = changes.adjacent_changes(changes.representatives(e.facts), rules)
-    repeated = changes.duplicates(e.facts)
+    every = of("conflicts", lambda: side(numeric, "NUMERIC", "left_id", "right_id", "concept").unionByName(side(status, "STATUS", "left_id", "right_id", "concept")).unionByName(side(listed, "MEDICATION_DOCUMENTATION", "implicated_id", "list_id", "item")))
+    changed = of("changes", lambda: changes.adjacent_changes(changes.representatives(e.facts), rules))
+    repeated = of("duplicates", lambda: changes.duplicates(e.facts))
     qualitative = claims.status_evidence(e.claims, vocabulary.status_requirements(spark), vocabulary.polarity(spark), e.facts)
     asked = requirements.select("claim_type", "concept", "op", "threshold", "lookback_days").unionByName(vocabulary.status_requirements(spark).select("claim_type", "concept", F.lit("any").alias("op"), F.lit(None).cast("double").alias("threshold"), "lookback_days"))
     evidence = claims.claim_evidence(e.claims, requirements, e.facts.where("value is not null")).select("claim_id", "fact_id", "supports").unionByName(qualitative.select("claim_id", "fact_id", "supports"))
-    resolved = claims.status_of(e.claims, asked, evidence)
-    outside = claims.out_of_window(e.claims, asked, e.facts)
-    cited = resolve_references(e.references, e.documents)
+    resolved = of("claims", lambda: claims.status_of(e.claims, asked, evidence))
+    outside = of("outside_window", lambda: claims.out_of_window(e.claims, asked, e.facts))
+    cited = of("references", lambda: resolve_references(e.references, e.documents))
     text = lambda df, about, kind, title: df.select("subject", F.col(about).cast("string").alias("about_id"), F.lit(kind).alias("gap_type"), title.alias("title"))
-    missing = (
+    missing = of("gaps", lambda: (
         text(claims.unsupported(resolved, outside), "claim_id", "UNSUPPORTED_CLAIM", F.lit(None).cast("string"))
         .unionByName(text(cited.where("outcome = 'MISSING'"), "ref_id", "MISSING_DOCUMENT", F.col("label")))
         .unionByName(text(medication_gaps(listed), "about_id", "MEDICATION_DOCUMENTATION_GAP", F.col("title")))
         .unionByName(text(followup_gaps(e.events, e.documents, vocabulary.expectations(spark)), "about_id", "MISSING_FOLLOW_UP", F.col("title")))
-    )
+    ))
     ends = lambda df, a, b: df.select(F.col(a).alias("from_id"), F.col(b).alias("to_id"))
     contradicting = conflicts.cross_members(episodes(with_rules(e.facts, rules)))
-    relations = views.edges(
+    relations = of("relationships", lambda: views.edges(
         DUPLICATES=ends(repeated, "other_id", "primary_id"), CHANGED_TO=ends(changed, "from_id", "to_id"), CHANGED_FROM=ends(changed, "to_id", "from_id"), CONTRADICTS=ends(contradicting, "left_id", "right_id"),
         SUPPORTS=ends(evidence.where("supports"), "fact_id", "claim_id"), CONTRADICTS_CLAIM=ends(evidence.where("not supports"), "fact_id", "claim_id"),
-    )
+    ))
     counts = records.audit_counts(documents=e.documents, facts=e.facts, claims=e.claims, medications=e.medications, events=e.events, changes=changed, conflicts=every, evidence_gaps=missing, relationships=relations, duplicates=repeated)
     return {
-        "changes": changed, "duplicates": repeated, "series": changes.series(e.facts), "numeric_conflicts": numeric, "status_conflicts": status, "medication_conflicts": listed, "conflicts": every,
+        "changes": changed, "duplicates": repeated, "series": of("series", lambda: changes.series(e.facts)), "numeric_conflicts": numeric, "status_conflicts": status, "medication_conflicts": listed, "conflicts": every,
         "claims": resolved, "outside_window": outside, "references": cited, "gaps": missing, "relationships": relations, "counts": counts,
     }

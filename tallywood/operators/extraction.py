@@ -130,9 +130,11 @@ def attribute_dates(rows: DataFrame, default: Column, precision: Column) -> Data
     """
     page = Window.partitionBy("page_id")
     before = page.orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    every = F.regexp_extract_all("line", F.lit(DATED), F.lit(1))
+    says = F.lower("line").contains("dated")  # both expressions hold this word
+    all_of = lambda pattern, k: F.when(says, F.regexp_extract_all("line", F.lit(pattern), F.lit(k))).otherwise(F.array().cast("array<string>"))
+    every = all_of(DATED, 1)
     own = dated(F.try_element_at(every, F.lit(-1)))
-    cited = F.regexp_extract_all("line", F.lit(CITED), F.lit(0))
+    cited = all_of(CITED, 0)
     named = F.transform(cited, lambda x: F.struct(F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"\s+", " "), r" dated .*$", "")).alias("noun"), dated(x).alias("d")))
     rows = rows.withColumn("own__", own)
     near = F.struct(F.col("own__").alias("d"), (F.col("line_start") + F.length(F.substring_index(F.lower("line"), "dated", -1)) * -1 + F.length("line")).alias("at"))
@@ -332,13 +334,15 @@ KINDS = ("observations", "claims", "medications", "findings", "references", "fol
 def extract_pages(pages: DataFrame, vocabulary, kinds: tuple[str, ...] = KINDS) -> dict[str, DataFrame]:
     """The asked kinds of items of pages (page_id, text, doc_type, doc_date).
 
-    A labelled date of the page stands before the document's. vocabulary: see plans.vocabulary.Vocabulary.
+    A labelled date of the page stands before the document's. vocabulary: see plans.vocabulary.Vocabulary. Where several
+    kinds are asked, the pages' dates and the lines are written once and read by each kind.
     """
     spark = pages.sparkSession
     pages = pages.withColumn("found__", document_date(F.col("text")))
     own = F.col("found__.labelled") & F.col("found__.date").isNotNull()
     pages = pages.withColumns({"page_date": F.when(own, F.col("found__.date")).otherwise(F.col("doc_date")), "page_precision": F.when(own, F.col("found__.precision")).otherwise("day")}).drop("found__")
-    rows, kept = lines(pages), pages.select("page_id", "page_date")
+    pages = settle(pages) if len(kinds) > 1 else pages
+    rows, kept = settle(lines(pages)) if len(kinds) > 1 else lines(pages), pages.select("page_id", "page_date")
     with_date = lambda df: df.join(kept, "page_id")
     make = {
         "observations": lambda: observations(attribute_dates(rows, F.col("page_date"), F.col("page_precision")), vocabulary.synonyms(spark), vocabulary.units(spark)),

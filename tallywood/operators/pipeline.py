@@ -8,7 +8,7 @@ makes the others. A stage that isn't declared is an error, and so is one that co
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +18,7 @@ from ..functions import terms
 from ..functions.text import classify, document_date
 from ..sources import ingest
 from ..sources.jobs import _is_there
+from ..sources.tables import settle
 from . import audit, extraction, records, registry
 from .numbering import numbered
 
@@ -43,6 +44,9 @@ class Run:
     def _path(self, *parts: str) -> str:
         return os.path.join(self.folder, *parts)
 
+    def table(self, stage: str, name: str) -> DataFrame:
+        return self.spark.read.parquet(self._path(stage, name))
+
     def done(self, stage: str) -> bool:
         return _is_there(self.spark, self._path("manifest", f"stage={stage}", "_SUCCESS"))
 
@@ -50,19 +54,20 @@ class Run:
         """stage, table_name, rows of the stages that are done."""
         return self.spark.read.schema("table_name string, rows long, stage string").parquet(self._path("manifest"))
 
-    def stage(self, name: str, make: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
-        """The stage's tables: read if it is done, else made and written."""
+    def stage(self, name: str, make: Callable[[], Iterable[tuple[str, DataFrame]] | dict[str, DataFrame]]) -> dict[str, DataFrame]:
+        """The stage's tables: read if it is done, else made and written, each before the next is asked for."""
         if name not in STAGES:
             raise ValueError(f"{name} is no declared stage")
         if not self.done(name):
             if any(not self.done(before) for before in STAGES[: STAGES.index(name)]):
                 raise ValueError(f"{name} comes before a stage that it needs")
             rows = []
-            for table, df in make().items():
+            made = make()
+            for table, df in made.items() if isinstance(made, dict) else made:
                 df.write.mode("overwrite").parquet(self._path(name, table))
-                rows.append((table, self.spark.read.parquet(self._path(name, table)).count()))
+                rows.append((table, self.table(name, table).count()))
             self.spark.createDataFrame(rows, "table_name string, rows long").coalesce(1).write.mode("overwrite").parquet(self._path("manifest", f"stage={name}"))
-        return {r.table_name: self.spark.read.parquet(self._path(name, r.table_name)) for r in self.manifest().where(F.col("stage") == name).collect()}  # a few tables
+        return {r.table_name: self.table(name, r.table_name) for r in self.manifest().where(F.col("stage") == name).collect()}  # a few tables
 
 
 def _items(df: DataFrame, kind: str, **columns) -> DataFrame:
@@ -120,7 +125,7 @@ def run_case(spark: SparkSession, files: DataFrame, vocabulary, folder: str, ext
     Terminology comes last and only adds: no other result depends on it. Without files every table is empty.
     """
     run, extractor, c = Run(spark, folder), extractor or RuleExtractor(vocabulary), F.col
-    got = run.stage("INGEST", lambda: ingested(ingest.parse_files(files.withColumn("case_id", F.lit("case")))))
+    got = run.stage("INGEST", lambda: ingested(ingest.parse_files(files.withColumn("case_id", F.lit("case")), settle=settle)))
     documents, pages = got["documents"], got["pages"]
     out = {"files": got["files"], "pages": pages}
 
@@ -154,8 +159,8 @@ def run_case(spark: SparkSession, files: DataFrame, vocabulary, folder: str, ext
     events, citations = made["events"], made["citations"]
 
     def registered():
-        stated = registry.assertions(documents.select("document_id", "ordinal", c("raw_text").alias("text"), "doc_date"), this_year)
-        links, patients = registry.resolve(stated)
+        stated = settle(registry.assertions(documents.select("document_id", "ordinal", c("raw_text").alias("text"), "doc_date"), this_year))
+        links, patients = registry.resolve(stated, settle=settle)
         return {"stated": stated, "links": links, "patients": patients}
 
     known = run.stage("BUILD_REGISTRY", registered)
@@ -166,23 +171,33 @@ def run_case(spark: SparkSession, files: DataFrame, vocabulary, folder: str, ext
     })
     out |= resolved | {"links": known["links"], "patients": known["patients"]}
     e = audit.Evidence(*(resolved[k] for k in ("facts", "medications", "claims", "citations", "documents", "events")))
-    found: dict[str, DataFrame] = {}
+    known: dict[str, DataFrame] = {}  # results of the audit that are written
+
+    def parts(stage: str, *groups: tuple[str, ...]) -> dict[str, DataFrame]:
+        """A stage of the audit; a group of its tables reads those of the groups and stages before."""
+
+        def made() -> Iterator[tuple[str, DataFrame]]:
+            for group in groups:
+                found = audit.audit(e, vocabulary, known)
+                for name in group:
+                    yield name, found[name]
+                    known[name] = run.table(stage, name)
 
-    def part(*names: str) -> dict[str, DataFrame]:
-        if not found:
-            found.update(audit.audit(e, vocabulary))
-        return {n: found[n] for n in names}
+        got = run.stage(stage, made)
+        known.update(got)
+        return got
 
-    out |= run.stage("DETECT_CHANGES", lambda: part("changes", "duplicates", "series"))
-    out |= run.stage("DETECT_CONFLICTS", lambda: part("numeric_conflicts", "status_conflicts", "medication_conflicts", "conflicts"))
-    out["claim_status"], out["outside_window"] = (run.stage("RESOLVE_CLAIMS", lambda: part("claims", "outside_window"))[k] for k in ("claims", "outside_window"))
-    out |= run.stage("BUILD_RELATIONSHIPS", lambda: part("references", "relationships"))
-    out |= run.stage("DETECT_GAPS", lambda: part("gaps"))
+    out |= parts("DETECT_CHANGES", ("changes", "duplicates", "series"))
+    out |= parts("DETECT_CONFLICTS", ("numeric_conflicts", "status_conflicts", "medication_conflicts"), ("conflicts",))
+    said = parts("RESOLVE_CLAIMS", ("claims", "outside_window"))
+    out["claim_status"], out["outside_window"] = said["claims"], said["outside_window"]
+    out |= parts("BUILD_RELATIONSHIPS", ("references", "relationships"))
+    out |= parts("DETECT_GAPS", ("gaps",))
 
     def audited():
         members = out["relationships"].where("rel_type = 'CONTRADICTS'").select(F.explode(F.array(F.col("from_id").cast("long"), F.col("to_id").cast("long"))).alias("fact_id")).distinct()
         nodes, edges = case_graph(out, e)
-        return {**part("counts"), "timeline": timeline_rows(e, out["claim_status"], members), "graph_nodes": nodes, "graph_edges": edges, **audit.brief(out["conflicts"], out["gaps"], e.documents.drop("n_facts"), e.facts)}
+        return {"counts": audit.audit(e, vocabulary, known)["counts"], "timeline": timeline_rows(e, out["claim_status"], members), "graph_nodes": nodes, "graph_edges": edges, **audit.brief(out["conflicts"], out["gaps"], e.documents.drop("n_facts"), e.facts)}
 
     out |= run.stage("GENERATE_AUDIT", audited)
     out |= run.stage("RESOLVE_TERMINOLOGY", lambda: {"codings": codings(e, concepts)})

@@ -266,7 +266,7 @@ def registry_review(spark, d):
 
 def visit_files(spark, d):
     """A text file for each order: who, when, a reading and a follow-up, in the columns of a file listing."""
-    o = s.table(spark, d, "orders")
+    o = s.table(spark, d, "orders").repartition("o_orderkey")  # a small table's few tasks write many pages
     tenths = F.floor(F.col("o_totalprice") / 1000).cast("long")
     text = F.concat_ws(
         "\n", F.concat(F.lit("Patient: Ann "), _surname(F.col("o_custkey")), F.lit("   MRN: M"), F.col("o_custkey").cast("string")), F.concat(F.lit("Report No: "), F.col("o_orderkey").cast("string")), F.concat(F.lit("Report Date: "), _day("o_orderdate")),

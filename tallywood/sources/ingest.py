@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import tarfile
 import zipfile
+from collections.abc import Callable
 
 import pandas as pd
 import pyarrow as pa
@@ -100,25 +101,28 @@ def chunks(manifest: DataFrame, size: int = 200) -> DataFrame:
     return rows.withColumn("chunk", F.floor((F.col("number__") - 1) / size)).drop("number__")
 
 
-def parse_files(files: DataFrame, case: str = "case_id") -> DataFrame:
+def parse_files(files: DataFrame, case: str = "case_id", settle: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Every file with status, error and pages: FAILED for what can't be read, DUPLICATE for content that the case has, MISSING without text.
 
     A file that fails is a row and stops nothing. PDF text needs a reader on the workers (pypdf); without it such a file fails with that reason.
+    settle: writes the digests and pages before copies are looked for, so that a file is read and parsed once.
     """
-    rows = content_dedupe(files, case, "sha256", "path")
     pages = F.when(F.col("suffix") == ".txt", F.array(F.make_valid_utf8(F.col("content").cast("string")))).when(F.col("suffix").isin(".png", ".jpg", ".jpeg"), F.array(F.lit("")))
-    rows = rows.withColumn("parsed__", F.when(F.col("suffix") == ".pdf", pdf_pages("content")).otherwise(F.struct(pages.alias("pages"), F.lit(None).cast("string").alias("error"))))
+    rows = files.withColumn("parsed__", F.when(F.col("suffix") == ".pdf", pdf_pages(F.when(F.col("suffix") == ".pdf", F.coalesce("content", F.lit(b""))))).otherwise(F.struct(pages.alias("pages"), F.lit(None).cast("string").alias("error")))).drop("content")
+    rows = content_dedupe(settle(rows) if settle else rows, case, "sha256", "path")
     error = F.when(~F.col("supported"), "unsupported suffix").when(F.col("byte_size") == 0, "empty file").otherwise(F.col("parsed__.error"))
     text = F.exists(F.col("parsed__.pages"), lambda p: F.trim(p) != "")
     status = F.when(error.isNotNull(), "FAILED").when(F.col("is_duplicate"), "DUPLICATE").when(text, "INGESTED").otherwise("MISSING")
-    return rows.withColumns({"error": error, "status": status, "pages": F.col("parsed__.pages")}).drop("parsed__", "content")
+    return rows.withColumns({"error": error, "status": status, "pages": F.col("parsed__.pages")}).drop("parsed__")
 
 
 @F.pandas_udf(StructType([StructField("pages", ArrayType(StringType())), StructField("error", StringType())]))
 def pdf_pages(content: pd.Series) -> pd.DataFrame:
-    """Text of each page, or why there is none."""
+    """Text of each page, or why there is none; nothing for null, as the files of other kinds are."""
 
     def read(raw):
+        if raw is None:
+            return None, None
         try:
             from pypdf import PdfReader
 

@@ -1,5 +1,8 @@
 """One call from files to all results: counts, resumption, declared stages, a table function as the extractor."""
 
+from datetime import date
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -7,6 +10,7 @@ from pyspark.sql.functions import udtf
 from tallywood.operators import audit, pipeline, records
 from tallywood.plans.vocabulary import DOCUMENT_CUES, FILE_HINTS, Vocabulary
 from tallywood.sources import ingest
+from tallywood.sources.tables import settle
 
 REPORTS = {
     "01_lab.txt": "Central Hospital\nPatient: Ann Roe   DOB: 2 March 1980   Sex: F   MRN: A1\nReport Date: 3 Jan 2026\nHemoglobin    9.2 g/dL   (12.0-16.0)\nMCV    68 fL\n",
@@ -88,3 +92,27 @@ def test_nodes_of_two_kinds_with_one_id(spark):
 def test_no_files(spark, files, tmp_path):
     out = pipeline.run_case(spark, files.limit(0), Vocabulary(), str(tmp_path / "none"))
     assert out["facts"].count() == out["timeline"].count() == out["graph_edges"].count() == 0 and out["counts"].first().documents == 0
+
+
+def test_a_case_reads_each_file_once_and_looks_into_pdfs_alone(spark, tmp_path):
+    """The digests and pages are written before copies are looked for; other kinds of files never reach the reader of PDFs."""
+    reads = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda raw: (reads.add(1), bytes(raw))[1], "binary").asNondeterministic()
+    rows = [("a.txt", b"one"), ("b.txt", b"one"), ("c.txt", b"two"), ("d.png", b"x")]
+    listed = ingest.described(spark.createDataFrame([(p, b, len(b)) for p, b in rows], "path string, content binary, length long"))
+    files = listed.withColumn("case_id", F.lit("case")).withColumn("content", count("content"))
+    got = pipeline.ingested(ingest.parse_files(files, settle=settle))
+    assert {r.path: r.status for r in got["files"].collect()} == {"a.txt": "INGESTED", "b.txt": "DUPLICATE", "c.txt": "INGESTED", "d.png": "MISSING"}
+    assert got["pages"].count() == 3 and reads.value == len(rows)
+    assert ingest.pdf_pages.func(pd.Series([None, None]))["error"].isna().all()
+
+
+def test_a_stage_of_the_audit_reads_what_is_written(spark):
+    """Counts come from the written tables, not from the detectors anew."""
+    facts = spark.createDataFrame([("p", "hb", 1, date(2026, 1, 1), "day", 9.0, "g/dL", None, None, 1, 1, "x", 0.9)], "subject string, concept string, fact_id long, obs_date date, date_precision string, value double, unit string, value_key string, value_text string, document_id long, page_number int, source_text string, confidence double")
+    e = audit.Evidence(
+        facts, spark.createDataFrame([], "subject string, entry_id long, item string, record_date date, status string, stop_date date, document_id long, doc_type string"), spark.createDataFrame([], "claim_id long, subject string, claim_type string, claim_date date, document_id long"),
+        spark.createDataFrame([], "ref_id long, subject string, kind string, label string, citing_doc long, citing_date date"), spark.createDataFrame([], "document_id long, subject string, kind string, doc_date date, filename string, head string, ordinal long"), spark.createDataFrame([], "event_id long, subject string, label string, event_date date"),
+    )
+    every = spark.createDataFrame([("p", "hb", "NUMERIC", "1", "2", "UNRESOLVED")] * 7, "subject string, concept string, kind string, left_id string, right_id string, status string")
+    assert audit.audit(e, Vocabulary(), {"conflicts": every})["counts"].first().conflicts == 7
