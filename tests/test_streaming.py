@@ -3,9 +3,11 @@
 import random
 from datetime import date, timedelta
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tallywood.operators import conflicts
+from tallywood.streaming import conflicts as streaming
 from tallywood.streaming.conflicts import OUTPUT, streaming_conflicts
 
 SCHEMA = "subject string, concept string, fact_id long, obs_date date, value double, unit string, document_id long, confidence double"
@@ -33,3 +35,51 @@ def test_a_shuffled_replay_equals_the_batch(spark, tmp_path):
         query.awaitTermination()
     got = sorted((tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select(*names).collect()), key=str)
     assert got == want
+
+
+class Store:
+    """A handle of one key whose every call is counted: each is a message to Spark."""
+
+    def __init__(self):
+        self.rows, self.timers, self.calls = [], set(), 0
+
+    def getListState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return iter(list(self.rows))
+
+    def appendList(self, rows):
+        self.calls, self.rows = self.calls + 1, self.rows + rows
+
+    def put(self, rows):
+        self.calls, self.rows = self.calls + 1, rows
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+class Times:
+    def __init__(self, passed):
+        self.passed = passed
+
+    def getCurrentWatermarkInMs(self):
+        return self.passed
+
+
+def test_a_key_of_many_facts_takes_few_calls_of_the_store(monkeypatch):
+    monkeypatch.setattr(streaming, "CHUNK", 300)
+    store, made = Store(), streaming.EpisodeConflicts({"hb": (0.5, None, 2)})
+    made.init(store)
+    fact = Row("fact_id", "day", "value", "document_id")
+    rows = [fact(i, 10 + i % 3, float("nan") if i % 100 == 0 else float(i % 7), i % 5) for i in range(1000)] + [fact(2000 + i, 30, 1.0 + i, i) for i in range(2)]
+    assert list(made.handleInputRows(("p", "hb"), iter(rows[::2]), Times(0))) == [] == list(made.handleInputRows(("p", "hb"), iter(rows[1::2]), Times(0)))
+    assert store.calls <= 8 and min(store.timers) == 13 * streaming.DAY_MS
+    assert list(made.handleExpiredTimer(("p", "hb"), Times(14 * streaming.DAY_MS), None)) == [] and 15 * streaming.DAY_MS in store.timers
+    got = list(made.handleExpiredTimer(("p", "hb"), Times(20 * streaming.DAY_MS), None))
+    assert len(got) == 8 * 7 // 2 and {r.episode for r in got} == {1} and sum(1 for r in got if r.left_value != r.left_value or r.right_value != r.right_value) == 7
+    last = list(made.handleExpiredTimer(("p", "hb"), Times(40 * streaming.DAY_MS), None))
+    assert [(r.episode, r.left_id, r.right_id) for r in last] == [(2, 2000, 2001)] and not any(store.rows[0][0])
+    assert store.calls <= 20
