@@ -72,18 +72,22 @@ def status_of(claims: DataFrame, requirements: DataFrame, evidence: DataFrame) -
 def out_of_window(claims: DataFrame, requirements: DataFrame, facts: DataFrame) -> DataFrame:
     """Facts of required concepts outside the look-back, counted by where they are: after_claim or before_lookback.
 
-    Running counts over the dates of each subject and concept; no claim meets single facts.
+    Running counts over the days of each subject and concept, from either end; claims of one type and day share them, and no
+    window holds single facts or claims.
     """
-    wanted = claims.join(F.broadcast(requirements.select("claim_type", "concept", "lookback_days").distinct()), "claim_type").where("claim_date is not null")
-    day = lambda c: F.unix_date(c)
+    rules = requirements.select("claim_type", "concept", "lookback_days").distinct()
+    dated = claims.where("claim_date is not null").select("claim_id", "subject", "claim_type", "claim_date")
+    asked = dated.select("subject", "claim_type", "claim_date").distinct().join(F.broadcast(rules), "claim_type")
     none = F.lit(None)
-    marks = facts.where("obs_date is not null").select("subject", "concept", day("obs_date").alias("day"), "fact_id", none.cast("string").alias("place"), none.cast(claims.schema["claim_id"].dataType).alias("claim_id"))
-    mark = lambda at, place: wanted.select("subject", "concept", at.alias("day"), none.cast(facts.schema["fact_id"].dataType).alias("fact_id"), F.lit(place).alias("place"), "claim_id")
-    line = marks.unionByName(mark(day("claim_date"), "after_claim")).unionByName(mark(day("claim_date") - F.col("lookback_days"), "before_lookback"))
-    by_day = Window.partitionBy("subject", "concept").orderBy("day")
-    before, after = by_day.rangeBetween(Window.unboundedPreceding, -1), by_day.rangeBetween(1, Window.unboundedFollowing)
-    over = lambda f: F.when(F.col("place") == "after_claim", f("fact_id").over(after)).otherwise(f("fact_id").over(before))
-    return line.select("claim_id", "concept", "place", over(F.count).alias("n_facts"), over(F.min).alias("first_fact")).where("place is not null and n_facts > 0")
+    days = facts.where("obs_date is not null").groupBy("subject", "concept", F.unix_date("obs_date").alias("day")).agg(F.count("fact_id").alias("n"), F.min("fact_id").alias("first"))
+    days = days.select("*", none.cast("string").alias("place"), none.cast("string").alias("claim_type"), none.cast("date").alias("claim_date"))
+    mark = lambda at, place: asked.select("subject", "concept", at.alias("day"), none.cast("long").alias("n"), none.cast(facts.schema["fact_id"].dataType).alias("first"), F.lit(place).alias("place"), "claim_type", "claim_date")
+    line = days.unionByName(mark(F.unix_date("claim_date"), "after_claim")).unionByName(mark(F.unix_date("claim_date") - F.col("lookback_days"), "before_lookback"))
+    key = Window.partitionBy("subject", "concept")
+    earlier, later = (key.orderBy(day).rangeBetween(Window.unboundedPreceding, -1) for day in (F.asc("day"), F.desc("day")))  # a frame that ends at the last row is summed anew for each row
+    over = lambda f, c: F.when(F.col("place") == "after_claim", f(c).over(later)).otherwise(f(c).over(earlier))
+    found = line.select("subject", "claim_type", "claim_date", "concept", "place", over(F.sum, "n").alias("n_facts"), over(F.min, "first").alias("first_fact")).where("place is not null and n_facts > 0")
+    return join_on(dated, found, ["subject", "claim_type", "claim_date"]).select("claim_id", "concept", "place", "n_facts", "first_fact")
 
 
 def first_support(claims: DataFrame, requirements: DataFrame, facts: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tallywood.functions import text
-from tallywood.operators import changes, conflicts, episodes, extraction, gaps
+from tallywood.operators import changes, claims, conflicts, episodes, extraction, gaps
 from tallywood.plans import catalog
 from tallywood.sources import ingest
 
@@ -104,3 +104,22 @@ def test_date_extract_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {x.doc_id: x.doc_date for x in catalog.date_extract(spark, str(tmp_path)).collect()}
     assert got == {5: date(2021, 2, 3), 11: None, 17: None, 0: date(2024, 3, 14)}
+
+
+def test_facts_outside_the_look_back_are_counted_by_day(spark):
+    """As by comparing each claim with each fact; no window sums a frame up to its last row, nor holds a hot subject's facts."""
+    rng = random.Random(4)
+    day = lambda: date(2024, 1, 1) + timedelta(days=rng.randint(0, 40)) if rng.random() > 0.05 else None
+    noted = [(rng.choice(["p", "q", None, None]), rng.choice(["hb", "mcv", "x"]), i, day()) for i in range(400)]
+    said = [(i // 2, rng.choice(["p", "r", None]), rng.choice(["low", "high", "free"]), day()) for i in range(120)]
+    rules = [("low", "hb", 5), ("low", "hb", 9), ("high", "hb", 0), ("high", "mcv", 12)]
+    want = []
+    for claim, subject, kind, on in said:
+        for _, concept, back in (r for r in rules if r[0] == kind and on):
+            apart = [((on - d).days, i) for s, c, i, d in noted if s == subject and c == concept and d]
+            for place, met in (("after_claim", [i for n, i in apart if n < 0]), ("before_lookback", [i for n, i in apart if n > back])):
+                want += [(claim, concept, place, len(met), min(met))] if met else []
+    facts_ = spark.createDataFrame(noted, "subject string, concept string, fact_id long, obs_date date")
+    found = claims.out_of_window(spark.createDataFrame(said, "claim_id long, subject string, claim_type string, claim_date date"), spark.createDataFrame(rules, "claim_type string, concept string, lookback_days int"), facts_)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want) and len(want) > 100
+    assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
