@@ -123,3 +123,13 @@ def test_facts_outside_the_look_back_are_counted_by_day(spark):
     found = claims.out_of_window(spark.createDataFrame(said, "claim_id long, subject string, claim_type string, claim_date date"), spark.createDataFrame(rules, "claim_type string, concept string, lookback_days int"), facts_)
     assert sorted(tuple(r) for r in found.collect()) == sorted(want) and len(want) > 100
     assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_a_large_episode_is_compared_in_blocks(spark):
+    """All pairs of an episode that many tasks share; a null subject is one of its own, and no task joins more than a block with a block."""
+    rng = random.Random(6)
+    rows = [(rng.choice(["p", None]), "hb", i, date(2024, 1, 1) + timedelta(days=i % 3), float(rng.randint(0, 4)), None, rng.choice([1, 2, 3, None]), 0.9) for i in range(120)]
+    found = conflicts.materiality_pairs(spark.createDataFrame(rows, FACT), rules(spark), block=10)
+    want = sorted((a[2], b[2], round(b[4] - a[4], 6)) for a in rows for b in rows if a[0] == b[0] and a[2] < b[2] and a[6] and b[6] and a[6] != b[6] and abs(a[4] - b[4]) >= 0.5)
+    assert sorted((r.left_id, r.right_id, r.delta) for r in found.collect()) == want and len(want) > 500
+    assert "left_block" in found._jdf.queryExecution().optimizedPlan().toString() and found.columns == ["subject", "concept", "episode", "left_id", "right_id", "delta"]
